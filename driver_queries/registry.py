@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driver_queries import views as v
-from driver_queries.views import table
+from driver_queries.views import parsed, table
 from dumpweave.fixed_values import STOP_WORDS
 from dumpweave.functions import text as tx
 from dumpweave.functions import wikitext as wt
@@ -625,7 +625,7 @@ _CORPUS = "corpus as (select doc_id as doc, text from documents)"
 
 
 def _corpus(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return parsed(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
 
 
 @query(
@@ -841,7 +841,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ascii_text = transliterate(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return parsed(spark, sf, "documents").select(
         "doc_id", F.md5(ascii_text).alias("ascii_md5"),
         F.char_length(ascii_text).cast("bigint").alias("n"),
     )
@@ -852,7 +852,7 @@ def _(spark, sf):
     "select doc_id, md5(strip_accents(replace(text, 'ß', ''))) as ascii_md5 from documents",
 )
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
+    return parsed(spark, sf, "documents").select(
         "doc_id", F.md5(transliterate(F.col("text"), "nfkd")).alias("ascii_md5")
     )
 
@@ -864,7 +864,7 @@ _NO_STOP = rf"""array_to_string(list_filter(string_split_regex(text, '\s+'),
 
 @query("t5_remove_stopwords", f"select doc_id, {_NO_STOP} as text from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
+    return parsed(spark, sf, "documents").select(
         "doc_id", tx.remove_stopwords(F.col("text")).alias("text")
     )
 
@@ -874,7 +874,7 @@ def _(spark, sf):
     "select doc_id, replace(text, chr(10), '') as text from documents",
 )
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
+    return parsed(spark, sf, "documents").select(
         "doc_id", tx.collapse_lines(F.col("text")).alias("text")
     )
 
@@ -892,7 +892,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     terms = tx.tokenize_terms(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return parsed(spark, sf, "documents").select(
         "doc_id", F.size(terms).alias("n_terms"), F.md5(F.array_join(terms, " ")).alias("terms_md5")
     )
 
@@ -962,7 +962,7 @@ def _page_links_and_texts(spark, sf):
         v.page_titles(spark, sf),
     )
     found = resolved.where(F.col("page_id").isNotNull()).select("src", F.col("page_id").alias("dst"))
-    texts = table(spark, sf, "pages").select(
+    texts = parsed(spark, sf, "pages").select(
         F.col("page_id").alias("doc"), F.regexp_replace("html", "<[^>]*>", " ").alias("text")
     )
     return found, texts
@@ -1000,8 +1000,9 @@ def _(spark, sf):
 
 # --- graph --------------------------------------------------------------------------------------
 def _level_graph(spark, sf):
+    stored_links = cut_lineage(v.graph_links(spark, sf))  # read once per level
     return graph.level_graph(
-        v.graph_links(spark, sf), v.GRAPH_START, v.GRAPH_LEVELS, v.GRAPH_CAP, order=("dst",)
+        stored_links, v.GRAPH_START, v.GRAPH_LEVELS, v.GRAPH_CAP, order=("dst",)
     )
 
 
@@ -1189,7 +1190,7 @@ c as (select title_ascii, count(*) as n_titles, min(title) as first_title, max(t
 
 
 def _words(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("title"))
+    return parsed(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("title"))
 
 
 @query("k6_translit_collisions", f"with {_WORDS} select * from c")

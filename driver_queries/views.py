@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpweave.functions.text import tokens
+from dumpweave.plans.barrier import once
+from dumpweave.plans.session import spread
 
 TALK_OFFSET = 10_000_000
 
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def parsed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose texts are about to be parsed."""
+    return spread(table(spark, sf, name))
+
+
 def first_line(text: Column) -> Column:
     return F.get(F.split(text, "\n"), F.lit(0))
 
@@ -30,15 +37,14 @@ _ANCHOR = r"<a [^>]*>([^<]*)</a>"
 
 def page_arrays(spark, sf) -> DataFrame:
     """page_id, links: the anchor texts of every page."""
-    return table(spark, sf, "pages").select(
-        "page_id", F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("links")
-    )
+    anchors = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1))
+    return once(parsed(spark, sf, "pages"), links=anchors).select("page_id", "links")
 
 
 def page_titles(spark, sf) -> DataFrame:
     """title, key (its first word), page_id."""
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    return table(spark, sf, "pages").select(
+    return parsed(spark, sf, "pages").select(
         title.alias("title"), F.substring_index(title, " ", 1).alias("key"), "page_id"
     )
 
@@ -74,7 +80,8 @@ def wikilinks(spark, sf) -> DataFrame:
         F.array_join(link, " "),
         F.lit(" [[Category:Pages]] [[ ]]"),
     )
-    return page_arrays(spark, sf).where(F.size("links") > 0).select("page_id", text.alias("text"))
+    linked = page_arrays(spark, sf).where(F.size("links") > 0)
+    return once(linked, text=text).select("page_id", "text")
 
 
 # --- SQL dumps ----------------------------------------------------------------
@@ -105,7 +112,7 @@ def dump_page_lines(spark, sf) -> DataFrame:
         [F.col("p_partkey") + 1, "0", _quoted(title), "''", redirect, *rest],
         [F.col("p_partkey") + 1 + TALK_OFFSET, "1", _quoted(title), "''", "0", *rest],
     )
-    return table(spark, sf, "part").select(
+    return parsed(spark, sf, "part").select(
         F.explode(F.array(F.lit("-- Dumping data"), line, F.lit(""))).alias("value")
     )
 
@@ -138,7 +145,7 @@ def dump_link_lines(spark, sf) -> DataFrame:
         ],
         [F.col("l_orderkey") + 1 + TALK_OFFSET, "0", _quoted(second), "0"],
     )
-    return table(spark, sf, "lineitem").select(line.alias("value"))
+    return once(parsed(spark, sf, "lineitem"), value=line).select("value")
 
 
 V_DUMP_LINK = f"""
@@ -170,7 +177,7 @@ def dump_category_lines(spark, sf) -> DataFrame:
         [talk, F.concat(F.lit("'"), grade_category("o_orderkey"), F.lit("'")), *rest],
         [talk, "'Living_people_(x)'", *rest],
     )
-    return table(spark, sf, "orders").select(line.alias("value"))
+    return once(parsed(spark, sf, "orders"), value=line).select("value")
 
 
 # --- relational tables ----------------------------------------------------------
@@ -251,7 +258,7 @@ def xml_records(spark, sf) -> DataFrame:
         _escaped(F.col("text")),
         F.lit("</text></revision>\n  "),
     )
-    return table(spark, sf, "documents").select(value.alias("value"))
+    return once(parsed(spark, sf, "documents"), value=value).select("value")
 
 
 V_XML = f"""
@@ -267,12 +274,13 @@ v_xml as (
 def wikitext(spark, sf) -> DataFrame:
     """doc_id, text: every document with a heading before each line but the first."""
     lines = F.transform(
-        F.split("text", "\n"),
+        F.split("_text", "\n"),
         lambda x, i: F.when(i == 0, x).otherwise(
             F.concat(F.lit("== Part "), i.cast("string"), F.lit(" ==\n"), x)
         ),
     )
-    return table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    docs = parsed(spark, sf, "documents").select("doc_id", F.col("text").alias("_text"))
+    return once(docs, text=F.array_join(lines, "\n")).select("doc_id", "text")
 
 
 V_LEAD = rf"""
@@ -346,7 +354,7 @@ def graph_links(spark, sf) -> DataFrame:
 
 def supplier_parts(spark, sf) -> DataFrame:
     return (
-        table(spark, sf, "lineitem")
+        parsed(spark, sf, "lineitem")
         .select(
             F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"),
             F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"),

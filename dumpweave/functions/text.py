@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import LEAD_TOKENS, SPECIAL_TOKENS, STOP_WORDS, TERM, TOKEN
+from dumpweave.plans.barrier import once
 
 
 def remove_stopwords(
@@ -70,9 +71,8 @@ def lead_tokens(
     be plugged in as a pandas UDF.
     """
     first = F.get("sections", F.lit(0))
-    return df.withColumn(
-        "lead",
-        F.when(first.isNotNull(), F.slice(tokenizer(first), 1, cap - SPECIAL_TOKENS)),
+    return once(
+        df, lead=F.when(first.isNotNull(), F.slice(tokenizer(first), 1, cap - SPECIAL_TOKENS))
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from dumpweave.fixed_values import HEADING, LEAD
 from dumpweave.functions.translit import transliterate
+from dumpweave.plans.barrier import once
 
 _SPACE = " \t\n\r\x0b\x0c "
 # applied in turn; the amp entity comes last so that it makes no new entities
@@ -54,7 +55,8 @@ def extract_sections(
     body = strip_markup(raw, headings=False) if markup else raw
     staged = df.withColumn("_body", body)
     staged = staged.withColumn("_heads", F.regexp_extract_all("_body", F.lit(HEADING), F.lit(2)))
-    parts = F.transform(F.split("_body", HEADING), lambda s: transliterate(strip_space(s)))
+    trimmed = F.transform(F.split("_body", HEADING), strip_space)
+    parts = F.transform(trimmed, lambda s: transliterate(s))
     lead_only = F.lit(keep_headless) & (F.col("_body") != "")
     headed = F.size("_heads") > 0
     none = F.array().cast("array<string>")
@@ -63,11 +65,8 @@ def extract_sections(
         .when(lead_only, F.array(F.lit(LEAD)))
         .otherwise(none)
     )
-    return (
-        staged.withColumn("headings", headings)
-        .withColumn("sections", F.when(headed | lead_only, parts).otherwise(none))
-        .drop("_body", "_heads")
-    )
+    sections = F.when(headed | lead_only, parts).otherwise(none)
+    return once(staged, headings=headings, sections=sections).drop("_body", "_heads")
 
 
 def bracket_contents(text: Column) -> Column:

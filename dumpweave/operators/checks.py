@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import QUALITY_LENGTH, TITLE_LENGTH
 from dumpweave.functions.translit import transliterate
+from dumpweave.plans.barrier import once
 from dumpweave.plans.ordered import global_index
 
 
@@ -74,32 +75,36 @@ def integrity_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     Repeated keys are counted as keys, missing parents and lengths as rows.
     """
     report = []
-
-    def add(table, check, violations: DataFrame):
+    for table, df in tables.items():
+        key, unique, lengths = _KEYS[table]
+        rows = {f"not null {c}": F.col(c).isNull() for c in key}
+        rows |= {f"length {c}": F.char_length(c) > n for c, n in lengths.items()}
+        if table == "link":
+            rows["length pl_titles"] = F.exists(
+                "pl_titles", lambda x: F.char_length(x) > TITLE_LENGTH
+            )
+        # all checks of single rows in one pass
+        found = df.agg(*[F.count_if(wrong).alias(check) for check, wrong in rows.items()])
         report.append(
-            violations.agg(F.count("*").alias("violations")).select(
-                F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), "violations"
+            found.unpivot([], list(rows), "check_name", "violations").withColumn(
+                "table_name", F.lit(table)
             )
         )
-
-    for table, df in tables.items():
-        key, unique, lengths = _KEYS[table]
         for columns in [key, *([c] for c in unique)]:
             repeated = df.groupBy(*columns).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-            add(table, f"unique {', '.join(columns)}", repeated)
-        for column in key:
-            add(table, f"not null {column}", df.where(F.col(column).isNull()))
-        for column, limit in lengths.items():
-            add(table, f"length {column}", df.where(F.char_length(column) > limit))
-        if table == "link":
-            too_long = F.exists("pl_titles", lambda x: F.char_length(x) > TITLE_LENGTH)
-            add(table, "length pl_titles", df.where(too_long))
+            report.append(_violations(repeated, table, f"unique {', '.join(columns)}"))
     for child, column, parent, target in _PARENTS:
         if child in tables and parent in tables:
             known = tables[parent].select(F.col(target).alias(column))
             orphans = tables[child].select(column).join(known, column, "left_anti")
-            add(child, f"{column} in {parent}", orphans)
-    return reduce(DataFrame.unionByName, report)
+            report.append(_violations(orphans, child, f"{column} in {parent}"))
+    return reduce(DataFrame.unionByName, report).select("table_name", "check_name", "violations")
+
+
+def _violations(found: DataFrame, table: str, check: str) -> DataFrame:
+    return found.agg(F.count("*").alias("violations")).select(
+        F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), "violations"
+    )
 
 
 def translit_collisions(titles: DataFrame, title: str = "title") -> DataFrame:
@@ -125,5 +130,6 @@ def translit_collisions(titles: DataFrame, title: str = "title") -> DataFrame:
 def colliding_titles(titles: DataFrame, title: str = "title") -> DataFrame:
     """``title_ascii, title`` of all titles in a collision."""
     distinct = titles.select(F.col(title).alias("title")).distinct()
-    forms = distinct.select(transliterate(F.col("title")).alias("title_ascii"), "title")
-    return forms.join(translit_collisions(titles, title).select("title_ascii"), "title_ascii")
+    forms = once(distinct, title_ascii=transliterate(F.col("title")))
+    collided = translit_collisions(titles, title).select("title_ascii")
+    return forms.join(collided, "title_ascii", "left_semi").select("title_ascii", "title")

@@ -6,7 +6,7 @@ is one row per distinct length, whatever the number of pages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import LEAD_TOKENS, PERCENTILES, SPECIAL_TOKENS
@@ -14,11 +14,8 @@ from dumpweave.functions.text import lead_tokens
 
 
 def _counted(df: DataFrame, length: str) -> DataFrame:
-    return (
-        df.groupBy(F.col(length).alias("x"))
-        .agg(F.count("*").alias("n"))
-        .where(F.col("x").isNotNull())
-    )
+    counted = df.groupBy(F.col(length).alias("x")).agg(F.count(length).alias("n"))
+    return counted.where(F.col("n") > 0)  # drops pages without a length, after counting
 
 
 def length_summary(df: DataFrame, length: str = "length") -> DataFrame:
@@ -49,25 +46,27 @@ def length_histogram(df: DataFrame, length: str = "length", bins: int = 10) -> D
 
     Empty bins are listed. If all lengths are equal they get a range of 1.
     """
-    counted = _counted(df, length)
-    low = counted.agg(F.min("x").cast("double")).scalar()
-    high = counted.agg(F.max("x").cast("double")).scalar()
-    ranged = counted.withColumn("_low", low).withColumn("_high", high)
-    flat = F.col("_low") == F.col("_high")
-    ranged = ranged.withColumn("_pad", F.when(flat, 0.5).otherwise(0.0))
-    low, high = F.col("_low") - F.col("_pad"), F.col("_high") + F.col("_pad")
-    number = F.least(F.width_bucket(F.col("x").cast("double"), low, high, F.lit(bins)), F.lit(bins))
-    filled = ranged.groupBy(number.cast("bigint").alias("bin")).agg(F.sum("n").alias("n"))
-    edges = ranged.agg(F.first(low).alias("_low"), F.first(high).alias("_high")).select(
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))).alias("bin"),
-        "_low",
-        ((F.col("_high") - F.col("_low")) / bins).alias("_width"),
+    everything = Window.partitionBy()  # over one row per distinct length
+    ranged = _counted(df, length).select(
+        F.col("x").cast("double").alias("x"),
+        "n",
+        F.min("x").over(everything).cast("double").alias("_low"),
+        F.max("x").over(everything).cast("double").alias("_high"),
     )
-    return edges.join(filled, "bin", "left").select(
+    pad = F.when(F.col("_low") == F.col("_high"), 0.5).otherwise(0.0)
+    ranged = ranged.withColumn("_low", F.col("_low") - pad).withColumn("_high", F.col("_high") + pad)
+    number = F.least(F.width_bucket("x", "_low", "_high", F.lit(bins)), F.lit(bins))
+    filled = ranged.groupBy(number.alias("bin"), "_low", "_high").agg(F.sum("n").alias("n"))
+    row = filled.agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts"),
+        F.first("_low").alias("_low"),
+        ((F.first("_high") - F.first("_low")) / bins).alias("_width"),
+    ).withColumn("bin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))))
+    return row.select(
         "bin",
         (F.col("_low") + (F.col("bin") - 1) * F.col("_width")).alias("lower"),
         (F.col("_low") + F.col("bin") * F.col("_width")).alias("upper"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 

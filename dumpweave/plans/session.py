@@ -49,3 +49,13 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out to all cores.
+
+    Parsing is CPU work, and a small file of one row group is one task's. An
+    input with at least a split per core is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

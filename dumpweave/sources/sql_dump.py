@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from dumpweave.fixed_values import DUMP_COLUMNS, INSERT_LINE
 
 # a quoted string with escapes, or a number or NULL
-_FIELD = r"(?:'(?:[^'\\]++|\\.)*+'|[^,()']++)"
-_TUPLE = rf"\({_FIELD}(?:,{_FIELD})*+\)"
+_QUOTED = r"'(?:[^'\\]++|\\.)*+'"
+_FIELD = rf"(?:{_QUOTED}|[^,()']++)"
+_TUPLE = rf"\((?:[^()']++|{_QUOTED})++\)"
 
 
 def read_sql_dump_lines(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
@@ -43,11 +44,15 @@ def parse_sql_dump(lines: DataFrame, kind: str, unescape: bool = True) -> DataFr
         raise ValueError(f"unknown kind {kind!r}, not one of {', '.join(DUMP_COLUMNS)}")
     text_columns = {"title", "restrictions", "category"}
     body = F.regexp_replace("value", rf"^.*?{INSERT_LINE}", "")
-    tuples = insert_lines(lines).select(
-        F.explode(F.regexp_extract_all(body, F.lit(_TUPLE), F.lit(0))).alias("_tuple")
-    )
-    fields = tuples.select(
-        F.regexp_extract_all("_tuple", F.lit(_FIELD), F.lit(0)).alias("_fields")
+    # fields are split inside the generator: its output is computed once, however
+    # often the columns and later filters refer to it
+    fields = insert_lines(lines).select(
+        F.explode(
+            F.transform(
+                F.regexp_extract_all(body, F.lit(_TUPLE), F.lit(0)),
+                lambda t: F.regexp_extract_all(t, F.lit(_FIELD), F.lit(0)),
+            )
+        ).alias("_fields")
     )
     columns = []
     for position, name in enumerate(DUMP_COLUMNS[kind]):

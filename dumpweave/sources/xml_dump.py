@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import DUMP_FILE_NAME, VALID_DUMP_FILE
+from dumpweave.plans.barrier import once
 
 PAGE_SCHEMA = (
     "title string, ns bigint, id bigint, redirect struct<_title:string>, "
@@ -69,9 +70,9 @@ def parse_xml_pages(records: DataFrame) -> DataFrame:
     page = F.concat(F.regexp_extract("value", r"(?s)<page>.*", 0), F.lit("</page>"))
     page = F.regexp_replace(page, r"(?s)(</page>)\s*</page>\s*$", "$1")
     keep = ["file"] if "file" in records.columns else []
-    parsed = records.where(F.col("value").contains("<page>")).select(
-        *keep,
-        F.from_xml(page, PAGE_SCHEMA, {"ignoreSurroundingSpaces": "false"}).alias("p"),
+    parsed = once(
+        records.where(F.col("value").contains("<page>")),
+        p=F.from_xml(page, PAGE_SCHEMA, {"ignoreSurroundingSpaces": "false"}),
     )
     return parsed.select(
         *keep,
