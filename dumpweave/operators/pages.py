@@ -103,7 +103,7 @@ def dedupe_by_title(
         marked = marked.join(seen, key, "left")
         fresh = fresh & F.col("_seen").isNull()
     status = F.when(fresh, "added").otherwise("duplicate")
-    return marked.withColumn("status", status).drop("_first", "_seen")
+    return marked.select(*pages.columns, status.alias("status"))
 
 
 def duplicate_log(loaded: DataFrame) -> DataFrame:

@@ -54,7 +54,9 @@ def length_histogram(df: DataFrame, length: str = "length", bins: int = 10) -> D
         F.max("x").over(everything).cast("double").alias("_high"),
     )
     pad = F.when(F.col("_low") == F.col("_high"), 0.5).otherwise(0.0)
-    ranged = ranged.withColumn("_low", F.col("_low") - pad).withColumn("_high", F.col("_high") + pad)
+    ranged = ranged.select(
+        "x", "n", (F.col("_low") - pad).alias("_low"), (F.col("_high") + pad).alias("_high")
+    )
     number = F.least(F.width_bucket("x", "_low", "_high", F.lit(bins)), F.lit(bins))
     filled = ranged.groupBy(number.alias("bin"), "_low", "_high").agg(F.sum("n").alias("n"))
     row = filled.agg(
