@@ -15,7 +15,7 @@ from dumpweave.functions import text as tx
 from dumpweave.functions import wikitext as wt
 from dumpweave.functions.translit import transliterate
 from dumpweave.operators import checks, graph, links, pages, quality, similarity, stats
-from dumpweave.plans.session import configure, cut_lineage, work_dir
+from dumpweave.plans.session import configure, store, work_dir
 from dumpweave.sinks import tables as sinks
 from dumpweave.sources import sql_dump, xml_dump
 from dumpweave.sources import tables as stored
@@ -938,7 +938,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = _corpus(spark, sf)
-    vectors = cut_lineage(similarity.tfidf(docs))
+    vectors = store(similarity.tfidf(docs))
     pairs = docs.select(F.col("doc").alias("a"), (F.col("doc") + 1).alias("b"))
     return similarity.pairwise_cosine(vectors, pairs).withColumn("similarity", six("similarity"))
 
@@ -983,7 +983,7 @@ def _page_links_and_texts(spark, sf):
 )
 def _(spark, sf):
     found, texts = _page_links_and_texts(spark, sf)
-    vectors = cut_lineage(similarity.tfidf(texts))
+    vectors = store(similarity.tfidf(texts))
     best = similarity.similar_pages(found, vectors, threshold=0.05, k=10)
     return best.withColumn("similarity", six("similarity"))
 
@@ -1000,7 +1000,7 @@ def _(spark, sf):
 
 # --- graph --------------------------------------------------------------------------------------
 def _level_graph(spark, sf):
-    stored_links = cut_lineage(v.graph_links(spark, sf))  # read once per level
+    stored_links = store(v.graph_links(spark, sf))  # read once per level
     return graph.level_graph(
         stored_links, v.GRAPH_START, v.GRAPH_LEVELS, v.GRAPH_CAP, order=("dst",)
     )

@@ -38,48 +38,39 @@ def level_graph(
     exist gives an empty graph. The last level is not mapped.
 
     Each level is one join of the links with the frontier, the vertices found
-    last; it is checkpointed. A frontier of level n has at most cap ** n rows:
-    while that is small it is broadcast, and the links are read in place, after
-    that it is joined by shuffle. Nothing is collected, and the loop ends when
-    nothing new is found.
+    last; the links it follows are checkpointed, and all else is derived from
+    those. A frontier of level n has at most cap ** n rows: while that is small
+    it is broadcast, and the links are read in place, after that it is joined
+    by shuffle. Nothing is collected, and the loop ends when nothing new is
+    found.
     """
-    spark = links.sparkSession
-    found = spark.range(1).select(
-        F.lit(start).alias("id"), F.lit(0).cast("bigint").alias("level")
-    )
-    seen, frontier = found, found
+    root = links.sparkSession.range(1).select(F.lit(start).alias("id"))
+    frontier = reached = root
+    found = root.withColumn("level", F.lit(0).cast("bigint"))
     mapped_parts, edge_parts = [], []
     for level in range(levels):
-        small = cap**level <= BROADCAST_ROWS
-        ids = frontier.select("id")
-        near = F.broadcast(ids) if small else ids
-        sources = near.withColumnRenamed("id", "src")
-        out = limit_links_per_page(links.join(sources, "src"), cap, order=order)
-        out = cut_lineage(
-            out.select("src", "dst", "rank", F.lit(level).cast("bigint").alias("level"))
-        )
+        near = F.broadcast(frontier) if cap**level <= BROADCAST_ROWS else frontier
+        nearby = links.join(near.withColumnRenamed("id", "src"), "src")
+        out = limit_links_per_page(nearby, cap, order=order).select("src", "dst", "rank")
+        out = cut_lineage(out.withColumn("level", F.lit(level).cast("bigint")))
+        edge_parts.append(out)
         if pages is None:
-            mapped = out.select(F.col("src").alias("id")).distinct()
+            mapped_parts.append(out.select(F.col("src").alias("id")).distinct())
         else:
-            mapped = cut_lineage(pages.select("id").join(near, "id", "left_semi").distinct())
-        if level == 0 and mapped.isEmpty():
-            seen = found.limit(0)
-            edge_parts.append(out)
-            mapped_parts.append(mapped)
+            exist = pages.select("id").join(near, "id", "left_semi").distinct()
+            mapped_parts.append(cut_lineage(exist))
+        if level == 0 and mapped_parts[0].isEmpty():
+            found = found.limit(0)
             break
-        mapped_parts.append(mapped)
-        edge_parts.append(out)
-        frontier = cut_lineage(
-            out.select(F.col("dst").alias("id"))
-            .distinct()
-            .join(seen.select("id"), "id", "left_anti")
-            .withColumn("level", F.lit(level + 1).cast("bigint"))
-        )
+        ends = out.select(F.col("dst").alias("id"))
+        found = found.unionByName(ends.withColumn("level", F.lit(level + 1).cast("bigint")))
+        frontier = ends.distinct().join(reached, "id", "left_anti")
+        reached = reached.unionByName(ends)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
     mapped = reduce(DataFrame.unionByName, mapped_parts).withColumn("_mapped", F.lit(True))
-    vertices = seen.join(mapped, "id", "left").select(
+    first = found.groupBy("id").agg(F.min("level").alias("level"))
+    vertices = first.join(mapped, "id", "left").select(
         "id", "level", F.col("_mapped").isNotNull().alias("is_mapped")
     )
     return vertices, reduce(DataFrame.unionByName, edge_parts)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from dumpweave.fixed_values import TRAILING_CHUNKS
 from dumpweave.functions.text import unslug
 from dumpweave.plans.ordered import global_index, running_total
-from dumpweave.plans.session import cut_lineage
+from dumpweave.plans.session import store
 from dumpweave.plans.skew import SALTS, top_per_key
 
-PART_LINKS = 1_000_000
+PART_LINKS = 100_000
 
 
 def ns0_links(links: DataFrame) -> DataFrame:
@@ -58,9 +58,9 @@ def collect_page_links(links: DataFrame, part_links: int = PART_LINKS) -> DataFr
     only then ``_`` becomes a space. A page with more than ``part_links`` links
     has several parts, in order, so that no row or task holds more; all others
     have part 0 only. Copies are folded into counts before anything is moved,
-    and the folded links are checkpointed, as they are read twice.
+    and the folded links are stored, as they are read twice.
     """
-    folded = cut_lineage(links.groupBy("pl_from", "title").agg(F.count("*").alias("n")))
+    folded = store(links.groupBy("pl_from", "title").agg(F.count("*").alias("n")))
     totals = folded.groupBy("pl_from").agg(F.sum("n").alias("_total"))
     wide = totals.where(F.col("_total") > part_links).select("pl_from")
     if wide.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dumpweave.plans.session import cut_lineage
+from dumpweave.plans.session import store
 
 
 def running_total(df: DataFrame, order: list[Column], weight: Column, out: str) -> DataFrame:
@@ -14,10 +14,10 @@ def running_total(df: DataFrame, order: list[Column], weight: Column, out: str)
     ``order`` must tell rows apart (fold copies into a weight first). Rows are
     range-partitioned, which also spreads a hot leading key; each range is
     summed by itself, and the ranges' totals, one row per partition, are summed
-    up and added. The range number is sampled, so it is checkpointed before two
-    branches read it.
+    up and added. Range bounds are sampled, so the ranges are stored before two
+    branches read them.
     """
-    ranged = cut_lineage(
+    ranged = store(
         df.repartitionByRange(*order)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_weight", weight.cast("bigint"))

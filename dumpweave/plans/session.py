@@ -33,21 +33,38 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder; a lost executor costs nothing."""
+    """Checkpoint ``df`` into the shared folder; for what one step hands to the next."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table into the shared folder and read that.
+
+    For large results that several later steps read. As with a checkpoint they
+    outlive the executors that computed them; the table is also columnar, so
+    each step takes only the columns and rows it needs, and joins are planned
+    with its real size.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Adaptive execution on, with hot join keys split even at an extra shuffle.
 
     All lookup joins here have one row per key on one side, so a hot key can
     be split on the other side without changing the result. Which side is
-    broadcast is left to sizes measured at run time; nothing is forced.
+    broadcast is left to sizes measured at run time; nothing is forced. Sizes
+    of files are estimated as unpacked, so that a small compressed table is
+    not taken for a small one in memory.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", "4.0")
     return spark
 
 

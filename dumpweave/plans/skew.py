@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 1024
+SALTS = 4096
 # up to this k Spark's own per-task limit before the shuffle is enough: a key
 # then brings at most k rows from each task
 SMALL_K = 100

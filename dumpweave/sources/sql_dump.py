@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import DUMP_COLUMNS, INSERT_LINE
+from dumpweave.plans.barrier import once
 
 # a quoted string with escapes, or a number or NULL
 _QUOTED = r"'(?:[^'\\]++|\\.)*+'"
 _FIELD = rf"(?:{_QUOTED}|[^,()']++)"
-_TUPLE = rf"\((?:[^()']++|{_QUOTED})++\)"
+# neither character occurs in titles or numbers
+_ROW, _COLUMN = "\x02", "\x01"
 
 
 def read_sql_dump_lines(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
@@ -27,11 +29,15 @@ def insert_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(INSERT_LINE))
 
 
-def _unquoted(field: Column, unescape: bool) -> Column:
-    inner = F.when(field.startswith("'"), field.substr(F.lit(2), F.length(field) - 2)).when(
-        field != "NULL", field
-    )
-    return F.regexp_replace(inner, r"\\(.)", "$1") if unescape else inner
+def _number(field: Column) -> Column:
+    return F.btrim(field, F.lit("'")).try_cast("bigint")
+
+
+def _text(field: Column, unescape: bool) -> Column:
+    inner = F.when(field.startswith("'"), field.substr(F.lit(2), F.length(field) - 2))
+    if not unescape:
+        return inner
+    return F.when(field.contains("\\"), F.regexp_replace(inner, r"\\(.)", "$1")).otherwise(inner)
 
 
 def parse_sql_dump(lines: DataFrame, kind: str, unescape: bool = True) -> DataFrame:
@@ -42,23 +48,23 @@ def parse_sql_dump(lines: DataFrame, kind: str, unescape: bool = True) -> DataFr
     """
     if kind not in DUMP_COLUMNS:
         raise ValueError(f"unknown kind {kind!r}, not one of {', '.join(DUMP_COLUMNS)}")
-    text_columns = {"title", "restrictions", "category"}
-    body = F.regexp_replace("value", rf"^.*?{INSERT_LINE}", "")
-    # fields are split inside the generator: its output is computed once, however
-    # often the columns and later filters refer to it
-    fields = insert_lines(lines).select(
-        F.explode(
-            F.transform(
-                F.regexp_extract_all(body, F.lit(_TUPLE), F.lit(0)),
-                lambda t: F.regexp_extract_all(t, F.lit(_FIELD), F.lit(0)),
-            )
-        ).alias("_fields")
+    names = DUMP_COLUMNS[kind]
+    body = F.expr(
+        "substring(value, locate(' VALUES ', value, locate('INSERT INTO ', value)) + 8)"
     )
+    # one pass over a line marks where its tuples begin and their first columns
+    # end; cutting at the marks is cheap, and columns not needed are never cut
+    row = r"\(" + ",".join([f"({_FIELD})"] * len(names)) + rf"(?:,{_FIELD})*+\)"
+    mark = _ROW + "".join(f"${i + 1}{_COLUMN}" for i in range(len(names)))
+    marked = F.regexp_replace(body, row, mark)
+    pieces = insert_lines(lines).select(F.explode(F.split(marked, _ROW)).alias("_piece"))
+    pieces = pieces.where(F.col("_piece").contains(_COLUMN))
+    fields = once(pieces, _fields=F.split("_piece", _COLUMN))
+    text_columns = {"title", "restrictions", "category"}
     columns = []
-    for position, name in enumerate(DUMP_COLUMNS[kind]):
-        value = _unquoted(F.get("_fields", F.lit(position)), unescape and name in text_columns)
-        if name not in text_columns:
-            value = value.try_cast("bigint")
+    for position, name in enumerate(names):
+        field = F.get("_fields", F.lit(position))
+        value = _text(field, unescape) if name in text_columns else _number(field)
         columns.append(value.alias(name))
     return fields.select(*columns)
 
