@@ -999,13 +999,18 @@ def _(spark, sf):
 
 
 # --- graph --------------------------------------------------------------------------------------
-def _level_graph(spark, sf):
-    stored_links = store(v.graph_links(spark, sf))  # read once per level
-    return graph.level_graph(
-        stored_links, v.GRAPH_START, v.GRAPH_LEVELS, v.GRAPH_CAP, order=("dst",)
+def _stored_graph(spark, sf):
+    """The links, read once per level, and the level graph's vertices and edges."""
+    found = store(v.graph_links(spark, sf))
+    return found, *graph.level_graph(
+        found, v.GRAPH_START, v.GRAPH_LEVELS, v.GRAPH_CAP, order=("dst",)
     )
 
 
+def _level_graph(spark, sf):
+    return _stored_graph(spark, sf)[1:]
+
+
 @query(
     "g1_level_graph",
     f"with {v.V_GRAPH} select id, level, level < 3 as is_mapped from v_vertices",
@@ -1019,8 +1024,8 @@ _EDGES = "v_edges as (select c.src, c.dst from v_capped c join v_vertices x on x
 
 @query("g2_graph_edges", f"with {v.V_GRAPH}, {_EDGES} select src, dst from v_edges")
 def _(spark, sf):
-    vertices, _ = _level_graph(spark, sf)
-    return graph.graph_edges(v.graph_links(spark, sf), vertices, v.GRAPH_CAP, order=("dst",))
+    found, vertices, _ = _stored_graph(spark, sf)
+    return graph.graph_edges(found, vertices, v.GRAPH_CAP, order=("dst",))
 
 
 @query(
@@ -1030,8 +1035,8 @@ def _(spark, sf):
     from n left join v_vertices x using (id)""",
 )
 def _(spark, sf):
-    vertices, _ = _level_graph(spark, sf)
-    names = v.graph_links(spark, sf).select(F.col("src").alias("id")).distinct()
+    found, vertices, _ = _stored_graph(spark, sf)
+    names = found.select(F.col("src").alias("id")).distinct()
     return graph.vertex_status(vertices, names)
 
 
