@@ -21,7 +21,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="dumpweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

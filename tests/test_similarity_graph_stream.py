@@ -189,3 +189,28 @@ def test_one_batch_equals_batch_dedupe(spark, tmp_path):
 
 def test_shared_folder_is_the_one_named(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+class _Session:
+    """Just what ``shared_dir`` asks of a session that names no folder."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+        self.sparkContext = self.conf = self
+
+    def get(self, key, default=None):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder_when_none_is_named():
+    local = _Session("local[2]")
+    first = shared_dir(local)
+    assert first and shared_dir(local) == first == local.folder
+    with pytest.raises(RuntimeError):
+        shared_dir(_Session("spark://host:7077"))
