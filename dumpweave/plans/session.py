@@ -2,33 +2,72 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
+    """Folder for checkpoints and intermediate tables that all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    master may fall back to a temporary folder: on a cluster its files would
-    be lost with the machine.
+    It is the one the session names in ``spark.checkpoint.dir``; where that is
+    unset, a folder in the warehouse. Never a machine's temporary folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="dumpweave-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_scopes: list[str] = []
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[str]:
+    """Delete the intermediate tables made inside, once what reads them is done.
+
+    Write or collect the result inside the scope. Without one, they go when the
+    driver's process ends.
+    """
+    folder = work_dir(spark, "scope")
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        _delete(spark, folder)
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A folder of its own for one run, below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/dumpweave/{purpose}-{uuid.uuid4().hex}"
+    name = f"{purpose}-{uuid.uuid4().hex}"
+    if _scopes:
+        return f"{_scopes[-1]}/{name}"
+    application = f"{shared_dir(spark).rstrip('/')}/dumpweave/{spark.sparkContext.applicationId}"
+    if application not in _applications:
+        _applications.add(application)
+        atexit.register(_forget, spark, application)
+    return f"{application}/{name}"
+
+
+_applications: set[str] = set()
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    with suppress(Exception):  # the session may be gone by then
+        _delete(spark, folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -37,18 +76,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read that.
 
     For large results that several later steps read. As with a checkpoint they
     outlive the executors that computed them; the table is also columnar, so
     each step takes only the columns and rows it needs, and joins are planned
-    with its real size.
+    with its real size. ``options`` are those of the Parquet writer.
     """
     spark = df.sparkSession
     path = work_dir(spark, "stage")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, **options)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stage_path = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete the table behind a result of ``store`` that nothing reads any more."""
+    _delete(stored.sparkSession, stored.stage_path)
 
 
 def configure(spark: SparkSession) -> SparkSession:

@@ -15,11 +15,15 @@ def con():
     return connect(SF)
 
 
+# the queries of the operators on training data have tests of their own
+NAMES = sorted(set(entry.queries()) - set(entry.LLM_QUERIES))
+
+
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(NAMES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     assert difference(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
 

@@ -1,5 +1,6 @@
 import json
 import math
+import os
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dumpweave.operators import graph, similarity
 from dumpweave.operators.pages import dedupe_by_title
-from dumpweave.plans.session import cut_lineage, shared_dir
+from dumpweave.plans.session import cut_lineage, shared_dir, stages, store
 from dumpweave.streaming.incremental import incremental_load, load_log
 
 CORPUS = {
@@ -192,14 +193,14 @@ def test_shared_folder_is_the_one_named(spark):
 
 
 class _Session:
-    """Just what ``shared_dir`` asks of a session that names no folder."""
+    """Just what ``shared_dir`` asks of a session that names no folder for checkpoints."""
 
-    def __init__(self, master):
-        self.master, self.folder = master, None
+    def __init__(self):
+        self.folder = None
         self.sparkContext = self.conf = self
 
     def get(self, key, default=None):
-        return default
+        return {"spark.sql.warehouse.dir": "hdfs://host/warehouse"}.get(key, default)
 
     def getCheckpointDir(self):
         return self.folder
@@ -209,8 +210,15 @@ class _Session:
 
 
 def test_shared_folder_when_none_is_named():
-    local = _Session("local[2]")
-    first = shared_dir(local)
-    assert first and shared_dir(local) == first == local.folder
-    with pytest.raises(RuntimeError):
-        shared_dir(_Session("spark://host:7077"))
+    session = _Session()
+    first = shared_dir(session)
+    assert first == "hdfs://host/warehouse/_stages"
+    assert shared_dir(session) == first == session.folder
+
+
+def test_stage_tables_go_with_their_scope(spark):
+    with stages(spark):
+        kept = store(spark.range(3))
+        folder = kept.stage_path
+        assert kept.count() == 3 and os.path.exists(folder)
+    assert not os.path.exists(folder)
