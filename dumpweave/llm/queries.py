@@ -62,11 +62,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 OP1_SQL = r"""
 with recursive cleaned as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents
 ), shingles as (
   select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) end) as s
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) end) as s
   from cleaned
 ), sizes as (
   select doc_id, count(*) as n from shingles group by doc_id
@@ -77,12 +77,12 @@ with recursive cleaned as (
   where 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
   group by a.doc_id, b.doc_id, x.n, y.n
   having 100 * count(*) >= 85 * (x.n + y.n - count(*))
-), both as (
+), edges as (
   select a, b from links union all select b, a from links
 ), reach as (
   select doc_id as a, doc_id as b from documents
   union
-  select r.a, e.b from reach r join both e on e.a = r.b
+  select r.a, e.b from reach r join edges e on e.a = r.b
 )
 select c.doc_id, coalesce(any_value(z.n), 0)::bigint as n_shingles, min(r.b) as component_id
 from cleaned c left join sizes z on z.doc_id = c.doc_id join reach r on r.a = c.doc_id
@@ -146,7 +146,7 @@ with words as (
   from benchmark
 ), windows as (
   select distinct item_id, least(len(w), 10) as k,
-    unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), i -> array_to_string(w[i:i+9], ' '))) as s
+    unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i+9], ' '))) as s
   from items where len(w) > 0
 ), lengths as (
   select distinct k from windows
