@@ -58,18 +58,54 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Edges of a task as stars: each node to the smallest one its task links it to."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        if len(root) > FOREST_NODES:
+            yield _stars(root, find)
+            root.clear()
+    yield _stars(root, find)
+
+
+# nodes that a task links by itself before it passes them on
+FOREST_NODES = 1_000_000
+
+
+def _stars(root: dict[int, int], find: Callable[[int], int]) -> dict:
+    nodes = [x for x in root if root[x] != x]
+    return {"a": nodes, "b": [find(x) for x in nodes]}
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in ``edges`` (a, b): the smallest node it reaches.
 
-    Large-star and small-star in turn, each a join-free grouping of edges, until
-    the edges no longer change; the number of rounds grows with the logarithm of
-    the longest path. Edges of a step are stored, so that a lost executor costs
-    one step. A hub with very many edges is never gathered: minima are combined
-    in the map tasks and joined back.
+    Tasks link what they hold; then large-star and small-star in turn, until
+    every node hangs on its label directly. The number of rounds grows with the
+    logarithm of the longest path. Edges of a step are stored, so that a lost
+    executor costs one step. A hub with very many edges is never gathered:
+    minima are combined in the map tasks and joined back.
     """
-    edges = store(edges.select("a", "b").where("a <> b").distinct())
-    before = None
+    edges = store(map_partition(edges.select("a", "b").where("a <> b"), _local_forest, "a long, b long").distinct())
     while True:
+        # stars: a node hangs on one other, which hangs on none
+        child, parent = F.lit(1).alias("child"), F.lit(0).alias("child")
+        ends = edges.select("a", child).union(edges.select(F.col("b").alias("a"), parent))
+        loose = ends.groupBy("a").agg(F.sum("child").alias("n"), F.min("child").alias("least"))
+        if loose.where("n > 1 or (n = 1 and least = 0)").isEmpty():
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
         # large star: a node's larger neighbours move to its smallest neighbour
@@ -85,15 +121,10 @@ def components(edges: DataFrame) -> DataFrame:
         )
         former, edges = edges, store(small.where("a <> b").distinct())
         discard(former)
-        state = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
-            break
-        before = state
-    labels = edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
-    roots = edges.select(F.col("b").alias("node")).distinct().withColumn("label", F.col("node"))
-    return labels.union(roots.join(labels.select("node"), "node", "left_anti"))
+    roots = edges.select(F.col("b").alias("node")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
+        roots.withColumn("label", F.col("node"))
+    )
 
 
 def file_system(path: str):

@@ -7,11 +7,11 @@ in at least one of them, so they are merged. The lists of its other, frequent
 tokens are the long ones: they are never built or merged; a candidate is probed
 for each of those tokens by binary search in its own sorted set.
 
-Equal sets are folded into one node first. Lists are merged in three rounds. In
-the first two, each node of a list meets the first and the previous one only;
-verified links are folded into components. In the last, all pairs of a list
-meet whose nodes still lie in different components, after exact bounds from
-length, position and a parity bitmap. A group of many near copies thus costs
+Equal sets are folded into one node first. Lists are merged twice. First each
+node of a list meets the first and the previous one only, in two orders, and
+verified links are folded into components. Then all pairs of a list meet whose
+nodes still lie in different components, after exact bounds from length,
+position and a parity bitmap. A group of many near copies thus costs
 about its size, and no link between components is lost. A list that is too long
 for one task is split into blocks that meet two by two.
 """
@@ -106,36 +106,43 @@ def _parity_bits(owner: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray
     return np.packbits(odd.astype(np.uint8).reshape(rows, width), axis=1).view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, how: Similar) -> Iterator[dict]:
-    for part, data, offsets in K.chunks(batch, rows=8_000):
-        owner, hashes = shingle_sets(data, offsets, how.k)
-        n, node = set_names(owner, hashes, part.num_rows)
-        bits = _parity_bits(owner, hashes, part.num_rows)
-        yield {
-            "doc_id": part.column("doc_id"),
-            "n": n,
-            "node": node.view(np.int64),
-            "bits": pa.ListArray.from_arrays(
-                pa.array(np.arange(0, bits.size + 1, BITMAP_WORDS), pa.int32()), pa.array(bits.ravel())
-            ),
-        }
+SETS = "doc_id long, n int, node long, bits array<long>, block int, counts binary"
 
 
-def token_counters(docs: DataFrame, how: Similar) -> np.ndarray:
-    """How many documents hold a token of each counter; ``COUNTERS`` numbers, whatever the input."""
+def _sets(batches: Iterator[pa.RecordBatch], how: Similar) -> Iterator[dict]:
+    """A row for each text, and at a task's end rows with its counters, by block.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            for _, data, offsets in K.chunks(batch):
-                _, hashes = shingle_sets(data, offsets, how.k)
-                total += np.bincount((hashes >> K.U64(44)).astype(np.int64), minlength=COUNTERS)
-        if total.any():
-            blocks = total.reshape(-1, COUNTER_BLOCK)
+    A counter counts the texts with a token of that counter.
+    """
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for part, data, offsets in K.chunks(batch, rows=8_000):
+            rows = part.num_rows
+            owner, hashes = shingle_sets(data, offsets, how.k)
+            n, node = set_names(owner, hashes, rows)
+            bits = _parity_bits(owner, hashes, rows)
+            total += np.bincount((hashes >> K.U64(44)).astype(np.int64), minlength=COUNTERS)
             yield {
-                "block": np.arange(len(blocks)),
-                "counts": [np.minimum(b, 2**31 - 1).astype(np.int32).tobytes() for b in blocks],
+                "doc_id": part.column("doc_id"),
+                "n": n,
+                "node": node.view(np.int64),
+                "bits": pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, bits.size + 1, BITMAP_WORDS), pa.int32()), pa.array(bits.ravel())
+                ),
+                "block": pa.nulls(rows),
+                "counts": pa.nulls(rows),
             }
+    if total.any():
+        blocks = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(-1, COUNTER_BLOCK)
+        none = pa.nulls(len(blocks))
+        yield {
+            "doc_id": none, "n": none, "node": none, "bits": none,
+            "block": np.arange(len(blocks)), "counts": [b.tobytes() for b in blocks],
+        }
+
+
+def token_counters(blocks: DataFrame) -> np.ndarray:
+    """The sums of all tasks' counters: ``COUNTERS`` numbers, whatever the input."""
 
     def add(frame):
         import pandas as pd
@@ -144,25 +151,22 @@ def token_counters(docs: DataFrame, how: Similar) -> np.ndarray:
         capped = np.minimum(total, 2**31 - 1).astype(np.int32)
         return pd.DataFrame({"block": [frame["block"].iloc[0]], "counts": [capped.tobytes()]})
 
-    schema = "block int, counts binary"
-    parts = map_partition(docs.select("text"), count, schema)
     total = np.zeros((COUNTERS // COUNTER_BLOCK, COUNTER_BLOCK), dtype=np.int32)
-    for row in parts.groupBy("block").applyInPandas(add, schema).collect():
+    for row in blocks.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
         total[row["block"]] = np.frombuffer(row["counts"], dtype=np.int32)
     return total.ravel()
 
 
-def _short_lists(docs: DataFrame, how: Similar) -> DataFrame:
+def _short_lists(docs: DataFrame, counts: np.ndarray, how: Similar) -> DataFrame:
     """Entries (token, n, node, rank) of the lists to merge, in lists of two nodes or more.
 
     ``rank`` is the token's place in its set, rare tokens first.
     """
-    context = docs.sparkSession.sparkContext
-    counters = context.broadcast(token_counters(docs, how))
+    counters = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 65_535).astype(np.uint16))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()
-        frequency = np.minimum(counters.value, 65_535).astype(np.uint16)
+        frequency = counters.value
         for batch in batches:
             for part, data, offsets in K.chunks(batch):
                 owner, hashes = shingle_sets(data, offsets, how.k)
@@ -285,64 +289,105 @@ def _all_pairs(lists: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
     )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for group in _groups(batches, ("token", "lo", "hi")):
-            yield from _bounded_pairs(group, how)
+        for lists in _whole_lists(batches):
+            yield from _bounded_pairs(lists, how)
 
     return map_partition(dealt, pairs, "a long, b long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict]:
-    """Runs of equal keys in a sorted stream, at most ``2 * BLOCK_NODES`` entries each."""
+LIST_KEYS = ("token", "lo", "hi")
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Batches of a sorted stream cut between lists; one list is ``2 * BLOCK_NODES`` entries at most."""
     rest: dict | None = None
     for batch in batches:
         now = {
-            c: batch.column(c).to_numpy(zero_copy_only=False)
+            c: batch.column(c).to_numpy()
             if c != "bits"
             else batch.column(c).flatten().to_numpy().reshape(-1, BITMAP_WORDS)
             for c in batch.schema.names
         }
         if rest is not None:
             now = {c: np.concatenate([rest[c], now[c]]) for c in now}
-        change = np.zeros(len(now[keys[0]]) - 1, dtype=bool)
-        for c in keys:
-            change |= now[c][1:] != now[c][:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            yield {c: v[lo:hi] for c, v in now.items()}
-        rest = {c: v[cuts[-1] :] for c, v in now.items()}
+        start = np.flatnonzero(_list_starts(now))[-1]
+        if start:
+            yield {c: v[:start] for c, v in now.items()}
+        rest = {c: v[start:] for c, v in now.items()}
     if rest is not None:
         yield rest
 
 
-def _bounded_pairs(g: dict, how: Similar) -> Iterator[dict]:
-    n, node, rank, label, bits = (g[c] for c in ("n", "node", "rank", "label", "bits"))
-    n, rank = n.astype(np.int64), rank.astype(np.int64)
-    bits = np.ascontiguousarray(bits).view(np.uint64)
-    block, across = g["block"], g["lo"][0] != g["hi"][0]
-    # sorted by n: the partners of i end where sets get too long
-    limit = np.searchsorted(n, n * how.den // how.num, side="right")
-    for i in range(len(n) - 1):
-        j = np.arange(i + 1, limit[i])
-        j = j[label[j] != label[i]]
-        if across:
-            j = j[block[j] != block[i]]
-        elif not len(j):
-            continue
-        need = how.overlap(n[i], n[j])
-        most = (
-            np.minimum(rank[i], rank[j]) + 1 + np.minimum(n[i] - rank[i], n[j] - rank[j]) - 1
-        )
-        j, need = j[most >= need], need[most >= need]
-        if not len(j):
-            continue
-        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        j = j[differ <= n[i] + n[j] - 2 * need]
-        if len(j):
-            yield {"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, how: Similar) -> DataFrame:
+def _list_starts(lists: dict) -> np.ndarray:
+    start = np.zeros(len(lists["token"]), dtype=bool)
+    start[:1] = True
+    for c in LIST_KEYS:
+        start[1:] |= lists[c][1:] != lists[c][:-1]
+    return start
+
+
+def _bounded_pairs(lists: dict, how: Similar) -> Iterator[dict]:
+    """Pairs within each list, for all lists at once: entries and those d places on, for each d."""
+    n, rank, node, label = (lists[c].astype(np.int64) for c in ("n", "rank", "node", "label"))
+    bits = np.ascontiguousarray(lists["bits"]).view(np.uint64)
+    block, across = lists["block"], lists["lo"] != lists["hi"]
+    number = np.cumsum(_list_starts(lists))
+    i, d = np.arange(len(n)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(n)]
+        # lists are sorted by n: once a partner's set is too long, later ones are too
+        i = i[(number[i + d] == number[i]) & (n[i] * how.den >= n[i + d] * how.num)]
+        j = i + d
+        keep = (label[i] != label[j]) & (~across[i] | (block[i] != block[j]))
+        a, b = i[keep], j[keep]
+        need = how.overlap(n[a], n[b])
+        # shared tokens before this one, this one, and those that can follow
+        most = np.minimum(rank[a], rank[b]) + np.minimum(n[a] - rank[a], n[b] - rank[b])
+        a, b, need = (x[most >= need] for x in (a, b, need))
+        for at in range(0, len(a), 100_000):
+            x, y, least = (v[at : at + 100_000] for v in (a, b, need))
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            near = differ <= n[x] + n[y] - 2 * least
+            x, y = x[near], y[near]
+            if len(x):
+                yield {"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}
+
+
+def _texts(nodes: DataFrame, members: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
+    """(node, text) of the given nodes: the text of the document that stands for each.
+
+    A bitmap of fixed size marks the wanted ids, so that few other texts are
+    shuffled. Should an id be repeated, the text with the node's set counts.
+    """
+    wanted = store(members.select(F.col("rep").alias("doc_id"), "node").join(nodes, "node"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("int")
+    marks = np.zeros(MARKS, dtype=bool)
+    # at most ``MARKS`` numbers
+    marks[wanted.select(place.alias("mark")).distinct().toPandas()["mark"].to_numpy(dtype=np.int64)] = True
+    marked = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def choose(batch: pa.RecordBatch) -> Iterator[dict]:
+        known = np.unpackbits(marked.value).view(bool)
+        own = batch.filter(pa.array(known[batch.column("mark").to_numpy()]))
+        yield {c: own.column(c) for c in ("doc_id", "text")}
+
+    rows = docs.where("doc_id is not null").withColumn("mark", place)
+    chosen = map_batches(rows, choose, "doc_id long, text string")
+    own = map_batches(
+        chosen.join(wanted, "doc_id").select("node", "text"), lambda b: _of_node(b, how), "node long, text string"
+    )
+    return store(own.dropDuplicates(["node"]))
+
+
+# bits of the bitmap of wanted documents
+MARKS = 1 << 22
+
+
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
     """Pairs whose sets reach the overlap: tokens of one probed in the sorted set of the other."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _texts(nodes, members, docs, how)
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
@@ -404,21 +449,15 @@ def jaccard_components(
     """
     how = Similar(k, num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = store(map_batches(docs, lambda b: _sets(b, how), "doc_id long, n int, node long, bits array<long>"))
+    parsed = store(map_partition(docs, lambda b: _sets(b, how), SETS))
+    sets = parsed.where("block is null").select("doc_id", "n", "node", "bits")
+    counts = token_counters(parsed.where("block is not null").select("block", "counts"))
     filled = sets.where("n > 0 and doc_id is not null")
+    lists = store(_short_lists(docs.where("doc_id is not null"), counts, how))
     classes = filled.groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")
     )
-    lists = store(_short_lists(docs.where("doc_id is not null"), how))
     members = store(classes.join(lists.select("node").distinct(), "node"))
-    # the rep's text; should its id be repeated, the text that has the node's set
-    texts = store(
-        map_batches(
-            docs.join(members.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("node", "text"),
-            lambda b: _of_node(b, how),
-            "node long, text string",
-        ).dropDuplicates(["node"])
-    )
     # rows that share an id join their nodes
     links = (
         filled.groupBy("doc_id")
@@ -428,21 +467,13 @@ def jaccard_components(
         .select(F.col("least").alias("a"), "b")
         .where("a <> b")
     )
-    links = store(links)
-    labels = None
-    for salt in (0, 1, None):
-        if labels is None:
-            known = lists.withColumn("label", F.col("node"))
-        else:
-            known = lists.join(labels, "node", "left").withColumn(
-                "label", F.coalesce("label", "node")
-            )
-        if salt is None:
-            pairs = _all_pairs(known, members, how)
-        else:
-            pairs = _by_bitmap(_star_pairs(known, how, salt), members, how)
-        links = store(links.union(_verified(pairs, texts, how).select("a", "b")))
-        labels = components(links)
+    known = lists.withColumn("label", F.col("node"))
+    stars = _star_pairs(known, how, 0).union(_star_pairs(known, how, 1)).distinct()
+    found = _verified(store(_by_bitmap(stars, members, how)), members, docs, how)
+    labels = store(components(links.union(found)))
+    known = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = _verified(store(_all_pairs(known, members, how)), members, docs, how)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
     rooted = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(
         labels, "node", "left"
     )
