@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driver_queries import views as v
 from driver_queries.views import parsed, table
-from dumpweave.fixed_values import STOP_WORDS
+from dumpweave.fixed_values import EXPECTED_PAGES, STOP_WORDS
 from dumpweave.functions import text as tx
 from dumpweave.functions import wikitext as wt
 from dumpweave.functions.translit import transliterate
@@ -639,13 +639,16 @@ def _(spark, sf):
     return top.withColumn("weight", six("weight"))
 
 
+FILE_LIMIT = 7
+
+
 @query(
     "w5_limit_per_file",
     f"""with {v.V_DUPS}
-    select * from v_dups qualify row_number() over (partition by file_start order by pos) <= 2000""",
+    select * from v_dups qualify row_number() over (partition by file_start order by pos) <= {FILE_LIMIT}""",
 )
 def _(spark, sf):
-    return pages.limit_per_file(v.chunked_pages(spark, sf))
+    return pages.limit_per_file(v.chunked_pages(spark, sf), FILE_LIMIT)
 
 
 @query(
@@ -931,7 +934,7 @@ def _(spark, sf):
 @query(
     "x2_pairwise_cosine",
     f"""with {_CORPUS}, {_TFIDF},
-    p as (select doc as a, doc + 1 as b from corpus)
+    p as (select doc as a, doc + 1 as b from corpus union select doc, doc + 7 from corpus where doc % 3 = 0)
     select a, b, round(coalesce(sum(x.weight * y.weight), 0), 6) as similarity
     from p left join vec x on x.doc = a left join vec y on y.doc = b and y.term = x.term
     group by 1, 2""",
@@ -939,21 +942,27 @@ def _(spark, sf):
 def _(spark, sf):
     docs = _corpus(spark, sf)
     vectors = store(similarity.tfidf(docs))
-    pairs = docs.select(F.col("doc").alias("a"), (F.col("doc") + 1).alias("b"))
+    near = docs.select(F.col("doc").alias("a"), (F.col("doc") + 1).alias("b"))
+    far = docs.where("doc % 3 = 0").select(F.col("doc").alias("a"), (F.col("doc") + 7).alias("b"))
+    pairs = near.unionByName(far).unionByName(far)  # with gaps and repeats
     return similarity.pairwise_cosine(vectors, pairs).withColumn("similarity", six("similarity"))
 
 
 @query(
     "x3_melt_terms",
-    """with w as (select l_suppkey as doc, l_returnflag as term, count(*)::double as weight
-      from lineitem where l_linestatus = 'O' group by all) select * from w""",
+    """select l_suppkey as doc, l_returnflag || l_linestatus as term, count(*)::double as weight
+      from lineitem group by all""",
 )
 def _(spark, sf):
-    open_items = table(spark, sf, "lineitem").where(F.col("l_linestatus") == "O")
-    wide = open_items.groupBy(F.col("l_suppkey").alias("doc")).agg(
-        *[F.count_if(F.col("l_returnflag") == f).cast("double").alias(f) for f in "ANR"]
+    items = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("doc"), F.concat("l_returnflag", "l_linestatus").alias("term")
+    )
+    # the terms, a few flags, name the columns of the wide matrix
+    terms = sorted(row["term"] for row in items.select("term").distinct().collect())
+    wide = items.groupBy("doc").agg(
+        *[F.count_if(F.col("term") == t).cast("double").alias(t) for t in terms]
     )
-    return similarity.melt_terms(wide, list("ANR"))
+    return similarity.melt_terms(wide, terms)
 
 
 def _page_links_and_texts(spark, sf):
@@ -1019,6 +1028,34 @@ def _(spark, sf):
     return _level_graph(spark, sf)[0]
 
 
+_ALL_LINKS = f"""{v.V_GRAPH.rsplit("v_walk as", 1)[0]}
+v_reach as (
+  select '{v.GRAPH_START}' as id, 0 as level
+  union
+  select g.dst, r.level + 1 from v_reach r join v_graph g on g.src = r.id where r.level < {v.GRAPH_LEVELS}),
+v_all as (select id, min(level)::bigint as level from v_reach group by id)"""
+
+
+@query(
+    "g1_level_graph_uncapped",
+    f"with {_ALL_LINKS} select id, level, level < {v.GRAPH_LEVELS} as is_mapped from v_all",
+)
+def _(spark, sf):
+    found = store(v.graph_links(spark, sf))
+    return graph.level_graph(found, v.GRAPH_START, v.GRAPH_LEVELS)[0]
+
+
+@query(
+    "g2_graph_edges_uncapped",
+    f"""with {_ALL_LINKS} select g.src, g.dst from v_graph g join v_all a on a.id = g.src
+    where a.level < {v.GRAPH_LEVELS}""",
+)
+def _(spark, sf):
+    found = store(v.graph_links(spark, sf))
+    vertices, _ = graph.level_graph(found, v.GRAPH_START, v.GRAPH_LEVELS)
+    return graph.graph_edges(found, vertices)
+
+
 _EDGES = "v_edges as (select c.src, c.dst from v_capped c join v_vertices x on x.id = c.src where x.level < 3)"
 
 
@@ -1162,10 +1199,12 @@ def _(spark, sf):
 
 @query(
     "k4_expected_count_gate",
-    "select count(*) as n_rows, 6301565::bigint as expected, count(*) = 6301565 as is_full from lineitem",
+    f"""select count(*) as n_rows, {EXPECTED_PAGES}::bigint as expected, count(*) = {EXPECTED_PAGES} as is_full
+    from lineitem union all select count(*), 25::bigint, count(*) = 25 from nation""",
 )
 def _(spark, sf):
-    return sinks.expected_count_gate(table(spark, sf, "lineitem"))
+    loaded = sinks.expected_count_gate(table(spark, sf, "lineitem"), EXPECTED_PAGES)
+    return loaded.unionByName(sinks.expected_count_gate(table(spark, sf, "nation"), 25))
 
 
 @query(
@@ -1251,4 +1290,4 @@ def _(spark, sf):
         incremental_load(
             spark, f"{root}/arriving", schema, f"{root}/loaded", f"{root}/checkpoint"
         )
-    return load_log(spark, f"{root}/loaded", schema).drop("batch_id")
+    return load_log(spark, f"{root}/loaded", schema).drop("stream", "batch_id")

@@ -188,11 +188,11 @@ def page_table(spark, sf) -> DataFrame:
 
 
 def talk_candidates(spark, sf) -> DataFrame:
-    """Talk pages of all customers but one segment's, and of suppliers, who have no page."""
-    customers = (
-        table(spark, sf, "customer")
-        .where(F.col("c_mktsegment") != "BUILDING")
-        .select((F.col("c_custkey") + 1 + TALK_OFFSET).alias("page_id"), F.col("c_name").alias("page_title"))
+    """Talk pages of all customers and suppliers; one segment's, and the suppliers', have no page."""
+    no_page = F.concat(F.lit("Lost "), F.col("c_name"))
+    title = F.when(F.col("c_mktsegment") == "BUILDING", no_page).otherwise(F.col("c_name"))
+    customers = table(spark, sf, "customer").select(
+        (F.col("c_custkey") + 1 + TALK_OFFSET).alias("page_id"), title.alias("page_title")
     )
     suppliers = table(spark, sf, "supplier").select(
         (F.col("s_suppkey") + 1 + 2 * TALK_OFFSET).alias("page_id"),
@@ -213,8 +213,8 @@ def quality_candidates(spark, sf) -> DataFrame:
 V_TABLES = f"""
 v_page as (select c_custkey + 1 as page_id, c_name as page_title from customer),
 v_talk_all as (
-  select c_custkey + 1 + {TALK_OFFSET} as page_id, c_name as page_title from customer
-  where c_mktsegment <> 'BUILDING'
+  select c_custkey + 1 + {TALK_OFFSET} as page_id,
+    case c_mktsegment when 'BUILDING' then 'Lost ' else '' end || c_name as page_title from customer
   union all select s_suppkey + 1 + {2 * TALK_OFFSET}, s_name from supplier),
 v_talk as (select * from v_talk_all where page_title in (select page_title from v_page)),
 v_quality_all as (
@@ -285,8 +285,8 @@ def wikitext(spark, sf) -> DataFrame:
 
 V_LEAD = rf"""
 v_lead as (
-  select doc_id, least(len(regexp_extract_all({FIRST_LINE}, '[\p{{L}}\p{{N}}_]+')), 4098) + 2 as length,
-         list_slice(regexp_extract_all(strip_accents(replace({FIRST_LINE}, 'ß', 'ss')), '[\p{{L}}\p{{N}}_]+'), 1, 4098) as lead
+  select doc_id, len(regexp_extract_all({FIRST_LINE}, '[\p{{L}}\p{{N}}_]+')) + 2 as length,
+         regexp_extract_all(strip_accents(replace({FIRST_LINE}, 'ß', 'ss')), '[\p{{L}}\p{{N}}_]+') as lead
   from documents)
 """
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dumpweave.fixed_values import LEAD_TOKENS, SPECIAL_TOKENS, STOP_WORDS, TERM, TOKEN
+from dumpweave.fixed_values import SPECIAL_TOKENS, STOP_WORDS, TERM, TOKEN
 from dumpweave.plans.barrier import once
 
 
@@ -61,22 +61,25 @@ def colour_by_attribute(value: Column, colours: Mapping[object, str], other: str
 
 def lead_tokens(
     df: DataFrame,
-    cap: int = LEAD_TOKENS,
+    cap: int | None = None,
     tokenizer: Callable[[Column], Column] = tokens,
 ) -> DataFrame:
-    """Add ``lead``, the tokens of ``sections[0]``, cut so that they and the
-    two special tokens a model adds fit ``cap``; NULL if there is no section.
+    """Add ``lead``, the tokens of ``sections[0]``; NULL if there is no section.
+
+    With a ``cap`` they are cut so that they and the two special tokens a model
+    adds fit it.
 
     ``tokenizer`` maps a text column to an array column; a sub-word model can
     be plugged in as a pandas UDF.
     """
     first = F.get("sections", F.lit(0))
-    return once(
-        df, lead=F.when(first.isNotNull(), F.slice(tokenizer(first), 1, cap - SPECIAL_TOKENS))
-    )
+    found = tokenizer(first)
+    if cap is not None:
+        found = F.slice(found, 1, cap - SPECIAL_TOKENS)
+    return once(df, lead=F.when(first.isNotNull(), found))
 
 
-def lead_token_length(df: DataFrame, cap: int = LEAD_TOKENS, **options) -> DataFrame:
+def lead_token_length(df: DataFrame, cap: int | None = None, **options) -> DataFrame:
     """Add ``length``: tokens of the lead with the special ones, 0 without a section."""
     with_lead = lead_tokens(df, cap, **options)
     length = F.when(F.col("lead").isNotNull(), F.size("lead") + SPECIAL_TOKENS).otherwise(0)

@@ -1,16 +1,19 @@
 """Wikitext: markup, headings and sections, links.
 
-Contract: comments, templates (nested up to ``depth``), wiki and external
-links, tags, quote marks, common entities and headings. Table markup and
-parser functions are not interpreted.
+Contract: comments, templates and wiki links nested to any depth, external
+links, tags, quote marks, common entities and headings. Single braces, as in
+parameters and tables, are text: inside a template they go with it. Marks that
+are never closed, or close nothing, stay. Table markup and parser functions are
+not interpreted.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dumpweave.fixed_values import HEADING, LEAD
 from dumpweave.functions.translit import transliterate
@@ -25,13 +28,46 @@ def strip_space(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACE))
 
 
-def strip_markup(text: Column, depth: int = 6, headings: bool = True) -> Column:
+def _pieces(text: Column, mark: str, close: str) -> Column:
+    """The text cut at opening and closing marks, marks included.
+
+    Of three closing characters in a row the last two are the mark.
+    """
+    closing = rf"{close}{close}(?!{close}(?!{close}))"
+    marks = rf"{mark}{mark}|{closing}"
+    return F.regexp_extract_all(text, F.lit(rf"(?s){marks}|(?:(?!{marks}).)++"), F.lit(0))
+
+
+def _fold_marks(
+    text: Column, opening: str, closing: str, inner: Callable[[Column], Column]
+) -> Column:
+    """Replace all marked stretches, inner ones first, by ``inner`` of what they hold.
+
+    The fold keeps a stack of the stretches that are open.
+    """
+
+    def step(stack: Column, piece: Column) -> Column:
+        rest = F.slice(stack, F.lit(1), F.size(stack) - 1)
+        top = F.element_at(stack, -1)
+        below = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 2, F.lit(0)))
+        closed = F.concat(F.element_at(rest, -1), inner(top))
+        return (
+            F.when(piece == opening, F.concat(stack, F.array(F.lit(""))))
+            .when((piece == closing) & (F.size(stack) > 1), F.concat(below, F.array(closed)))
+            .otherwise(F.concat(rest, F.array(F.concat(top, piece))))
+        )
+
+    pieces = _pieces(text, re.escape(opening[0]), re.escape(closing[0]))
+    open_ = F.aggregate(pieces, F.array(F.lit("")), step)
+    return F.when(text.contains(opening), F.array_join(open_, opening)).otherwise(text)
+
+
+def strip_markup(text: Column, headings: bool = True) -> Column:
     """The visible text. NULL gives ''. ``headings=False`` leaves heading lines alone."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->", "")
-    for _ in range(depth):  # innermost braces first
-        out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
-    for _ in range(3):  # a caption may hold links of its own
-        out = F.regexp_replace(out, r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")
+    out = _fold_marks(out, "{{", "}}", lambda _: F.lit(""))
+    # a caption may hold links of its own
+    out = _fold_marks(out, "[[", "]]", lambda held: F.regexp_replace(held, r"(?s)^[^|]*\|", ""))
     out = F.regexp_replace(out, r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\]]*))?\]", "$1")
     out = F.regexp_replace(out, r"</?[A-Za-z][^<>]*>", "")
     out = F.regexp_replace(out, r"'{2,}", "")
@@ -70,28 +106,51 @@ def extract_sections(
 
 
 def bracket_contents(text: Column) -> Column:
-    """Contents of all ``[[...]]``, nested ones too, ordered by where they open.
-
-    Balanced brackets are beyond regular expressions, hence an Arrow UDF.
-    """
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def scan(texts: pd.Series) -> pd.Series:
-        import re
-
-        def contents(value):
-            opened, found = [], []
-            for mark in re.finditer(r"\[\[|\]\]", value or ""):
-                if mark.group() == "[[":
-                    opened.append(mark.end())
-                elif opened:
-                    start = opened.pop()
-                    found.append((start, value[start : mark.start()]))
-            return [inner for _, inner in sorted(found)]
-
-        return texts.map(contents)
+    """Contents of all ``[[...]]``, nested ones too, ordered by where they open."""
+    entry = "struct<at:int,held:string>"
+    none = F.array().cast(f"array<{entry}>")
+    start = F.struct(F.lit(0).alias("n"), none.alias("open"), none.alias("found"))
+
+    def one(at: Column, held: Column) -> Column:
+        return F.array(F.struct(at.alias("at"), held.alias("held")))
+
+    def step(state: Column, piece: Column) -> Column:
+        stack, last = state["open"], F.element_at(state["open"], -1)
+        rest = F.slice(stack, F.lit(1), F.size(stack) - 1)
+        outer = F.element_at(rest, -1)
+        whole = F.concat(F.lit("[["), last["held"], F.lit("]]"))
+        closed = F.when(
+            F.size(stack) > 1,
+            F.concat(F.slice(rest, F.lit(1), F.size(rest) - 1), one(outer["at"], F.concat(outer["held"], whole))),
+        ).otherwise(none)
+        return (
+            F.when(
+                piece == "[[",
+                F.struct(
+                    (state["n"] + 1).alias("n"), F.concat(stack, one(state["n"], F.lit(""))).alias("open"),
+                    state["found"].alias("found"),
+                ),
+            )
+            .when(F.size(stack) == 0, state)
+            .when(
+                piece == "]]",
+                F.struct(
+                    state["n"].alias("n"), closed.alias("open"),
+                    F.concat(state["found"], F.array(last)).alias("found"),
+                ),
+            )
+            .otherwise(
+                F.struct(
+                    state["n"].alias("n"),
+                    F.concat(rest, one(last["at"], F.concat(last["held"], piece))).alias("open"),
+                    state["found"].alias("found"),
+                )
+            )
+        )
 
-    return scan(text)
+    pieces = _pieces(F.coalesce(text, F.lit("")), r"\[", r"\]")
+    found = F.aggregate(pieces, start, step)["found"]
+    return F.transform(F.array_sort(found), lambda x: x["held"])
 
 
 def extract_links(text: Column, use: str = "target") -> Column:

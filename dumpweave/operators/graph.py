@@ -8,63 +8,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dumpweave.operators.links import limit_links_per_page
-from dumpweave.plans.session import cut_lineage
-
-# a frontier is broadcast only while its largest possible size is below this
-BROADCAST_ROWS = 100_000
-# the most vertices a single JSON document may have
-DOCUMENT_VERTICES = 100_000
-
-
-def largest_graph(levels: int, cap: int) -> int:
-    """Vertices a level graph can have at most."""
-    return sum(cap**level for level in range(levels + 1))
+from dumpweave.plans.session import cut_lineage, store
 
 
 def level_graph(
     links: DataFrame,
     start: str,
     levels: int = 1,
-    cap: int = 10,
+    cap: int | None = None,
     pages: DataFrame | None = None,
     order: tuple[str, ...] = ("pos",),
 ) -> tuple[DataFrame, DataFrame]:
     """(vertices ``id, level, is_mapped``, edges ``src, dst, rank, level``).
 
-    ``links`` has ``src, dst`` and the ``order`` columns; of every page the first
-    ``cap`` links count, whether or not they lead to something new. ``pages``
+    ``links`` has ``src, dst`` and the ``order`` columns. All links count; with a
+    ``cap`` the first ones of every page do, whether or not they lead to
+    something new. ``rank`` is a link's place among those of its page, NULL
+    without a cap. ``pages``
     (``id``) tells which pages exist, by default those with links. A page that
     does not exist stays in as an unmapped vertex; a start page that does not
     exist gives an empty graph. The last level is not mapped.
 
     Each level is one join of the links with the frontier, the vertices found
-    last; the links it follows are checkpointed, and all else is derived from
-    those. A frontier of level n has at most cap ** n rows: while that is small
-    it is broadcast, and the links are read in place, after that it is joined
-    by shuffle. Nothing is collected, and the loop ends when nothing new is
-    found.
+    last; the links it follows are checkpointed, and the frontier is stored, so
+    that its measured size decides how it is joined. Nothing is collected, and
+    the loop ends when nothing new is found.
     """
     root = links.sparkSession.range(1).select(F.lit(start).alias("id"))
     frontier = reached = root
     found = root.withColumn("level", F.lit(0).cast("bigint"))
     mapped_parts, edge_parts = [], []
     for level in range(levels):
-        near = F.broadcast(frontier) if cap**level <= BROADCAST_ROWS else frontier
-        nearby = links.join(near.withColumnRenamed("id", "src"), "src")
-        out = limit_links_per_page(nearby, cap, order=order).select("src", "dst", "rank")
+        nearby = links.join(frontier.withColumnRenamed("id", "src"), "src")
+        out = _first_links(nearby, cap, order).select("src", "dst", "rank")
         out = cut_lineage(out.withColumn("level", F.lit(level).cast("bigint")))
         edge_parts.append(out)
         if pages is None:
             mapped_parts.append(out.select(F.col("src").alias("id")).distinct())
         else:
-            exist = pages.select("id").join(near, "id", "left_semi").distinct()
+            exist = pages.select("id").join(frontier, "id", "left_semi").distinct()
             mapped_parts.append(cut_lineage(exist))
         if level == 0 and mapped_parts[0].isEmpty():
             found = found.limit(0)
             break
         ends = out.select(F.col("dst").alias("id"))
         found = found.unionByName(ends.withColumn("level", F.lit(level + 1).cast("bigint")))
-        frontier = ends.distinct().join(reached, "id", "left_anti")
+        frontier = store(ends.distinct().join(reached, "id", "left_anti"))
         reached = reached.unionByName(ends)
         if frontier.isEmpty():
             break
@@ -76,13 +65,19 @@ def level_graph(
     return vertices, reduce(DataFrame.unionByName, edge_parts)
 
 
-def graph_edges(links: DataFrame, vertices: DataFrame, cap: int, order=("pos",)) -> DataFrame:
-    """One edge per capped link of every mapped vertex; self, parallel and opposite
-    edges are all kept."""
+def _first_links(links: DataFrame, cap: int | None, order: tuple[str, ...]) -> DataFrame:
+    if cap is None:
+        return links.withColumn("rank", F.lit(None).cast("int"))
+    return limit_links_per_page(links, cap, order=order)
+
+
+def graph_edges(
+    links: DataFrame, vertices: DataFrame, cap: int | None = None, order=("pos",)
+) -> DataFrame:
+    """One edge per link of every mapped vertex, with a ``cap`` per first link; self,
+    parallel and opposite edges are all kept."""
     mapped = vertices.where(F.col("is_mapped")).select(F.col("id").alias("src"))
-    return limit_links_per_page(links.join(mapped, "src", "left_semi"), cap, order=order).select(
-        "src", "dst"
-    )
+    return _first_links(links.join(mapped, "src", "left_semi"), cap, order).select("src", "dst")
 
 
 def vertex_status(vertices: DataFrame, names: DataFrame) -> DataFrame:
@@ -148,26 +143,3 @@ def write_graph(vertices: DataFrame, edges: DataFrame, folder: str, name: str) -
     _nodes(vertices).write.mode("overwrite").json(f"{target}/nodes")
     _links(edges).write.mode("overwrite").json(f"{target}/links")
     return target
-
-
-def graph_document(vertices: DataFrame, edges: DataFrame, levels: int, cap: int) -> DataFrame:
-    """One row, ``json``: the graph as one document, for display.
-
-    Only for graphs that ``levels`` and ``cap`` keep small; larger ones are
-    written by ``write_graph``.
-    """
-    if largest_graph(levels, cap) > DOCUMENT_VERTICES:
-        raise ValueError("the graph may be too large for one document, use write_graph")
-    nodes = vertices.agg(
-        F.sort_array(F.collect_list(F.struct(F.col("level").alias("group"), "id"))).alias("nodes")
-    ).select(F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), n["group"].alias("group"))))
-    links = edges.agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("level", "src", "rank", "dst"))),
-            lambda e: F.struct(
-                e["src"].alias("source"), e["dst"].alias("target"), F.lit(1).alias("value")
-            ),
-        )
-    )
-    document = F.struct(nodes.scalar().alias("nodes"), links.scalar().alias("links"))
-    return vertices.sparkSession.range(1).select(F.to_json(document).alias("json"))

@@ -63,8 +63,6 @@ def collect_page_links(links: DataFrame, part_links: int = PART_LINKS) -> DataFr
     folded = store(links.groupBy("pl_from", "title").agg(F.count("*").alias("n")))
     totals = folded.groupBy("pl_from").agg(F.sum("n").alias("_total"))
     wide = totals.where(F.col("_total") > part_links).select("pl_from")
-    if wide.isEmpty():
-        return _arrays(folded.withColumn("part", F.lit(0).cast("bigint")))
     narrow = folded.join(wide, "pl_from", "left_anti")
     placed = running_total(
         folded.join(wide, "pl_from", "left_semi"),

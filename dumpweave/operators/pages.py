@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dumpweave.fixed_values import OTHER_NAMESPACE, PAGES_PER_FILE, TITLE_LENGTH
+from dumpweave.fixed_values import OTHER_NAMESPACE, TITLE_LENGTH
 from dumpweave.functions.text import unslug
 from dumpweave.functions.translit import transliterate
-from dumpweave.plans.skew import SALTS, mark_first, top_per_key
+from dumpweave.plans.ordered import global_index
+from dumpweave.plans.skew import SALTS, top_per_key
 
 
 def article_pages(pages: DataFrame, namespace_mode: str = "colon") -> DataFrame:
     """Pages that are articles, with ``title_ascii`` beside the raw title.
 
-    ``colon`` drops titles with a colon inside, ``ns`` drops pages whose ``ns``
+    These are the pages that ``article_status`` keeps.
+    """
+    kept = article_status(pages, namespace_mode).where(F.col("status") == "kept").drop("status")
+    return kept.withColumn("title_ascii", transliterate(F.col("title")))
+
+
+def article_status(pages: DataFrame, namespace_mode: str = "colon") -> DataFrame:
+    """All pages with ``status``: kept, or why a page is no article or not taken.
+
+    ``colon`` leaves out titles with a colon inside, ``ns`` pages whose ``ns``
     is not 0. Redirects and titles above the length limit, counted before
-    transliteration, are dropped in both modes.
+    transliteration, are left out in both modes.
     """
     if namespace_mode == "colon":
         article = ~F.col("title").rlike(OTHER_NAMESPACE)
@@ -24,10 +34,14 @@ def article_pages(pages: DataFrame, namespace_mode: str = "colon") -> DataFrame:
         article = F.col("ns") == 0
     else:
         raise ValueError(f"unknown namespace_mode {namespace_mode!r}")
-    short = F.char_length("title") <= TITLE_LENGTH
-    return pages.where(article & short & ~F.col("is_redirect")).withColumn(
-        "title_ascii", transliterate(F.col("title"))
+    status = (
+        F.when(F.col("title").isNull(), "no title")
+        .when(F.col("is_redirect"), "redirect")
+        .when(~F.coalesce(article, F.lit(False)), "other namespace")
+        .when(F.char_length("title") > TITLE_LENGTH, "long title")
+        .otherwise("kept")
     )
+    return pages.withColumn("status", status)
 
 
 def pages_in_namespace(pages: DataFrame, namespace: int) -> DataFrame:
@@ -79,19 +93,19 @@ def dedupe_by_title(
     pages: DataFrame,
     existing: DataFrame | None = None,
     key: str = "title",
-    salts: int = SALTS,
 ) -> DataFrame:
     """Add ``status``: added for the page of a title that is loaded, else duplicate.
 
     Pages come in chunks of files, ``file_start, chunk, pos``. The earliest
     chunk wins, and within a chunk the last position, as chunks are emptied
     from the end. Titles in ``existing`` are duplicates whatever their place.
+    Places are unique. The winners' places are found from the titles alone and
+    combined in the map tasks, so whole pages are moved once.
     """
-    order = [F.col("file_start"), F.col("chunk"), F.col("pos").desc()]
-    marked = mark_first(
-        pages, [key], order, ["file_start", "chunk", "pos"], flag="_first", salts=salts
-    )
-    fresh = F.col("_first")
+    place = F.struct("file_start", "chunk", (-F.col("pos")).alias("pos"))
+    winners = pages.groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_winner"))
+    marked = pages.join(winners, F.col(key).eqNullSafe(F.col("_key")))
+    fresh = F.col("_winner").eqNullSafe(place)
     if existing is not None:
         # only the titles that occur in the pages at hand are looked for
         seen = (
@@ -110,7 +124,7 @@ def duplicate_log(loaded: DataFrame) -> DataFrame:
     return loaded.where(F.col("status") == "duplicate").drop("status")
 
 
-def limit_per_file(pages: DataFrame, n: int = PAGES_PER_FILE, salts: int = SALTS) -> DataFrame:
+def limit_per_file(pages: DataFrame, n: int, salts: int = SALTS) -> DataFrame:
     """The first ``n`` pages of every file, in file order (``file_start, pos``)."""
     return top_per_key(
         pages, ["file_start"], [F.col("pos")], n, ["pos"], rank="_rank", salts=salts
@@ -147,8 +161,13 @@ def load_totals(loaded: DataFrame) -> DataFrame:
 
 
 def page_of_rows(df: DataFrame, key: list[str], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in key order."""
-    return df.orderBy(*key).offset(offset).limit(limit)
+    """Rows ``offset`` to ``offset + limit`` in key order.
+
+    Rows are numbered range by range, so no task holds those before the page.
+    """
+    numbered = global_index(df, [F.col(k) for k in key], "_place")
+    page = numbered.where((F.col("_place") >= offset) & (F.col("_place") < offset + limit))
+    return page.orderBy("_place").drop("_place")
 
 
 def page_after(df: DataFrame, key: str, after, limit: int) -> DataFrame:
@@ -171,15 +190,35 @@ def table_count(df: DataFrame) -> DataFrame:
 def page_diff(old: DataFrame, new: DataFrame, key: str = "title") -> DataFrame:
     """Per page of two snapshots: added, removed, changed or same.
 
-    All columns other than the key are compared; NULL equals NULL.
+    All columns other than the key are compared; NULL equals NULL, also as a
+    key. Where a key is repeated, equal pages are the same, of the rest as many
+    as both have are changed, and what is left over is added or removed.
     """
     columns = [c for c in old.columns if c != key]
-    a = old.select(F.col(key), F.struct(*columns).alias("_old"))
-    b = new.select(F.col(key), F.struct(*columns).alias("_new"))
-    status = (
-        F.when(F.col("_old").isNull(), "added")
-        .when(F.col("_new").isNull(), "removed")
-        .when(F.col("_old").eqNullSafe(F.col("_new")), "same")
-        .otherwise("changed")
+
+    def side(df: DataFrame, before: int, after: int) -> DataFrame:
+        return df.select(
+            F.col(key), F.struct(*columns).alias("_page"),
+            F.lit(before).alias("_old"), F.lit(after).alias("_new"),
+        )
+
+    pages = side(old, 1, 0).unionByName(side(new, 0, 1)).groupBy(key, "_page")
+    counted = pages.agg(F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
+    same = F.least("_old", "_new")
+    by_key = counted.groupBy(key).agg(
+        F.sum(same).alias("_same"),
+        F.sum(F.col("_old") - same).alias("_old"),
+        F.sum(F.col("_new") - same).alias("_new"),
     )
-    return a.join(b, key, "full_outer").select(key, status.alias("status"))
+    changed = F.least("_old", "_new")
+    outcomes = [
+        ("same", F.col("_same")),
+        ("changed", changed),
+        ("removed", F.col("_old") - changed),
+        ("added", F.col("_new") - changed),
+    ]
+    outcome = F.explode(F.array(*[F.struct(F.lit(s).alias("status"), n.alias("n")) for s, n in outcomes]))
+    told = by_key.select(key, outcome.alias("_o")).where(F.col("_o.n") > 0)
+    return told.select(
+        key, F.col("_o.status").alias("status"), F.explode(F.sequence(F.lit(1), F.col("_o.n"))).alias("_i")
+    ).drop("_i")

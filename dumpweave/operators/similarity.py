@@ -39,6 +39,7 @@ def tfidf(docs: DataFrame) -> DataFrame:
 def pairwise_cosine(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     """``a, b, similarity`` for the pairs given; 0 where no term is shared.
 
+    A pair that is given more than once has one row.
     Work grows with the pairs' terms. Nothing is paired up that was not asked
     for: a term that all documents hold is matched within asked pairs only.
     ``vectors`` is read twice, so pass a stored or checkpointed one.
@@ -47,6 +48,7 @@ def pairwise_cosine(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     right = vectors.select(F.col("doc").alias("b"), "term", F.col("weight").alias("_wb"))
     return (
         pairs.select("a", "b")
+        .distinct()
         .join(left, "a", "left")
         .join(right, ["b", "term"], "left")
         .groupBy("a", "b")
@@ -65,7 +67,7 @@ def similar_pages(
         F.col("src").alias("a"), F.col("dst").alias("b")
     )
     scored = (
-        pairwise_cosine(vectors, pairs.distinct())
+        pairwise_cosine(vectors, pairs)
         .where(F.col("similarity") >= threshold)
         .select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity")
     )

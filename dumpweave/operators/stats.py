@@ -6,10 +6,10 @@ is one row per distinct length, whatever the number of pages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dumpweave.fixed_values import LEAD_TOKENS, PERCENTILES, SPECIAL_TOKENS
+from dumpweave.fixed_values import PERCENTILES, SPECIAL_TOKENS
 from dumpweave.functions.text import lead_tokens
 
 
@@ -46,12 +46,12 @@ def length_histogram(df: DataFrame, length: str = "length", bins: int = 10) -> D
 
     Empty bins are listed. If all lengths are equal they get a range of 1.
     """
-    everything = Window.partitionBy()  # over one row per distinct length
-    ranged = _counted(df, length).select(
+    counted = _counted(df, length)
+    ranged = counted.select(
         F.col("x").cast("double").alias("x"),
         "n",
-        F.min("x").over(everything).cast("double").alias("_low"),
-        F.max("x").over(everything).cast("double").alias("_high"),
+        counted.agg(F.min("x").cast("double")).scalar().alias("_low"),
+        counted.agg(F.max("x").cast("double")).scalar().alias("_high"),
     )
     pad = F.when(F.col("_low") == F.col("_high"), 0.5).otherwise(0.0)
     ranged = ranged.select(
@@ -73,7 +73,7 @@ def length_histogram(df: DataFrame, length: str = "length", bins: int = 10) -> D
 
 
 def unknown_share(
-    pages: DataFrame, vocabulary: DataFrame, cap: int = LEAD_TOKENS, **options
+    pages: DataFrame, vocabulary: DataFrame, cap: int | None = None, **options
 ) -> DataFrame:
     """One row: lead tokens that ``vocabulary`` (``token``) lacks, all lead tokens
     with the special ones, and the percentage.

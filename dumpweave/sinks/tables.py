@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumpweave.fixed_values import EXPECTED_PAGES
 from dumpweave.sources.tables import SCHEMAS
 
 
@@ -34,7 +33,7 @@ def rebuild_tables(
             write_table(tables.get(name, spark.createDataFrame([], schema)), root, name)
 
 
-def expected_count_gate(df: DataFrame, expected: int = EXPECTED_PAGES) -> DataFrame:
+def expected_count_gate(df: DataFrame, expected: int) -> DataFrame:
     """One row: the table's rows, those expected, and whether a load can be skipped."""
     return df.agg(F.count("*").alias("n_rows")).select(
         "n_rows",

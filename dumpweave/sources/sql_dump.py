@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from dumpweave.fixed_values import DUMP_COLUMNS, INSERT_LINE
 from dumpweave.plans.barrier import once
 
-# a quoted string with escapes, or a number or NULL
-_QUOTED = r"'(?:[^'\\]++|\\.)*+'"
-_FIELD = rf"(?:{_QUOTED}|[^,()']++)"
+# a quoted string with escapes, which a word may introduce, or a number or NULL, or nothing
+_QUOTED = r"(?:_\w++\s*+)?'(?:[^'\\]++|\\.)*+'"
+_FIELD = rf"(?:{_QUOTED}|[^,()']*+)"
 # neither character occurs in titles or numbers
 _ROW, _COLUMN = "\x02", "\x01"
 
@@ -34,6 +34,7 @@ def _number(field: Column) -> Column:
 
 
 def _text(field: Column, unescape: bool) -> Column:
+    field = F.when(field.startswith("_"), F.regexp_replace(field, r"^_\w+\s*", "")).otherwise(field)
     inner = F.when(field.startswith("'"), field.substr(F.lit(2), F.length(field) - 2))
     if not unescape:
         return inner
@@ -49,14 +50,10 @@ def parse_sql_dump(lines: DataFrame, kind: str, unescape: bool = True) -> DataFr
     if kind not in DUMP_COLUMNS:
         raise ValueError(f"unknown kind {kind!r}, not one of {', '.join(DUMP_COLUMNS)}")
     names = DUMP_COLUMNS[kind]
-    body = F.expr(
-        "substring(value, locate(' VALUES ', value, locate('INSERT INTO ', value)) + 8)"
-    )
     # one pass over a line marks where its tuples begin and their first columns
     # end; cutting at the marks is cheap, and columns not needed are never cut
-    row = r"\(" + ",".join([f"({_FIELD})"] * len(names)) + rf"(?:,{_FIELD})*+\)"
     mark = _ROW + "".join(f"${i + 1}{_COLUMN}" for i in range(len(names)))
-    marked = F.regexp_replace(body, row, mark)
+    marked = F.regexp_replace(_body(), _tuple_pattern(kind), mark)
     pieces = insert_lines(lines).select(F.explode(F.split(marked, _ROW)).alias("_piece"))
     pieces = pieces.where(F.col("_piece").contains(_COLUMN))
     fields = once(pieces, _fields=F.split("_piece", _COLUMN))
@@ -69,6 +66,25 @@ def parse_sql_dump(lines: DataFrame, kind: str, unescape: bool = True) -> DataFr
     return fields.select(*columns)
 
 
+def _body() -> Column:
+    return F.expr(
+        "substring(value, locate(' VALUES ', value, locate('INSERT INTO ', value)) + 8)"
+    )
+
+
+def _tuple_pattern(kind: str) -> str:
+    return r"\(" + ",".join([f"({_FIELD})"] * len(DUMP_COLUMNS[kind])) + rf"(?:,{_FIELD})*+\)"
+
+
+def rejected_sql_tuples(lines: DataFrame, kind: str) -> DataFrame:
+    """``value``: what the INSERT lines hold beside tuples of this kind, piece by piece."""
+    left = F.regexp_replace(_body(), _tuple_pattern(kind), _ROW)
+    pieces = insert_lines(lines).select(F.explode(F.split(left, _ROW)).alias("value"))
+    # commas between tuples and the end of the statement are nothing to report
+    pieces = pieces.select(F.regexp_replace("value", r"^[,\s]+|[,;\s]+$", "").alias("value"))
+    return pieces.where(F.col("value") != "")
+
+
 def read_sql_dump(
     spark: SparkSession, path: str, kind: str, unescape: bool = True, tasks: int | None = None
 ) -> DataFrame:

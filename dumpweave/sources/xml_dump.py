@@ -11,7 +11,7 @@ from dumpweave.plans.barrier import once
 
 PAGE_SCHEMA = (
     "title string, ns bigint, id bigint, redirect struct<_title:string>, "
-    "revision struct<id:bigint, text:struct<_VALUE:string,_bytes:bigint>>"
+    "revision struct<id:bigint, text:struct<_VALUE:string,_bytes:bigint>>, _broken string"
 )
 
 
@@ -65,15 +65,29 @@ def parse_xml_pages(records: DataFrame) -> DataFrame:
     """Pages from ``value``, each holding at most one ``<page>`` element.
 
     Columns: ``title, ns, id, is_redirect, redirect_title, rev_id, text`` and
-    ``file`` if the input has it. Empty text is ''.
+    ``file`` if the input has it. Empty text is ''. Elements that are not well
+    formed give no page; ``rejected_xml_pages`` has them.
     """
+    return _pages(_parsed(records).where(F.col("p._broken").isNull()))
+
+
+def rejected_xml_pages(records: DataFrame) -> DataFrame:
+    """``value`` (and ``file``) of the ``<page>`` elements that are not well formed."""
+    keep = ["file"] if "file" in records.columns else []
+    return _parsed(records).where(F.col("p._broken").isNotNull()).select(*keep, "value")
+
+
+def _parsed(records: DataFrame) -> DataFrame:
     page = F.concat(F.regexp_extract("value", r"(?s)<page>.*", 0), F.lit("</page>"))
     page = F.regexp_replace(page, r"(?s)(</page>)\s*</page>\s*$", "$1")
-    keep = ["file"] if "file" in records.columns else []
-    parsed = once(
-        records.where(F.col("value").contains("<page>")),
-        p=F.from_xml(page, PAGE_SCHEMA, {"ignoreSurroundingSpaces": "false"}),
+    options = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_broken"}
+    return once(
+        records.where(F.col("value").contains("<page>")), p=F.from_xml(page, PAGE_SCHEMA, options)
     )
+
+
+def _pages(parsed: DataFrame) -> DataFrame:
+    keep = ["file"] if "file" in parsed.columns else []
     return parsed.select(
         *keep,
         F.col("p.title").alias("title"),

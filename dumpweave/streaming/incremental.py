@@ -11,8 +11,8 @@ from dumpweave.operators.pages import dedupe_by_title
 
 
 def _loaded(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame | None:
-    full = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
-    full = full.add("status", "string")
+    full = T.StructType(schema.fields + [T.StructField("stream", T.StringType())])
+    full = full.add("batch_id", "long").add("status", "string")
     try:
         return spark.read.schema(full).parquet(target)
     except AnalysisException as error:
@@ -29,13 +29,17 @@ def incremental_load(
     checkpoint: str,
     key: str = "title",
     files_per_batch: int | None = None,
+    existing: DataFrame | None = None,
 ) -> None:
     """Load all files of ``source`` that were not loaded yet, then stop.
 
-    A page whose title is not stored yet is added, any other is logged as a
-    duplicate. Both go to ``target`` in one write, by ``batch_id`` and
-    ``status``. A batch replayed after a failure overwrites its own folder and
-    is compared with earlier batches only, so it ends as if it ran once.
+    A page whose title is not stored yet, in ``target`` or in ``existing`` (such
+    as a table that was built before), is added, any other is logged as a
+    duplicate. Both go to ``target`` in one write, by ``stream``, ``batch_id``
+    and ``status``. ``stream`` is the id that the checkpoint gives: a new
+    checkpoint starts a stream of its own beside what others have loaded. A
+    batch replayed after a failure overwrites its own folder and is compared
+    with all others but later ones of its stream, so it ends as if it ran once.
     Titles are unique over all history, so they are looked up in the stored
     table rather than kept as stream state; only its title column is read.
     """
@@ -45,14 +49,21 @@ def incremental_load(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("the batch does not tell which stream it belongs to")
         stored = _loaded(session, target, schema)
         if stored is not None:
-            stored = stored.where((F.col("batch_id") < batch_id) & (F.col("status") == "added"))
+            own = (F.col("stream") == stream) & (F.col("batch_id") >= batch_id)
+            stored = stored.where(~own & (F.col("status") == "added")).select(key)
+        if existing is not None:
+            before = existing.select(key)
+            stored = before if stored is None else stored.unionByName(before)
         (
             dedupe_by_title(batch, stored, key)
             .write.mode("overwrite")
             .partitionBy("status")
-            .parquet(f"{target}/batch_id={batch_id}")
+            .parquet(f"{target}/stream={stream}/batch_id={batch_id}")
         )
 
     query = (
@@ -66,7 +77,7 @@ def incremental_load(
 
 
 def load_log(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    """All pages that arrived, with ``batch_id`` and ``status``."""
+    """All pages that arrived, with ``stream``, ``batch_id`` and ``status``."""
     loaded = _loaded(spark, target, schema)
     if loaded is None:
         raise FileNotFoundError(target)
