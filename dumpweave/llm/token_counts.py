@@ -186,7 +186,7 @@ def with_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def build(batch: pa.RecordBatch) -> Iterator[dict]:
         bpe = encoder(tokenizer)
-        for part, data, offsets in K.chunks(batch):
+        for part, data, offsets in K.chunks(batch, limit=1 << 20):
             yield {c: part.column(c) for c in part.schema.names} | {"tree": _trees(bpe, data, offsets)}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

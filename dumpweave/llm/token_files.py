@@ -177,7 +177,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         bpe = encoder(tokenizer)
         kind = id_type(max(bpe.tokenizer.get_vocab_size(), end_id + 1))
         for batch in batches:
-            for part, data, offsets in K.chunks(batch):
+            for part, data, offsets in K.chunks(batch, limit=1 << 20):
                 ids, bounds = bpe.encode(data, offsets)
                 ended = np.insert(ids, bounds[1:], end_id).astype(kind)
                 bounds = (bounds + np.arange(len(bounds))) * ended.itemsize
