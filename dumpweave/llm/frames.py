@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,12 +34,22 @@ def map_partition(
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in function(batch for batch in batches if batch.num_rows):
-            yield to_batch(columns, schema)
+        try:
+            for columns in function(batch for batch in batches if batch.num_rows):
+                yield to_batch(columns, schema)
+        finally:
+            give_back_memory()
 
     return df.mapInArrow(run, ddl)
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system, as a worker stays while others run."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [

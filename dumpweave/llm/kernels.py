@@ -79,7 +79,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(
-    batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20, rows: int = 60_000
+    batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20, rows: int = 60_000
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Consecutive rows of at most ``limit`` bytes of text (or one longer row).
 
