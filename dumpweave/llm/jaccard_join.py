@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
 from dumpweave.llm.frames import components, map_batches, map_partition
-from dumpweave.plans.session import store
+from dumpweave.plans.session import discard, store
 
 # Counters of the token order. Tokens that share a counter are taken for as
 # frequent as all of them together; any order gives the same result.
@@ -412,7 +412,9 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, how: Simila
                 assert half.column(c).null_count == 0
             yield {c: half.column(c).to_numpy()[linked] for c in ("a", "b")}
 
-    return map_batches(pairs.join(left, "a").join(right, "b"), probe, "a long, b long")
+    found = store(map_batches(pairs.join(left, "a").join(right, "b"), probe, "a long, b long"))
+    discard(texts)
+    return found
 
 
 def _by_bitmap(pairs: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
@@ -474,6 +476,8 @@ def jaccard_components(
     known = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = _verified(store(_all_pairs(known, members, how)), members, docs, how)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
+    for done in (lists, members):
+        discard(done)
     rooted = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(
         labels, "node", "left"
     )

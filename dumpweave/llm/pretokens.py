@@ -28,7 +28,7 @@ SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 # white space of the pattern
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # distinct pieces that a worker remembers before it starts anew
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 
 
 @cache

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from dumpweave.llm import kernels as K
 from dumpweave.llm.frames import map_partition, open_input, open_output
 from dumpweave.llm.pretokens import encoder
-from dumpweave.plans.session import store, work_dir
+from dumpweave.plans.session import discard, store, work_dir
 
 MAGIC, VERSION = b"TIDS", 1
 LONGEST = 18
@@ -322,4 +322,6 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     encoded = store(encode_documents(docs, tokenizer, end_id), compression="zstd")
     code = Code(code_lengths(id_counts(encoded, vocabulary)))
     folder = folder or work_dir(docs.sparkSession, "tokens")
-    return read_files(write_files(encoded, code, folder, vocabulary), code)
+    catalogue = write_files(encoded, code, folder, vocabulary)
+    discard(encoded)
+    return read_files(catalogue, code)
