@@ -283,7 +283,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     [np.bincount(s.text, weights=words[:, i], minlength=rows) for i in range(len(languages))],
                     axis=1,
                 )
-                total += prior
+                total = total + prior
                 best = total.argmax(axis=1)
                 score = 1 / np.exp(total - total[np.arange(rows), best][:, None]).sum(axis=1)
             lettered = part.column("_letters").to_numpy(zero_copy_only=False) & (best >= 0)
