@@ -215,3 +215,25 @@ def test_other_dumps(spark):
     }
     with pytest.raises(ValueError):
         parse_sql_dump(lines, "redirect")
+
+
+def test_broken_pages_and_tuples_are_kept_apart(spark):
+    from dumpweave.sources.sql_dump import parse_sql_dump, rejected_sql_tuples
+    from dumpweave.sources.xml_dump import parse_xml_pages, rejected_xml_pages
+
+    body = "<page><title>{}</title><ns>0</ns><id>1</id><revision><id>2</id><text>{}</text></revision>"
+    records = spark.createDataFrame([(body.format("Good", "a"),), (body.format("Bad", "a < b"),)], "value string")
+    assert [r.title for r in parse_xml_pages(records).collect()] == ["Good"]
+    assert ["Bad" in r["value"] for r in rejected_xml_pages(records).collect()] == [True]
+    line = "INSERT INTO `categorylinks` VALUES (1,_binary 'C',''),(2,'D',),(oops(,(3,'E','x');"
+    lines = spark.createDataFrame([(line,)], "value string")
+    assert parse_sql_dump(lines, "categorylink").count() == 3
+    assert [r["value"] for r in rejected_sql_tuples(lines, "categorylink").collect()] == ["(oops("]
+
+
+def test_marks_of_any_depth(spark):
+    from dumpweave.functions.wikitext import strip_markup
+
+    deep = "a" + "{{x|" * 10 + "}}" * 10 + "b{{p|{q}}}{{r|{{{1}}}}}c {{open [[File:f|see [[A|B]]]]"
+    row = spark.createDataFrame([(deep,)], "t string").select(strip_markup(F.col("t")).alias("t")).first()
+    assert row.t == "abc {{open see B"
