@@ -26,17 +26,29 @@ EMPTY = "0" * 8
 
 
 def terms(text: Column) -> Column:
-    """Distinct runs of letters and digits, lower-cased, and the empty string, which every text has."""
-    found = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    """Distinct runs of ASCII letters, digits and all beyond ASCII, lower-cased, and the empty string.
+
+    Every text has the empty string.
+    """
+    found = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     return F.array_distinct(F.concat(found, F.array(F.lit(""))))
 
 
+def every_term(text: Column) -> Column:
+    """A row for each of ``terms``.
+
+    There is always one, so that the outer form gives the same rows; for the
+    inner one the optimizer adds filters that split the text again.
+    """
+    return F.explode_outer(terms(text))
+
+
 def lexicon(docs: DataFrame, least: float = IDF_LEAST, most: float = IDF_MOST) -> DataFrame:
     """(id, subsets) of the terms of ``docs`` (text) in the band, with a bit for each subset they are in.
 
     The empty string is there with no subset.
     """
-    ids = docs.select(F.explode(terms(F.col("text"))).alias("term")).select(
+    ids = docs.select(every_term(F.col("text")).alias("term")).select(
         F.xxhash64("term").alias("id"), (F.col("term") == "").alias("empty")
     )
     frequency = ids.groupBy("id", "empty").agg(F.count(F.lit(1)).alias("df"))
@@ -59,19 +71,17 @@ def fingerprints(texts: DataFrame, keys: list[str], words: DataFrame) -> DataFra
     without terms of the text has the part ``EMPTY``. A text without any term of
     the subsets is known by a hash of itself.
     """
-    rows = texts.select(*keys, F.explode(terms(F.col("text"))).alias("term"))
+    rows = texts.select(*keys, every_term(F.col("text")).alias("term"))
     found = rows.select(*keys, F.xxhash64("term").alias("id")).join(F.broadcast(words), "id")
     entry = F.when(F.col("subsets") > 0, F.struct("id", "subsets"))
     # a text's terms: its own length bounds them
-    grouped = found.groupBy(*keys).agg(F.array_sort(F.collect_set(entry)).alias("terms"))
-
-    def part(i: int) -> Column:
-        own = F.filter("terms", lambda t: t["subsets"].bitwiseAND(F.lit(1 << i)) > 0)
-        return F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(short_hash(F.xxhash64(own["id"])))
-
-    return grouped.select(
-        *keys, F.when(F.size("terms") > 0, F.array(*[part(i) for i in range(len(DENSITIES))])).alias("parts")
+    grouped = found.groupBy(*keys).agg(F.sort_array(F.collect_set(entry)).alias("terms"))
+    bits = F.array(*[F.lit(1 << i) for i in range(len(DENSITIES))])
+    inside = F.transform(bits, lambda bit: F.filter("terms", lambda t: t["subsets"].bitwiseAND(bit) > 0))
+    parts = F.transform(
+        inside, lambda own: F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(short_hash(F.xxhash64(own["id"])))
     )
+    return grouped.select(*keys, F.when(F.size("terms") > 0, parts).alias("parts"))
 
 
 def short_hash(value: Column) -> Column:
