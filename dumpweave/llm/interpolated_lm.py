@@ -1,27 +1,23 @@
 """Scoring with a language model of deleted interpolation.
 
-Words are counted over all training documents. The ``CLASSES - 2`` most frequent
-words, the end of a text, and all other words together are the classes of a
-bigram; fewer of them those of a trigram. Within a class words keep their share
-of its tokens, so that each order is a distribution over all words:
+Words, word bigrams and word trigrams are counted over all training documents:
 
-    p(w | u v) = l3 C(u' v' w') / C(u' v') c(w) / c(w') + l2 C(v w") / C(v) c(w) / c(w")
-                 + l1 c(w) / N + l0 (c(w) + 1) / (N + V + 1)
+    p(w | u v) = l3 C(u v w) / C(u v) + l2 C(v w) / C(v) + l1 c(w) / N + l0 (c(w) + 1) / (N + V + 1)
 
-The weights l depend on how frequent the context u' v' is. They are learned by
-expectation-maximisation on the counts of a held-out part of the training
-documents, with n-gram estimates from the other part.
+Where a context has not been seen, an order's estimate is that of the order
+below, so that each order is a distribution over all words. The weights l depend
+on how often the context u v was seen. They are learned by
+expectation-maximisation on the held-out part of the training documents, with
+estimates from the counts of the other part.
 
-What grows with the corpus stays a table: the word counts. Tasks get the most
-frequent ``HEAD`` words and the class counts, both of fixed size. Occurrences of
-rarer words are joined with the table, with all else of their score ready.
+All counts are tables that grow with the corpus. A distinct trigram is scored
+once, from the joined counts of its parts; a text's score is the sum over its
+trigrams, by a join on the trigram.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
-from dumpweave.llm.frames import crc_of_id, map_batches, map_partition, once_per_worker
-from dumpweave.plans.session import store
+from dumpweave.llm.frames import crc_of_id, map_batches, map_partition
+from dumpweave.plans.session import discard, store
 
+# trigrams of a task that wait to be folded; no limit of the model
 HEAD = 1 << 20
-CLASSES = 1024
-SMALL_CLASSES = 64
-BUCKETS = 32
-# ratios to the unigram estimate, in steps of half a power of two; 0 is none
-LEVELS = 82
-COUNT_BINS = 9
+# bit lengths of a 64-bit count, and one for none
+BUCKETS = 64
 EM_ROUNDS = 30
+# weights of trigram, bigram, unigram and base where nothing is held out
+DEFAULT = (0.0, 0.3, 0.6, 0.1)
 END = K.mix(np.array([0xE0D0], dtype=K.U64))[0]
-# words of a task that wait to be folded
-FOLD = 4_000_000
+END_KEY = int(END.view(np.int64))
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,258 +47,131 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(words, first[1:], END), first + np.arange(len(first))
 
 
-def _folded(hashes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    new = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    return hashes[new], *(np.add.reduceat(c[order], new) for c in counts)
+def trigrams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token with the one before and the one before that; ends before a text."""
+    before = np.append(END, hashes[:-1])
+    earlier = np.append(END, before[:-1])
+    return np.where(before == END, END, earlier), before, hashes
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c, held): how often each token occurs in training texts, and in their held-out part."""
+def _folded(u: np.ndarray, v: np.ndarray, w: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((u, v, w))
+    u, v, w = u[order], v[order], w[order]
+    new = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]))
+    new = np.flatnonzero(new)
+    return u[new], v[new], w[new], *(np.add.reduceat(c[order], new) for c in counts)
+
+
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """(u, v, w, c, held) of each trigram of ``docs`` (text, trained, held): how often it occurs in training texts, and in their held-out part.
+
+    Those of other texts only have zeros.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         parts, waiting = [], 0
         for batch in batches:
             for part, data, offsets in K.chunks(batch):
                 hashes, first = tokens(data, offsets)
-                held = np.repeat(part.column("held").to_numpy(zero_copy_only=False), np.diff(first))
-                parts.append(_folded(hashes, np.ones(len(hashes), dtype=np.int64), held.astype(np.int64)))
+                trained, held = (part.column(x).to_numpy(zero_copy_only=False) for x in ("trained", "held"))
+                own = (np.repeat(x.astype(np.int64), np.diff(first)) for x in (trained, trained & held))
+                parts.append(_folded(*trigrams(hashes), *own))
                 waiting += len(parts[-1][0])
-                if waiting > FOLD:
-                    parts = [_folded(*map(np.concatenate, zip(*parts, strict=True)))]
-                    waiting = len(parts[0][0])
-                    if waiting > FOLD // 2:
-                        yield _named(parts.pop())
-                        waiting = 0
+                if waiting > HEAD:
+                    yield _named(_folded(*map(np.concatenate, zip(*parts, strict=True))))
+                    parts, waiting = [], 0
         if parts:
             yield _named(_folded(*map(np.concatenate, zip(*parts, strict=True))))
 
     def _named(folded: tuple) -> dict:
-        return {"h": folded[0].view(np.int64), "c": folded[1], "held": folded[2]}
-
-    counted = map_partition(docs.select("text", "held"), count, "h long, c long, held long")
-    return counted.groupBy("h").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
-
-
-@dataclass
-class Words:
-    """The head of the word counts, by falling count, and the sums over all words."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    held: np.ndarray
-    total: int
-    total_held: int
-    distinct: int
-    #: of held-out occurrences of words beyond the head, the shares by count in the other part
-    rare: np.ndarray
-
-    @property
-    def complete(self) -> bool:
-        return len(self.hashes) == self.distinct
-
-
-def count_bin(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(counts, COUNT_BINS - 1)
-
-
-def head_words(counts: DataFrame) -> Words:
-    """Words at least as frequent as a threshold that at most ``HEAD`` words reach."""
-    total, held, distinct = counts.agg(F.sum("c"), F.sum("held"), F.count(F.lit(1))).first()
-    step = F.floor(F.log2("c") * 8).cast("int")
-    # one row for each eighth of a power of two
-    bins = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
-    least, words = None, 0
-    for row in bins:
-        words += row["n"]
-        if words > HEAD:
-            break
-        least = row["step"]
-    reached = F.lit(False) if least is None else step >= least
-    rows = counts.where(reached).toPandas() if least is not None else None
-    rare = np.zeros(COUNT_BINS)
-    rest = F.least(F.col("c") - F.col("held"), F.lit(COUNT_BINS - 1)).alias("bin")
-    for row in counts.where(~reached & (F.col("held") > 0)).groupBy(rest).agg(F.sum("held").alias("n")).collect():
-        rare[row["bin"]] = row["n"]
-    if rows is None:
-        empty = np.zeros(0, dtype=np.int64)
-        return Words(empty.view(K.U64), empty, empty, total or 0, held or 0, distinct, rare)
-    h, c, b = (rows[x].to_numpy(dtype=np.int64) for x in ("h", "c", "held"))
-    order = np.lexsort((h, -c))
-    return Words(h[order].view(K.U64), c[order], b[order], total, held, distinct, rare)
-
-
-class Classes:
-    """Looks tokens up in the head; their classes are its first words."""
-
-    def __init__(self, words: Words):
-        self.index = K.HashIndex(words.hashes)
-        place = np.arange(len(words.hashes) + 1)
-        is_end = np.append(words.hashes == END, False)
-        # the end is class 0; the most frequent words follow; the last class is all else
-        rank = np.append(np.cumsum(~is_end[:-1]), 0)
-        self.of = np.where((place < len(words.hashes)) & (rank < CLASSES - 1), rank, CLASSES - 1)
-        self.of[is_end] = 0
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the head or -1, and class."""
-        place = self.index.find(hashes)
-        return place, self.of[place]  # -1 is the entry after the last
-
-
-def contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the classes of the one before and the one before that; ends before a text."""
-    before = np.append(0, classes[:-1])
-    earlier = np.append(0, before[:-1])
-    return before, np.where(before == 0, 0, earlier)
-
-
-def small(classes: np.ndarray) -> np.ndarray:
-    return np.where(classes < SMALL_CLASSES - 1, classes, SMALL_CLASSES - 1)
-
-
-def cells(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of each token's bigram and trigram of classes."""
-    before, earlier = contexts(classes)
-    pair = small(earlier) * SMALL_CLASSES + small(before)
-    return before * CLASSES + classes, pair * SMALL_CLASSES + small(classes)
-
-
-@dataclass
-class Estimates:
-    """Class n-grams of some part of the training texts, as ratios to the unigram estimate."""
-
-    bigrams: np.ndarray
-    trigrams: np.ndarray
-    total: int
-    distinct: int
-    ratio2: np.ndarray = field(init=False)
-    ratio3: np.ndarray = field(init=False)
-    bucket: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        def ratios(table: np.ndarray) -> np.ndarray:
-            context, own = table.sum(axis=1, keepdims=True), table.sum(axis=0, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                found = table / context * (self.total / own)
-            return np.nan_to_num(found, nan=0.0, posinf=0.0).astype(np.float32).ravel()
-
-        two = self.bigrams.reshape(CLASSES, CLASSES).astype(np.float64)
-        three = self.trigrams.reshape(-1, SMALL_CLASSES).astype(np.float64)
-        self.ratio2, self.ratio3 = ratios(two), ratios(three)
-        seen = three.sum(axis=1)
-        self.bucket = np.where(seen > 0, np.log2(np.maximum(seen, 1)).astype(np.int64) + 1, 0)
-        self.bucket = np.minimum(self.bucket, BUCKETS - 1)
-
-
-def ngram_counts(docs: DataFrame, words, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class bigrams and trigrams of the training texts, then those of the held-out part.
-
-    Tasks add up their own; a cell and task gives one row, and the number of
-    cells is fixed.
-    """
-    two, three = CLASSES * CLASSES, SMALL_CLASSES**3
+        u, v, w, c, held = folded
+        return {"u": u.view(np.int64), "v": v.view(np.int64), "w": w.view(np.int64), "c": c, "held": held}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        classes = once_per_worker(name, lambda: Classes(words.value))
-        total = np.zeros((2, two + three), dtype=np.int64)
-        for batch in batches:
-            for part, data, offsets in K.chunks(batch):
-                hashes, first = tokens(data, offsets)
-                _, own = classes.look_up(hashes)
-                pair, triple = cells(own)
-                held = np.repeat(part.column("held").to_numpy(zero_copy_only=False), np.diff(first))
-                for i, chosen in enumerate((slice(None), held)):
-                    total[i, :two] += np.bincount(pair[chosen], minlength=two)
-                    total[i, two:] += np.bincount(triple[chosen], minlength=three)
-        used = np.flatnonzero(total[0])
-        yield {"cell": used, "n": total[0, used], "held": total[1, used]}
-
-    counted = map_partition(docs.select("text", "held"), count, "cell int, n long, held long")
-    rows = counted.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).toPandas()
-    total = np.zeros((2, two + three), dtype=np.int64)
-    at = rows["cell"].to_numpy(dtype=np.int64)
-    total[0, at], total[1, at] = rows["n"], rows["held"]
-    return total[0, :two], total[0, two:], total[1, :two], total[1, two:]
-
-
-def held_out_events(docs: DataFrame, words, model, name: str) -> np.ndarray:
-    """How many held-out tokens there are of each (bucket, trigram ratio, bigram ratio, count).
-
-    Ratios are rounded to half powers of two; the last bin of counts is that of
-    words beyond the head.
-    """
-    shape = (BUCKETS, LEVELS, LEVELS, COUNT_BINS + 1)
+    counted = map_partition(docs.select("text", "trained", "held"), count, "u long, v long, w long, c long, held long")
+    # tasks have folded their own
+    return _summed(counted.repartition("u", "v", "w"), "u", "v", "w")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        classes = once_per_worker(name, lambda: Classes(words.value))
-        head, estimates = words.value, model.value
-        bins = np.append(count_bin(head.counts - head.held), 0 if head.complete else COUNT_BINS)
-        total: dict = {}
-        for batch in batches:
-            for _, data, offsets in K.chunks(batch):
-                place, own = classes.look_up(tokens(data, offsets)[0])
-                pair, triple = cells(own)
-                event = estimates.bucket[triple // SMALL_CLASSES]
-                for ratio in (estimates.ratio3[triple], estimates.ratio2[pair]):
-                    level = np.where(ratio > 0, np.rint(2 * np.log2(np.maximum(ratio, 1e-9))), -99)
-                    event = event * LEVELS + np.where(
-                        ratio > 0, np.clip(level + LEVELS // 2, 1, LEVELS - 1), 0
-                    ).astype(np.int64)
-                event = event * (COUNT_BINS + 1) + bins[place]
-                found, n = np.unique(event, return_counts=True)
-                for e, k in zip(found.tolist(), n.tolist(), strict=True):
-                    total[e] = total.get(e, 0) + k
-        yield {"event": list(total), "n": list(total.values())}
-
-    counted = map_partition(docs.where("held").select("text"), count, "event long, n long")
-    rows = counted.groupBy("event").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(int(np.prod(shape)), dtype=np.float64)
-    total[rows["event"].to_numpy(dtype=np.int64)] = rows["n"]
-    total = total.reshape(shape)
-    share = words.value.rare / max(words.value.rare.sum(), 1)
-    return total[..., :COUNT_BINS] + total[..., COUNT_BINS:] * share
-
-
-def learned_weights(events: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """Per bucket the weights of trigram, bigram, unigram and base, by expectation-maximisation."""
-    value = 2.0 ** ((np.arange(LEVELS) - LEVELS // 2) / 2)
-    value[0] = 0
-    counts = np.arange(COUNT_BINS)
-    base = (counts + 1) / (total + distinct + 1)
-    unigram = counts / max(total, 1)
-    weights = np.full((BUCKETS, 4), 0.25)
+
+def _summed(counts: DataFrame, *key: str) -> DataFrame:
+    return counts.groupBy(*key).agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
+
+
+def joined_counts(three: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """Each trigram with the counts of its parts; then all training tokens, those held out, and distinct words.
+
+    Counts and held-out counts: ``c3``, ``h3`` of the trigram, ``cuv``, ``huv`` of
+    its context, ``c2``, ``h2`` of the bigram, ``cv``, ``hv`` of its context, and
+    ``c1``, ``h1`` of the word. A token before another is followed by one each
+    time, so that a context's count is that of its own n-gram; before a text
+    there are as many ends as texts.
+    """
+    two = store(_summed(three, "v", "w"))
+    one = store(_summed(two, "w"))
+    total, held, distinct = one.agg(F.sum("c"), F.sum("held"), F.count_if(F.col("c") > 0)).first()
+    words = one.select("w", F.col("c").alias("c1"), F.col("held").alias("h1"))
+    before = one.select(F.col("w").alias("v"), F.col("c").alias("cv"), F.col("held").alias("hv"))
+    pairs = two.withColumnsRenamed({"c": "c2", "held": "h2"}).join(words, "w").join(before, "v")
+    end = F.lit(END_KEY).alias("u"), F.lit(END_KEY).alias("v")
+    known = two.where(F.col("w") != END_KEY).select(F.col("v").alias("u"), F.col("w").alias("v"), "c", "held")
+    contexts = known.union(one.where(F.col("w") == END_KEY).select(*end, "c", "held"))
+    contexts = contexts.withColumnsRenamed({"c": "cuv", "held": "huv"})
+    rows = three.withColumnsRenamed({"c": "c3", "held": "h3"}).join(contexts, ["u", "v"]).join(pairs, ["v", "w"])
+    rows = store(rows.select(F.xxhash64("u", "v", "w").alias("h"), "c3", "h3", "cuv", "huv", "c2", "h2", "cv", "hv", "c1", "h1"))
+    discard(two)
+    discard(one)
+    return rows, total or 0, held or 0, distinct
+
+
+def estimates(c3: Column, cuv: Column, c2: Column, cv: Column, c1: Column, total: int, distinct: int) -> list[Column]:
+    """Probabilities by trigram, bigram, unigram and base."""
+    base = (c1 + 1) / F.lit(float(total + distinct + 1))
+    one = c1 / F.lit(float(total)) if total else base
+    two = F.when(cv > 0, c2 / cv).otherwise(one)
+    return [F.when(cuv > 0, c3 / cuv).otherwise(two), two, one, base]
+
+
+def bucket_of(context: Column) -> Column:
+    """Bit length of a context's count; 0 for none."""
+    return F.when(context > 0, F.length(F.bin(context))).otherwise(0)
+
+
+def held_out_events(rows: DataFrame, total: int, distinct: int) -> DataFrame:
+    """(bucket, p0 .. p3, n): the estimates from the other part's counts for all held-out tokens; equal ones are one row."""
+    counts = ["c3", "cuv", "c2", "cv", "c1"]
+    other = [(F.col(c) - F.col("h" + c[1:])).alias(c) for c in counts]
+    events = rows.where("h3 > 0").select(*other, F.col("h3").alias("n")).groupBy(*counts).agg(F.sum("n").alias("n"))
+    found = estimates(*map(F.col, counts), total, distinct)
+    return events.select(bucket_of(F.col("cuv")).alias("bucket"), *[p.alias(f"p{i}") for i, p in enumerate(found)], "n")
+
+
+def mixed(weights: np.ndarray, found: list[Column], bucket: Column) -> list[Column]:
+    """The weighted estimates."""
+    return [F.lit(weights[:, i].tolist())[bucket] * p for i, p in enumerate(found)]
+
+
+def learned_weights(events: DataFrame) -> np.ndarray:
+    """Per bucket the weights of trigram, bigram, unigram and base, by expectation-maximisation.
+
+    A round is one pass over the stored events; a bucket gives one row.
+    """
+    weights, learned = np.full((BUCKETS, 4), 0.25), np.zeros(BUCKETS, dtype=bool)
+    for _ in range(EM_ROUNDS):
+        own = mixed(weights, [F.col(f"p{i}") for i in range(4)], F.col("bucket"))
+        shares = events.select("bucket", "n", *[x.alias(f"s{i}") for i, x in enumerate(own)])
+        whole = F.col("s0") + F.col("s1") + F.col("s2") + F.col("s3")
+        sums = shares.groupBy("bucket").agg(*[F.sum(F.col("n") * F.col(f"s{i}") / whole).alias(f"s{i}") for i in range(4)])
+        for row in sums.collect():
+            found = np.array(row[1:])
+            weights[row["bucket"]] = found / found.sum()
+            learned[row["bucket"]] = True
     for bucket in range(BUCKETS):
-        three, two, bin_ = np.nonzero(events[bucket])
-        n = events[bucket][three, two, bin_]
-        if not len(n):
-            weights[bucket] = weights[bucket - 1] if bucket else (0, 0.3, 0.6, 0.1)
-            continue
-        p = np.stack([value[three] * unigram[bin_], value[two] * unigram[bin_], unigram[bin_], base[bin_]])
-        for _ in range(EM_ROUNDS):
-            shares = weights[bucket][:, None] * p
-            shares /= shares.sum(axis=0)
-            weights[bucket] = (shares * n).sum(axis=1) / n.sum()
+        if not learned[bucket]:
+            weights[bucket] = weights[bucket - 1] if bucket else DEFAULT
         # every word must stay possible
         weights[bucket] = (weights[bucket] + 1e-6) / (weights[bucket] + 1e-6).sum()
     return weights
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Words, Estimates, np.ndarray]:
-    """Word counts, their head, class n-grams and weights from ``docs`` (text, held)."""
-    context = docs.sparkSession.sparkContext
-    counts = store(word_counts(docs))
-    words = head_words(counts)
-    name = uuid.uuid4().hex
-    sent = context.broadcast(words)
-    two, three, held2, held3 = ngram_counts(docs, sent, name)
-    other = Estimates(two - held2, three - held3, words.total - words.total_held, words.distinct)
-    events = held_out_events(docs, sent, context.broadcast(other), name)
-    weights = learned_weights(events, other.total, other.distinct)
-    return counts, words, Estimates(two, three, words.total, words.distinct), weights
-
-
 def score_texts(docs: DataFrame, trained: Column, held: Column) -> DataFrame:
     """Scores of all rows of ``docs`` (doc_id, text) under a model of those for which ``trained`` is true.
 
@@ -315,92 +182,46 @@ def score_texts(docs: DataFrame, trained: Column, held: Column) -> DataFrame:
     A null text is an empty one: it has the end only. Repeated rows each count
     and each get their scores. Other columns are left out. Without training rows
     every token is unknown and the base is 1 for each; an empty table gives no rows.
-    Words are told apart by 64-bit hashes.
+    Words, trigrams and texts are told apart by 64-bit hashes.
     """
-    context = docs.sparkSession.sparkContext
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), trained.alias("trained"), held.alias("held"))
-    counts, words, estimates, weights = train(docs.where("trained").select("text", "held"))
-    total, floor = max(words.total, 1), words.total + words.distinct + 1
-    name = uuid.uuid4().hex
-    sent, model = context.broadcast(words), context.broadcast(estimates)
-
-    def score(batch: pa.RecordBatch) -> Iterator[dict]:
-        classes = once_per_worker(name, lambda: Classes(sent.value))
-        head, estimates = sent.value, model.value
-        known = np.append(head.counts, 0)
+    three = store(trigram_counts(docs))
+    rows, total, total_held, distinct = joined_counts(three)
+    discard(three)
+    events = store(held_out_events(rows, total - total_held, distinct))
+    weights = learned_weights(events)
+    discard(events)
+    found = estimates(*map(F.col, ("c3", "cuv", "c2", "cv", "c1")), total, distinct)
+    own = mixed(weights, found, bucket_of(F.col("cuv")))
+    model = rows.select("h", "c1", F.log10(own[0] + own[1] + own[2] + own[3]).alias("score"))
+
+    def occurrences(batch: pa.RecordBatch) -> Iterator[dict]:
         for part, data, offsets in K.chunks(batch):
             hashes, first = tokens(data, offsets)
-            place, own = classes.look_up(hashes)
-            pair, triple = cells(own)
-            own_weights = weights[estimates.bucket[triple // SMALL_CLASSES]]
-            above = (
-                own_weights[:, 0] * estimates.ratio3[triple]
-                + own_weights[:, 1] * estimates.ratio2[pair]
-                + own_weights[:, 2]
-            )
-            c = known[place]
-            base = (c + 1) / floor
-            model_log = np.log10(above * (c / total) + own_weights[:, 3] * base)
-            base_log = np.log10(base)
-            # words beyond the head wait for their counts
-            rare = (place < 0) & (not head.complete)
-            base_log[rare] = model_log[rare] = 0
-            ids = part.column("doc_id"), part.column("text_hash")
-            n = part.num_rows
-            none = pa.nulls(n)
-            yield {
-                "doc_id": ids[0], "text_hash": ids[1], "h": none, "above": none, "base_weight": none,
-                "n_tokens": np.diff(first), "n_known": np.add.reduceat((c > 0).astype(np.int64), first[:-1]),
-                "base": np.add.reduceat(base_log, first[:-1]), "score": np.add.reduceat(model_log, first[:-1]),
-            }
-            at = np.flatnonzero(rare)
-            if len(at):
-                row = np.searchsorted(first, at, side="right") - 1
-                none = pa.nulls(len(at))
-                yield {
-                    "doc_id": ids[0].take(row), "text_hash": ids[1].take(row), "h": hashes[at].view(np.int64),
-                    "above": above[at], "base_weight": own_weights[at, 3],
-                    "n_tokens": none, "n_known": none, "base": none, "score": none,
-                }
-
-    schema = (
-        "doc_id long, text_hash long, h long, above double, base_weight double, "
-        "n_tokens long, n_known long, base double, score double"
+            u, v, w = (x.view(np.int64) for x in trigrams(hashes))
+            text = np.repeat(part.column("text_hash").to_numpy(), np.diff(first))
+            yield {"text_hash": text, "u": u, "v": v, "w": w}
+
+    named = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    met = map_batches(named, occurrences, "text_hash long, u long, v long, w long")
+    met = met.select("text_hash", F.xxhash64("u", "v", "w").alias("h")).join(model, "h")
+    # a text's sums are those of all its rows
+    sums = met.groupBy("text_hash").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.count_if(F.col("c1") > 0).alias("n_known"),
+        F.sum(F.log10((F.col("c1") + 1) / F.lit(float(total + distinct + 1)))).alias("base"),
+        F.sum("score").alias("score"),
     )
-    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = map_batches(named, score, schema)
-    if not words.complete:
-        rows = store(rows)
-        rare = rows.where("h is not null").join(counts.select("h", "c"), "h", "left")
-        c = F.coalesce("c", F.lit(0))
-        base = (c + 1) / F.lit(float(floor))
-        joined = rare.select(
-            "doc_id", "text_hash", F.lit(None).cast("long").alias("n_tokens"),
-            F.when(c > 0, 1).otherwise(0).cast("long").alias("n_known"),
-            F.log10(base).alias("base"),
-            F.log10(F.col("above") * c / F.lit(float(total)) + F.col("base_weight") * base).alias("score"),
-        )
-        rows = rows.where("h is null").select(*joined.columns).union(joined)
-    # one row for each distinct (doc_id, text), as often as it was scored
-    sums = rows.groupBy("doc_id", "text_hash").agg(
-        F.count("n_tokens").alias("times"),
-        F.max("n_tokens").alias("n_tokens"),
-        *[F.sum(x).alias(x) for x in ("n_known", "base", "score")],
-    )
-    sums = sums.withColumnsRenamed({"doc_id": "its_id", "text_hash": "its_hash"})
     every = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
-    found = every.join(
-        sums, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash")), "left"
-    )
-    times = F.col("times")
+    times = every.groupBy("text_hash").agg(F.count(F.lit(1)).alias("times"))
+    found = every.join(sums.join(times, "text_hash"), "text_hash")
     return found.select(
         "doc_id",
-        "n_tokens",
-        (F.col("n_known") / times).cast("long").alias("n_known"),
-        F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base") / times).alias("base_score"),
-        (F.col("score") / times).alias("score"),
+        *[(F.col(x) / F.col("times")).cast("long").alias(x) for x in ("n_tokens", "n_known")],
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("times")).alias("base_score"),
+        (F.col("score") / F.col("times")).alias("score"),
     )
 
 

@@ -302,3 +302,67 @@ def test_scores(docs, odd, monkeypatch, head):
         assert all(r.score < 0 for r in found)
     better = [r for r in interpolated_lm.held_out_scores(docs).collect() if r.held_out]
     assert sum(r.score for r in better) > sum(r.base_score for r in better)
+
+
+def plain_scores(rows, folds=7):
+    """Scores of (doc_id, text) by word trigrams, bigrams and words, counted in dictionaries."""
+    texts = [(d, ["^", "^", *re.findall(r"[^\x20\x09-\x0D]+", lower(t)), "^"]) for d, t in rows]
+
+    def grams(words):
+        return [tuple(words[i - 2 : i + 1]) for i in range(2, len(words))]
+
+    def fold(doc):
+        return zlib.crc32(str(doc).encode()) % folds if doc is not None else 0
+
+    def model(chosen):
+        c, contexts = Counter(), Counter()
+        for d, words in texts:
+            for u, v, w in grams(words) if chosen(fold(d)) else []:
+                c.update([(u, v, w), (v, w), (w,)])
+                contexts.update([(u, v), (v,)])
+        return c, contexts, sum(n for g, n in c.items() if len(g) == 1)
+
+    v_size = len([g for g in model(lambda f: f != 2)[0] if len(g) == 1])
+
+    def p(counted, u, v, w):
+        c, contexts, n = counted
+        base = (c[(w,)] + 1) / (n + v_size + 1)
+        one = c[(w,)] / n
+        two = c[(v, w)] / contexts[(v,)] if contexts[(v,)] else one
+        return [c[(u, v, w)] / contexts[(u, v)] if contexts[(u, v)] else two, two, one, base]
+
+    other, weights = model(lambda f: f not in (2, 3)), {}
+    events = defaultdict(list)
+    for d, words in texts:
+        for g in grams(words) if fold(d) == 3 else []:
+            events[other[1][g[:2]].bit_length()].append(p(other, *g))
+    last = np.array([0, 0.3, 0.6, 0.1])
+    for b in range(64):
+        if b in events:
+            found, last = np.array(events[b]), np.full(4, 0.25)
+            for _ in range(30):
+                shares = found * last
+                last = (shares / shares.sum(axis=1, keepdims=True)).mean(axis=0)
+        last = (last + 1e-6) / (last + 1e-6).sum()
+        weights[b] = last
+    full = model(lambda f: f != 2)
+    return [(d, round(sum(math.log10(weights[full[1][g[:2]].bit_length()] @ p(full, *g)) for g in grams(words)), 5)) for d, words in texts]
+
+
+def test_scores_are_of_word_ngrams(spark, docs):
+    # words far beyond the most frequent ones, each seen twice, in pairs that always follow each other
+    pairs_ = [f"left{i} right{i}" for i in range(1500)]
+    rows = [(i, " ".join(pairs_[j % 1500] for j in range(i * 100, i * 100 + 100))) for i in range(30)]
+    out = next(d for d in range(100, 200) if zlib.crc32(str(d).encode()) % 7 == 2)
+    new = [out] + [d for d in range(out + 1, 300) if zlib.crc32(str(d).encode()) % 7 == 2][:1]
+    rows += [(new[0], "left5 right5 left6 right6"), (new[1], "left5 right6 left6 right5")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in interpolated_lm.held_out_scores(table).collect()}
+    assert abs(found[new[0]].base_score - found[new[1]].base_score) < 1e-9
+    assert found[new[0]].score > found[new[1]].score + 1
+    few = docs.limit(60)
+    for some in (table, few):
+        scores = interpolated_lm.held_out_scores(some).collect()
+        want = sorted(plain_scores(pairs(some)))
+        assert [d for d, _ in want] == sorted(r.doc_id for r in scores)
+        assert np.allclose([s for _, s in want], [r.score for r in sorted(scores, key=lambda r: r.doc_id)], atol=1e-4)
