@@ -1,7 +1,7 @@
 """Language identification by unigrams summed over all segmentations.
 
-The pieces are the byte strings of a fixed public vocabulary. Each language has
-a probability for every piece. A word's probability is the sum, over all ways
+The pieces are the byte strings of a fixed public vocabulary, of any length.
+Each language has a probability for every piece. A word's probability is the sum, over all ways
 to cut it into pieces, of the product of their probabilities: the forward
 algorithm, run for all distinct words of a chunk and all languages at once.
 The probabilities are learned by expectation-maximisation (forward-backward) on
@@ -27,32 +27,41 @@ from dumpweave.plans.session import store
 # labelled rows per language that the fit takes, in expectation
 FIT_ROWS = 2_000
 ROUNDS = 3
-# bytes of the longest piece that is used, and of a stretch of a word
-PIECE_BYTES = 8
-STRETCH_BYTES = 32
+# starts of a word at which pieces are looked up at a time; sums are carried on from there
+STRETCH_BYTES = 256
+# places of words that are summed at a time
+GROUP = 200_000
 # share of the uniform distribution in every language
 SMOOTHING = 1e-3
 UNKNOWN = "und"
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """Byte strings of a rank file (base64 and rank in a line), up to ``PIECE_BYTES`` long.
+    """Byte strings of a rank file (base64 and rank in a line).
 
     All 256 single bytes are among them, so every text has a segmentation.
     """
     with open(path, "rb") as lines:
         found = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
-    found |= {bytes([b]) for b in range(256)}
-    return sorted(p for p in found if len(p) <= PIECE_BYTES)
+    return sorted((found | {bytes([b]) for b in range(256)}) - {b""})
 
 
 class Vocabulary:
+    """The pieces, and an index of all beginnings of pieces."""
+
     def __init__(self, path: str):
         self.pieces = read_pieces(path)
-        data = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
-        ends = np.cumsum([len(p) for p in self.pieces])
+        self.longest = max(map(len, self.pieces))
+        number = {piece: i for i, piece in enumerate(self.pieces)}
+        inner = {piece[:size] for piece in self.pieces for size in range(1, len(piece))}
+        heads = list(inner | number.keys())
+        data = np.frombuffer(b"".join(heads), dtype=np.uint8)
+        ends = np.cumsum([len(h) for h in heads])
         starts = np.append(0, ends[:-1])
         self.index = K.HashIndex(K.span_hash(K.running_hash(data), starts, ends))
+        #: of each beginning the piece that it is, or -1, and whether a longer piece begins with it
+        self.piece = np.array([number.get(h, -1) for h in heads], dtype=np.int32)
+        self.goes_on = np.array([h in inner for h in heads])
 
     def __len__(self) -> int:
         return len(self.pieces)
@@ -60,12 +69,13 @@ class Vocabulary:
 
 @dataclass
 class Stretches:
-    """Distinct stretches of words of a chunk, longest first, with a piece at each place and length.
+    """Distinct words of a chunk, longest first: first place and size of each in the running sums.
 
-    ``of_word`` is the stretch of each occurrence and ``text`` its text.
+    ``of_word`` is the word of each occurrence and ``text`` its text.
     """
 
-    piece: np.ndarray
+    vocabulary: Vocabulary
+    sums: np.ndarray
     first: np.ndarray
     sizes: np.ndarray
     of_word: np.ndarray
@@ -73,105 +83,135 @@ class Stretches:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> Stretches:
-    """Words of lower-case ASCII and other than white space, each with a blank before it."""
+    """Words of lower-case ASCII and other than white space, whole, each with a blank before it."""
     starts, ends, first = K.word_spans(data, offsets, K.NOT_SPACE)
     owner = K.owners(first)
-    # a word's first stretch begins with the blank and so holds one byte less of it
-    extra = np.maximum(ends - starts + 1 - STRETCH_BYTES, 0)
-    parts = 1 + -(-extra // STRETCH_BYTES)
-    word = np.repeat(np.arange(len(starts)), parts)
-    number = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-    lo = np.where(number == 0, starts[word], starts[word] + number * STRETCH_BYTES - 1)
-    hi = np.minimum(starts[word] + (number + 1) * STRETCH_BYTES - 1, ends[word])
-    head = number == 0
-    hashes = K.span_hash(K.running_hash(data), lo, hi) ^ (head.astype(K.U64) * K.U64(K.BASE))
-    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    lo, hi, head = lo[at], hi[at], head[at]
-    sizes = hi - lo + head
+    _, at, inverse = np.unique(K.span_hash(K.running_hash(data), starts, ends), return_index=True, return_inverse=True)
+    sizes = ends[at] - starts[at] + 1
     order = np.argsort(-sizes, kind="stable")
     where = np.empty_like(order)
     where[order] = np.arange(len(order))
-    lo, hi, head, sizes = lo[order], hi[order], head[order], sizes[order]
+    lo, sizes = starts[at][order], sizes[order]
     place = np.cumsum(sizes) - sizes
-    total = int(sizes.sum())
     own = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(total) - place[own]
-    source = lo[own] + inside - head[own]
-    letters = np.where((inside == 0) & head[own], 0x20, data[np.maximum(source, 0)]).astype(np.uint8)
-    sums = K.running_hash(letters)
-    piece = np.full((PIECE_BYTES, total), -1, dtype=np.int32)
-    left = sizes[own] - inside
-    for size in range(1, PIECE_BYTES + 1):
-        fits = np.flatnonzero(left >= size)
-        piece[size - 1, fits] = vocabulary.index.find(K.span_hash(sums, fits, fits + size))
-    return Stretches(piece, place, sizes, where[inverse], owner[word])
-
-
-def forward(s: Stretches, p: np.ndarray) -> np.ndarray:
-    """alpha[i]: probability of a stretch's first ``i`` bytes, per language; in rows of each place.
-
-    ``p`` has a row for each piece and one of zeros at the end.
+    inside = np.arange(len(own)) - place[own]
+    letters = np.where(inside == 0, 0x20, data[lo[own] + np.maximum(inside, 1) - 1]).astype(np.uint8)
+    return Stretches(vocabulary, K.running_hash(letters), place, sizes, where[inverse], owner)
+
+
+@dataclass
+class Matches:
+    """Pieces that start at places ``begin`` to ``end - 1`` of words, by start and word; ``bounds`` divides the starts."""
+
+    begin: int
+    end: int
+    row: np.ndarray
+    size: np.ndarray
+    piece: np.ndarray
+    bounds: np.ndarray
+
+    def at(self, start: int) -> slice:
+        return slice(self.bounds[start - self.begin], self.bounds[start - self.begin + 1])
+
+
+def matches(s: Stretches, begin: int) -> Matches:
+    """All pieces from the next ``STRETCH_BYTES`` starts on, of any size."""
+    end = min(begin + STRETCH_BYTES, int(s.sizes[0]))
+    n = int(np.searchsorted(-s.sizes, -begin, side="left"))  # words that are longer than this
+    counts = np.minimum(s.sizes[:n], end) - begin
+    row = np.repeat(np.arange(n), counts)
+    start = begin + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    place, left = s.first[row] + start, s.sizes[row] - start
+    live, found, size = np.arange(len(row)), [], 0
+    while len(live):
+        size += 1
+        node = s.vocabulary.index.find(K.span_hash(s.sums, place[live], place[live] + size))
+        live, node = live[node >= 0], node[node >= 0]
+        piece = s.vocabulary.piece[node]
+        own = piece >= 0
+        found.append((live[own], np.full(int(own.sum()), size), piece[own]))
+        live = live[s.vocabulary.goes_on[node]]
+        live = live[left[live] > size]
+    which, sizes, pieces = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((row[which], start[which]))
+    which = which[order]
+    bounds = np.searchsorted(start[which], np.arange(begin, end + 1))
+    return Matches(begin, end, row[which], sizes[order], pieces[order], bounds)
+
+
+def forward(s: Stretches, logs: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each word, and alpha[i]: that of its first ``i`` bytes, per language.
+
+    Without ``every`` alpha holds only as many of the last places as the longest
+    piece has bytes, taken in turn. ``logs`` has a row for each piece.
     """
-    rows = len(s.sizes)
-    longest = int(s.sizes.max(initial=0))
-    alpha = np.zeros((longest + 1, rows, p.shape[1]))
-    alpha[0] = 1.0
-    live = np.searchsorted(-s.sizes, -np.arange(longest + 1), side="right")
-    for end in range(1, longest + 1):
-        n = live[end]  # stretches at least this long come first
-        for size in range(1, min(PIECE_BYTES, end) + 1):
-            at = s.first[:n] + end - size
-            alpha[end, :n] += alpha[end - size, :n] * p[s.piece[size - 1, at]]
-    return alpha
-
-
-def log_probabilities(s: Stretches, p: np.ndarray, groups: int = 200_000) -> np.ndarray:
-    """Log probability of each distinct stretch in each language; a bounded number at a time."""
-    out = np.zeros((len(s.sizes), p.shape[1]))
-    width = max(1, groups // (int(s.sizes.max(initial=1)) + 1))
+    longest = int(s.sizes[0])
+    depth = longest + 1 if every else min(longest, s.vocabulary.longest) + 1
+    alpha = np.full((depth, len(s.sizes), logs.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    whole = np.empty(alpha.shape[1:])
+    ended = len(s.sizes)
+    for begin in range(0, longest, STRETCH_BYTES):
+        m = matches(s, begin)
+        for start in range(m.begin, m.end):
+            own = m.at(start)
+            row, to = m.row[own], (start + m.size[own]) % depth
+            alpha[to, row] = np.logaddexp(alpha[to, row], alpha[start % depth, row] + logs[m.piece[own]])
+            live = int(np.searchsorted(-s.sizes, -(start + 1), side="left"))
+            whole[live:ended] = alpha[(start + 1) % depth, live:ended]
+            ended = live
+            if not every:
+                alpha[start % depth] = -np.inf
+    return whole, alpha
+
+
+def _logs(p: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(p, 1e-300))
+
+
+def _parts(s: Stretches) -> Iterator[tuple[slice, Stretches]]:
+    """A bounded number of places at a time, or one longer word."""
     at = 0
     while at < len(s.sizes):
-        # shorter stretches take less room each
-        width = max(1, groups // (int(s.sizes[at]) + 1))
-        part = _part(s, at, at + width)
-        alpha = forward(part, p)
-        rows = np.arange(len(part.sizes))
-        out[at : at + width] = np.log(alpha[part.sizes, rows])
-        at += width
-    return out
+        # shorter words take less room each
+        part = slice(at, at + max(1, GROUP // (int(s.sizes[at]) + 1)))
+        yield part, Stretches(s.vocabulary, s.sums, s.first[part], s.sizes[part], s.of_word, s.text)
+        at = part.stop
 
 
-def _part(s: Stretches, lo: int, hi: int) -> Stretches:
-    return Stretches(s.piece, s.first[lo:hi], s.sizes[lo:hi], s.of_word, s.text)
+def log_probabilities(s: Stretches, p: np.ndarray) -> np.ndarray:
+    """Log probability of each distinct word in each language."""
+    out, logs = np.zeros((len(s.sizes), p.shape[1])), _logs(p)
+    for part, own in _parts(s):
+        out[part] = forward(own, logs)[0]
+    return out
 
 
 def expected_counts(s: Stretches, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, per language; ``weights`` counts the stretches per language."""
-    out = np.zeros_like(p)
-    at = 0
-    while at < len(s.sizes):
-        width = max(1, 200_000 // (int(s.sizes[at]) + 1))
-        part, own = _part(s, at, at + width), weights[at : at + width]
-        alpha = forward(part, p)
-        rows = np.arange(len(part.sizes))
-        whole = alpha[part.sizes, rows]
-        longest = int(part.sizes[0])
-        # beta[i]: probability of the bytes from i on
-        beta = np.zeros_like(alpha)
-        beta[part.sizes, rows] = 1.0
-        for start in range(longest - 1, -1, -1):
-            n = int(np.searchsorted(-part.sizes, -(start + 1), side="right"))
-            for size in range(1, PIECE_BYTES + 1):
-                if start + size > longest:
-                    break
-                m = int(np.searchsorted(-part.sizes[:n], -(start + size), side="right"))
-                piece = part.piece[size - 1, part.first[:m] + start]
-                through = p[piece] * beta[start + size, :m]
-                beta[start, :m] += through
-                share = own[:m] * alpha[start, :m] * through / whole[:m]
-                np.add.at(out, piece, share)
-        at += width
-    out[-1] = 0
+    """Expected uses of each piece, per language; ``weights`` counts the words per language."""
+    out, logs = np.zeros_like(p), _logs(p)
+    for part, own in _parts(s):
+        whole, alpha = forward(own, logs, every=True)
+        longest = int(own.sizes[0])
+        depth = min(longest, s.vocabulary.longest) + 1
+        # beta[i]: log probability of the bytes from i on; the next places in turn
+        beta = np.zeros((depth, *whole.shape))
+        for begin in range((longest - 1) // STRETCH_BYTES * STRETCH_BYTES, -1, -STRETCH_BYTES):
+            m = matches(own, begin)
+            used = np.empty((len(m.row), p.shape[1]))
+            for start in range(m.end - 1, m.begin - 1, -1):
+                at = m.at(start)
+                row = m.row[at]
+                # a word's end has a probability of 1
+                after = np.where((start + m.size[at] == own.sizes[row])[:, None], 0.0, beta[(start + m.size[at]) % depth, row])
+                through = logs[m.piece[at]] + after
+                head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                most = np.maximum.reduceat(through, head)
+                sums = np.add.reduceat(np.exp(through - np.repeat(most, np.diff(np.append(head, len(row))), axis=0)), head)
+                beta[start % depth, row[head]] = most + np.log(sums)
+                used[at] = weights[part][row] * np.exp(alpha[start, row] + through - whole[row])
+            for language in range(p.shape[1]):
+                out[:, language] += np.bincount(m.piece, weights=used[:, language], minlength=len(p))
     return out
 
 

@@ -366,3 +366,37 @@ def test_scores_are_of_word_ngrams(spark, docs):
         want = sorted(plain_scores(pairs(some)))
         assert [d for d, _ in want] == sorted(r.doc_id for r in scores)
         assert np.allclose([s for _, s in want], [r.score for r in sorted(scores, key=lambda r: r.doc_id)], atol=1e-4)
+
+
+def test_forward_has_no_limit_of_piece_or_word(monkeypatch):
+    from dumpweave.llm import kernels as K
+    import pyarrow as pa
+
+    vocabulary = language_id.Vocabulary(RANKS)
+    with open(RANKS, "rb") as lines:
+        assert len(vocabulary) == sum(bool(x.strip()) for x in lines)
+    rng = np.random.default_rng(1)
+    p = np.zeros((len(vocabulary) + 1, 2))
+    p[:-1] = rng.random((len(vocabulary), 2)) ** 40 + 1e-9
+    place = {b: i for i, b in enumerate(vocabulary.pieces)}
+    texts = ["internationally", "-" * 700, "今天天气很好我们一起去公园散步吧" * 20, "a " + "responsibilities" * 9, "x"]
+    data, offsets = K.utf8(pa.array(texts))
+
+    def plain(word):
+        log = [np.zeros(2)]
+        for end in range(1, len(word) + 1):
+            own = [log[i] + np.log(p[place[word[i:end]]]) for i in range(max(0, end - vocabulary.longest), end) if word[i:end] in place]
+            log.append(np.logaddexp.reduce(own))
+        return log[-1]
+
+    want = [sum(plain(b" " + w.encode()) for w in t.split()) for t in texts]
+    for at_a_time in (language_id.STRETCH_BYTES, 7):
+        monkeypatch.setattr(language_id, "STRETCH_BYTES", at_a_time)
+        s = language_id.stretches(data, offsets, vocabulary)
+        logs = language_id.log_probabilities(s, p)[s.of_word]
+        assert np.allclose([logs[s.text == i].sum(axis=0) for i in range(len(texts))], want)
+    # the bytes of the expected pieces are those of the words
+    uses = language_id.expected_counts(s, p, np.ones((len(s.sizes), 2)))
+    size = np.array([len(x) for x in vocabulary.pieces])
+    assert np.allclose((uses[:-1] * size[:, None]).sum(axis=0), s.sizes.sum())
+    assert uses[place[b" internationally"]].min() > 0
