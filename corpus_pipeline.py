@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumpweave.llm import decontaminate, jaccard_join, language_id, mixing, token_files
+from dumpweave.llm import decontaminate, jaccard_join, language_id, mixing, token_counts, token_files
 from dumpweave.llm.queries import MIX_REPEATS, table, tokenizer_file, workers_find_library
 from dumpweave.plans.session import store
 
@@ -34,9 +34,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks for, each at least once."""
+    """Documents as often as their source's weight asks for, each at least once.
+
+    Weights are those of the ids that the token files will hold, with the end of each document.
+    """
     workers_find_library(spark)
-    found = mixing.mixed(docs, mixing.word_count(F.col("text")), mixing.Target(repeats=MIX_REPEATS))
+    counted = token_counts.with_token_counts(docs, tokenizer_file("byte_bpe_50k.json"), "_tokens")
+    # counted once, as the mixture reads them several times
+    found = mixing.mixed(store(counted, compression="zstd"), F.col("_tokens") + 1, mixing.Target(repeats=MIX_REPEATS))
     return found.select(*docs.columns)
 
 

@@ -203,6 +203,15 @@ class PieceEncoder:
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return ids, bounds
 
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Number of ids of each text."""
+        p = self.pieces(data, offsets)
+        found = np.diff(np.append(0, np.cumsum(self.sizes[p.place], dtype=np.int64))[p.by_text])
+        rows = np.flatnonzero(p.whole)
+        if len(rows):
+            found[rows] = [len(x) for x in self.encode_whole([p.text[p.first[i] : p.first[i + 1]] for i in rows])]
+        return found
+
 
 class Pieces:
     """Pieces of a chunk: spans in code points, first piece of each text, place in the encoder."""

@@ -21,6 +21,7 @@ from dumpweave.llm import (
     token_files,
     warc_index,
 )
+from dumpweave.plans.session import store
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,10 +183,10 @@ MIX_REPEATS = 2.0
 
 @query("op6_mixing")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    found = mixing.mixed(
-        docs.select("doc_id", "source", "text"), mixing.word_count(F.col("text")), mixing.Target(repeats=MIX_REPEATS)
-    )
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    # counted once, as the mixture reads them several times
+    counted = store(token_counts.with_token_counts(docs, tokenizer_file("byte_bpe_50k.json")).drop("text"))
+    found = mixing.mixed(counted, F.col("n_tokens"), mixing.Target(repeats=MIX_REPEATS))
     return found.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_place")
 
 

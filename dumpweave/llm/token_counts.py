@@ -193,6 +193,18 @@ def with_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
     return map_batches(docs, build, f"{schema}, tree {TREE}")
 
 
+def with_token_counts(docs: DataFrame, tokenizer: str, name: str = "n_tokens") -> DataFrame:
+    """``docs`` (text and other columns) with the number of each text's tokens; 0 for a null or empty one."""
+
+    def count(batch: pa.RecordBatch) -> Iterator[dict]:
+        bpe = encoder(tokenizer)
+        for part, data, offsets in K.chunks(batch):
+            yield {c: part.column(c) for c in part.schema.names} | {name: bpe.counts(data, offsets)}
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_batches(docs, count, f"{schema}, `{name}` long")
+
+
 def apply_edits(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Apply the ``edits`` of each row of ``docs`` (text, tree, edits, and other columns).
 

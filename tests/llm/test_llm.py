@@ -400,3 +400,37 @@ def test_forward_has_no_limit_of_piece_or_word(monkeypatch):
     size = np.array([len(x) for x in vocabulary.pieces])
     assert np.allclose((uses[:-1] * size[:, None]).sum(axis=0), s.sizes.sum())
     assert uses[place[b" internationally"]].min() > 0
+
+
+def test_mixture_weighs_tokens(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    # a source of long unbroken strings has few words and many tokens
+    unbroken = [(100 + i, "https://site.example/path?" + "q0Zx9" * (60 + i), "code") for i in range(20)]
+    prose = [(200 + i, "a plain text of some common words " * 10, "prose") for i in range(20)]
+    more = odd.select("doc_id", "text", "source")
+    table = spark.createDataFrame(unbroken + prose, more.schema).unionByName(more)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = docs.collect()
+
+    def weights(end):
+        sums = Counter()
+        for r in rows:
+            sums[r.source] += len(encoded(r.text)) + end
+        names = [x for x in sums if sums[x]]
+        shares = np.array([sums[x] for x in names]) / sum(sums.values())
+        return dict(zip(names, mixing.tempered(shares, mixing.bisected_exponent(shares, mixing.Target(repeats=2.0))), strict=True))
+
+    found = queries.QUERIES["op6_mixing"](spark, str(tmp_path)).collect()
+    sizes = {(r.doc_id, len(encoded(r.text))) for r in rows}
+    assert {(r.doc_id, r.mix_tokens) for r in found} == sizes
+    assert {r.source: round(r.mix_weight, 9) for r in found} == {x: round(w, 9) for x, w in weights(0).items()}
+    # what is written holds the weights
+    mixture = corpus_pipeline.mixture(spark, docs, str(tmp_path))
+    assert mixture.columns == docs.columns
+    got = Counter()
+    for r in mixture.collect():
+        got[r.source] += len(encoded(r.text)) + 1
+    want, total = weights(1), sum(got.values())
+    assert all(abs(got[x] / total - want[x]) < 0.05 for x in want)
