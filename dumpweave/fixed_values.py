@@ -71,3 +71,13 @@ ASCII_FORMS = {
     "’": "'", "“": '"', "”": '"', "„": ",,", "…": "...", "×": "x", "¿": "?",
     "¡": "!", "«": "<<", "»": ">>",
 }
+
+# --- Greek and Cyrillic letters and their ASCII form; marked ones decompose first
+_GREEK = "αa βb γg δd εe ζz ηe θth ιi κk λl μm νn ξx οo πp ρr ςs σs τt υu φph χkh ψps ωo"
+_CYRILLIC = (
+    "аa бb вv гg дd еe жzh зz иi йi кk лl мm нn оo пp рr сs тt уu фf хkh цts чch шsh щshch ъ\" ыy ь' эe юiu яia "
+    "ѐie ёio ђdj ѓgj єie ѕdz іi їyi јj љlj њnj ћtsh ќkj ѝi ўu џdzh ґg"
+)
+SCRIPT_FORMS = {x[0]: x[1:] for x in f"{_GREEK} {_CYRILLIC}".split()}
+SCRIPT_FORMS |= {c.upper(): form.capitalize() for c, form in SCRIPT_FORMS.items() if c != "ς"}
+SCRIPT_FORMS |= {"Ξ": "Ks", "Ъ": "'"}

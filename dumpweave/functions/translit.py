@@ -8,16 +8,28 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dumpweave.fixed_values import ASCII_FORMS
+from dumpweave.fixed_values import ASCII_FORMS, SCRIPT_FORMS
 
 # Latin letters with marks, typographic marks, ligatures, full-width forms
 _BLOCKS = [(0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
+# Greek, Cyrillic, Greek with several marks
+_SCRIPTS = [(0x0370, 0x03FF), (0x0400, 0x052F), (0x1F00, 0x1FFF)]
+# what goes from a text: Latin letters and marks without a form, and what is no letter, number or mark of a script
+_DROPPED = r"[\x{80}-\x{24F}\x{2B0}-\x{36F}\x{1E00}-\x{1EFF}\x{FE00}-\x{FE0F}]|[^\x00-\x7F\p{L}\p{M}\p{N}]"
 
 
 def _decomposed(char: str) -> str:
     return unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
 
 
+def _script_form(char: str) -> str:
+    """ASCII form of a Greek or Cyrillic letter, or '' if it has none."""
+    if char in SCRIPT_FORMS:
+        return SCRIPT_FORMS[char]
+    bases = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
+    return "".join(SCRIPT_FORMS[c] for c in bases) if bases and all(c in SCRIPT_FORMS for c in bases) else ""
+
+
 @cache
 def ascii_tables(mode: str = "letters") -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """(from, to, longer): one-to-one characters, and those with longer forms."""
@@ -32,15 +44,25 @@ def ascii_tables(mode: str = "letters") -> tuple[str, str, tuple[tuple[str, str]
                 target.append(form)
             elif form.strip() and (char in fixed or char.isalpha()):
                 longer.append((char, form))
+    for first, last in _SCRIPTS if mode == "letters" else []:
+        for char in map(chr, range(first, last + 1)):
+            form = _script_form(char)
+            if len(form) == 1:
+                source.append(char)
+                target.append(form)
+            elif form:
+                longer.append((char, form))
     return "".join(source), "".join(target), tuple(longer)
 
 
 def transliterate(text: Column, mode: str = "letters") -> Column:
-    """ASCII form of Latin text.
+    """ASCII form of Latin, Greek and Cyrillic text.
 
     ``letters`` also spells out letters and marks that Unicode does not
-    decompose (``ß`` to ``ss``); ``nfkd`` only decomposes. What has no form,
-    such as other scripts and combining marks, is dropped. Text that is ASCII
+    decompose (``ß`` to ``ss``, ``Ж`` to ``Zh``). Letters, numbers and marks of
+    other scripts stay as they are, so that no text is lost; ``transliteration_status``
+    tells such texts. Combining marks of Latin and symbols without a form are
+    dropped. ``nfkd`` only decomposes and drops all else. Text that is ASCII
     already is passed on after one test.
     """
     if mode not in ("letters", "nfkd"):
@@ -49,5 +71,11 @@ def transliterate(text: Column, mode: str = "letters") -> Column:
     out = F.translate(text, source, target)
     for char, form in longer:
         out = F.replace(out, F.lit(char), F.lit(form))
-    out = F.regexp_replace(out, r"[^\x00-\x7F]+", "")
+    out = F.regexp_replace(out, _DROPPED if mode == "letters" else r"[^\x00-\x7F]+", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
+
+
+def transliteration_status(text: Column) -> Column:
+    """``ascii`` as it is, ``spelled`` out whole, or ``partly`` if letters of other scripts stay; null for null."""
+    kept = transliterate(text).rlike(r"[^\x00-\x7F]")
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), "ascii").when(kept, "partly").when(~kept, "spelled")

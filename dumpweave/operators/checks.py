@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import QUALITY_LENGTH, TITLE_LENGTH
-from dumpweave.functions.translit import transliterate
+from dumpweave.functions.translit import transliterate, transliteration_status
 from dumpweave.plans.barrier import once
 from dumpweave.plans.ordered import global_index
 
@@ -135,3 +135,9 @@ def colliding_titles(titles: DataFrame, title: str = "title") -> DataFrame:
     forms = once(distinct, title_ascii=transliterate(F.col("title")))
     collided = translit_collisions(titles, title).select("title_ascii")
     return forms.join(collided, "title_ascii", "left_semi").select("title_ascii", "title")
+
+
+def untransliterated_titles(titles: DataFrame, title: str = "title") -> DataFrame:
+    """``title`` of all distinct titles that keep letters without an ASCII form."""
+    distinct = titles.select(F.col(title).alias("title")).distinct()
+    return distinct.where(transliteration_status(F.col("title")) == "partly")

@@ -110,6 +110,24 @@ def test_transliterate_known(spark):
     assert one(spark, transliterate(F.col("t")), None) is None
 
 
+def test_transliterate_other_scripts(spark):
+    from dumpweave.functions.translit import transliteration_status
+    from dumpweave.operators import checks
+
+    forms = {
+        "Αθήνα": "Athena", "Ψυχή": "Psukhe", "Ξένος ᾄδω": "Ksenos ado", "Москва": "Moskva",
+        "Щукин Юрий": "Shchukin Iurii", "объект": 'ob"ekt', "Київ": "Kiyiv", "Ђоковић": "Djokovitsh",
+        "漢字 é": "漢字 e", "हिन्दी": "हिन्दी", "x ☃ y": "x  y", "e\u0301": "e",
+    }
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    found = df.select("t", transliterate(F.col("t")).alias("a"), transliteration_status(F.col("t")).alias("s")).collect()
+    assert {r.t: r.a for r in found} == forms
+    assert {r.t for r in found if r.s == "partly"} == {"漢字 é", "हिन्दी"}
+    titles = spark.createDataFrame([("漢字",), ("東京",), ("Пётр",), ("Иван",), ("plain",)], "title string")
+    assert checks.translit_collisions(titles).isEmpty()
+    assert {r.title for r in checks.untransliterated_titles(titles).collect()} == {"漢字", "東京"}
+
+
 def test_stop_words(spark):
     text = "The dog, the  Dog\nand ours"
     assert one(spark, tx.remove_stopwords(F.col("t")), text) == "dog, Dog"
