@@ -55,13 +55,13 @@ def ascii_tables(mode: str = "letters") -> tuple[str, str, tuple[tuple[str, str]
     return "".join(source), "".join(target), tuple(longer)
 
 
-def transliterate(text: Column, mode: str = "letters") -> Column:
+def transliterate(text: Column, mode: str = "letters", keep: bool = True) -> Column:
     """ASCII form of Latin, Greek and Cyrillic text.
 
     ``letters`` also spells out letters and marks that Unicode does not
     decompose (``ß`` to ``ss``, ``Ж`` to ``Zh``). Letters, numbers and marks of
-    other scripts stay as they are, so that no text is lost; ``transliteration_status``
-    tells such texts. Combining marks of Latin and symbols without a form are
+    other scripts stay as they are, so that no text is lost, unless ``keep`` is
+    false; ``transliteration_status`` tells such texts. Combining marks of Latin and symbols without a form are
     dropped. ``nfkd`` only decomposes and drops all else. Text that is ASCII
     already is passed on after one test.
     """
@@ -71,7 +71,7 @@ def transliterate(text: Column, mode: str = "letters") -> Column:
     out = F.translate(text, source, target)
     for char, form in longer:
         out = F.replace(out, F.lit(char), F.lit(form))
-    out = F.regexp_replace(out, _DROPPED if mode == "letters" else r"[^\x00-\x7F]+", "")
+    out = F.regexp_replace(out, _DROPPED if mode == "letters" and keep else r"[^\x00-\x7F]+", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
 
 

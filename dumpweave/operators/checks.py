@@ -112,6 +112,8 @@ def _violations(found: DataFrame, table: str, check: str) -> DataFrame:
 def translit_collisions(titles: DataFrame, title: str = "title") -> DataFrame:
     """ASCII forms that several distinct titles share, or that are empty.
 
+    Here letters without a form are dropped, so that titles of such letters only show as empty.
+
     ``title_ascii, n_titles, first_title, last_title``. The titles themselves
     are listed by ``colliding_titles``, one per row, as one form (the empty
     one, say) may have any number.
@@ -119,7 +121,7 @@ def translit_collisions(titles: DataFrame, title: str = "title") -> DataFrame:
     grouped = (
         titles.select(F.col(title).alias("title"))
         .distinct()
-        .groupBy(transliterate(F.col("title")).alias("title_ascii"))
+        .groupBy(transliterate(F.col("title"), keep=False).alias("title_ascii"))
         .agg(
             F.count("*").alias("n_titles"),
             F.min("title").alias("first_title"),
@@ -132,7 +134,7 @@ def translit_collisions(titles: DataFrame, title: str = "title") -> DataFrame:
 def colliding_titles(titles: DataFrame, title: str = "title") -> DataFrame:
     """``title_ascii, title`` of all titles in a collision."""
     distinct = titles.select(F.col(title).alias("title")).distinct()
-    forms = once(distinct, title_ascii=transliterate(F.col("title")))
+    forms = once(distinct, title_ascii=transliterate(F.col("title"), keep=False))
     collided = translit_collisions(titles, title).select("title_ascii")
     return forms.join(collided, "title_ascii", "left_semi").select("title_ascii", "title")
 
