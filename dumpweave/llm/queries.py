@@ -16,6 +16,7 @@ from dumpweave.llm import (
     jaccard_join,
     language_id,
     mixing,
+    spelling_variants,
     substring_dedup,
     token_counts,
     token_files,
@@ -210,6 +211,60 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return interpolated_lm.held_out_scores(table(spark, sf, "documents"))
 
 
+# crc32 in SQL: the table of the reflected polynomial 0xEDB88320, and the bytes of a text folded over it
+CRC_TABLE = """(select list(list_reduce(range(8), lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i) order by i) as t
+  from range(256) r(i))"""
+
+
+def crc_sql(text: str) -> str:
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || hex(encode({text}))[2*i+1:2*i+2])::bigint)"
+    step = "lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])"
+    return f"xor(list_reduce({octets}, {step}, 4294967295), 4294967295)"
+
+
+OP13_SQL = rf"""
+with recursive crc as {CRC_TABLE}, runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) as w
+  from documents
+), names as (
+  select doc_id, w, count(*) as m, coalesce(doc_id::varchar, '') || ':' || w as name from runs group by doc_id, w
+), sums as (
+  select w, m, {crc_sql("name")} as h from names, crc
+), counted as (
+  select case when h % 97 = 0 then w[1:(h % length(w))] || w[(h % length(w)) + 2:] else w end as word, sum(m)::bigint as n
+  from sums group by 1
+), words as materialized (
+  select word, n from counted where length(word) >= 5 and n >= 3
+), shorter as materialized (
+  select word, n, i, word[1:i] || word[i + 2:] as s from (select word, n, unnest(range(length(word))) as i from words)
+), pairs as materialized (
+  select a.word as a, a.n as a_n, b.word as b, b.n as b_n from shorter a join shorter b on a.i = b.i and a.s = b.s where a.word <> b.word
+  union
+  select a.word, a.n, b.word, b.n from shorter a join words b on a.s = b.word
+  union
+  select b.word, b.n, a.word, a.n from shorter a join words b on a.s = b.word
+), near as (
+  select a, count(*) as n_near from pairs group by a
+), forms as materialized (
+  select a, b as form, b_n as form_n from pairs where b_n >= 2 * a_n
+  qualify row_number() over (partition by a order by b_n desc, b) = 1
+), walk as (
+  select word, word as here, 0 as step from words
+  union all
+  select k.word, f.form, k.step + 1 from walk k join forms f on f.a = k.here
+), roots as (
+  select word, arg_max(here, step) as root from walk group by word
+)
+select w.word, f.form, r.root, w.n, coalesce(n.n_near, 0)::bigint as n_near, f.form_n
+from words w join roots r on r.word = w.word left join near n on n.a = w.word left join forms f on f.a = w.word
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants.variant_groups(table(spark, sf, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
