@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpweave.llm import (
+    conversation_trie,
     decontaminate,
     imatch,
     interpolated_lm,
@@ -222,6 +223,55 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce({octets}, {step}, 4294967295), 4294967295)"
 
 
+OP12_SQL = rf"""
+with crc as materialized {CRC_TABLE}, turns as materialized (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, said) - 1 as p, said, words
+  from (
+    select conv_id, turn, md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as said,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words
+    from conversations where conv_id is not null
+  )
+), ids as materialized (
+  select c, {crc_sql("c::varchar")} % 4 as h from (select distinct conv_id as c from turns), crc
+), heads as (
+  select i.c, t.p + 1 as d, t.said, t.words from ids i join turns t on t.conv_id = i.c - i.c % 20 and t.p < i.h
+), taken as (
+  select i.c, i.h, count(x.d) as n from ids i left join heads x on x.c = i.c group by i.c, i.h
+), rebuilt as (
+  select * from heads
+  union all
+  select x.c, t.p - x.h + x.n + 1, t.said, t.words from taken x join turns t on t.conv_id = x.c and t.p >= x.h
+), paths as materialized (
+  select c, d, words, string_agg(said, '') over (partition by c order by d) as k from rebuilt
+  union all
+  select c, 0, 0, '' from ids
+), lengths as (
+  select c, max(d) as d from paths group by c
+), nodes as materialized (
+  select p.k, any_value(p.d)::bigint as d, min(p.c) as c, count(*) as n, any_value(p.words) as words,
+    sha256(coalesce(string_agg(p.c::varchar, ',' order by p.c) filter (where l.d = p.d), '')) as ends
+  from paths p join lengths l on l.c = p.c group by p.k
+), children as (
+  select left(k, 32 * (d - 1)) as k, count(*) as n from nodes where d > 0 group by 1
+), sums as (
+  select left(x.k, 32 * x.up) as k, sum(x.leaf)::bigint as leaves, sum(x.saved)::bigint as saved
+  from (
+    select n.k, unnest(range(n.d + 1)) as up, (n.n - 1) * n.words as saved, case when c.n is null then 1 else 0 end as leaf
+    from nodes n left join children c on c.k = n.k
+  ) x group by 1
+)
+select n.c as conv_id, n.d as depth, p.c as parent_conv_id, n.n as n_convs, coalesce(c.n, 0) as n_children,
+  s.leaves as n_leaves, s.saved as saved_tokens, n.ends as ends_sha256
+from nodes n join sums s on s.k = n.k left join children c on c.k = n.k
+left join nodes p on n.d > 0 and p.k = left(n.k, 32 * (n.d - 1))
+"""
+
+
+@query("op12_conversation_trie", OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf, "conversations"))
+
+
 OP13_SQL = rf"""
 with recursive crc as {CRC_TABLE}, runs as (
   select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) as w
