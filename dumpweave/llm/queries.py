@@ -17,6 +17,7 @@ from dumpweave.llm import (
     jaccard_join,
     language_id,
     mixing,
+    quality_rules,
     spelling_variants,
     substring_dedup,
     token_counts,
@@ -223,6 +224,11 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce({octets}, {step}, 4294967295), 4294967295)"
 
 
+@query("op11_quality_rules")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 OP12_SQL = rf"""
 with crc as materialized {CRC_TABLE}, turns as materialized (
   select conv_id, row_number() over (partition by conv_id order by turn nulls first, said) - 1 as p, said, words
