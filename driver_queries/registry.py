@@ -14,7 +14,7 @@ from dumpweave.fixed_values import EXPECTED_PAGES, STOP_WORDS
 from dumpweave.functions import text as tx
 from dumpweave.functions import wikitext as wt
 from dumpweave.functions.translit import transliterate
-from dumpweave.operators import checks, graph, links, pages, quality, similarity, stats
+from dumpweave.operators import checks, graph, links, loads, pages, quality, similarity, stats
 from dumpweave.plans.session import configure, store, work_dir
 from dumpweave.sinks import tables as sinks
 from dumpweave.sources import sql_dump, xml_dump
@@ -768,6 +768,99 @@ def _(spark, sf):
     return pages.page_diff(old, new)
 
 
+# --- whole loads, with rejects -----------------------------------------------------------------
+def _load_text(spark, sf):
+    return loads.load_text(v.dump_records(spark, sf), work_dir(spark, "load"), chunk_pages=20)
+
+
+_LOADED = f"with {v.V_LOAD}"
+
+
+@query(
+    "e1_load_text",
+    f"""{_LOADED}
+    select l.title, len(string_split(j.text, chr(10)))::int as n_sections,
+      md5(strip_accents(replace(replace(array_to_string(list_transform(string_split(j.text, chr(10)),
+        lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160))), '|'), 'ß', 'ss')
+        || case when ends_with(j.text, chr(10)) then '' else ' ' end || 'label', chr(0), ''))) as sections_md5,
+      'Page ' || j.lang as link
+    from l_log l join l_judged j using (id) where l.status = 'added'""",
+)
+def _(spark, sf):
+    return _load_text(spark, sf).tables["text"].select(
+        "title", F.size("sections").alias("n_sections"),
+        F.md5(F.array_join("sections", "|")).alias("sections_md5"), F.get("links", F.lit(0)).alias("link"),
+    )
+
+
+@query("e1_load_log", f"{_LOADED} select file_start, chunk, id, title, status, reason from l_log")
+def _(spark, sf):
+    return _load_text(spark, sf).log
+
+
+@query(
+    "e1_load_report",
+    f"""{_LOADED}
+    select file_start, count(*) as pages, count(*) filter (status = 'added') as additions,
+      count(*) filter (status = 'duplicate') as duplicates, count(*) filter (status = 'error') as errors
+    from l_log where status <> 'left out' group by 1""",
+)
+def _(spark, sf):
+    return _load_text(spark, sf).report("file_start")
+
+
+@query("e1_load_totals", f"{_LOADED} select status, count(*) as n_rows from l_log group by 1")
+def _(spark, sf):
+    return _load_text(spark, sf).status_totals(spark)
+
+
+@query("e1_rejected_pages", f"{_LOADED} select file_start, id from l_judged where broken")
+def _(spark, sf):
+    found = _load_text(spark, sf).rejected
+    return found.select(
+        F.regexp_extract("file", r"xml-p(\d+)p", 1).cast("bigint").alias("file_start"),
+        F.regexp_extract("value", r"<id>(\d+)</id>", 1).cast("bigint").alias("id"),
+    )
+
+
+def _load_pages(spark, sf):
+    return loads.load_page_tables(v.dump_page_lines_with_rejects(spark, sf), work_dir(spark, "load"))
+
+
+@query(
+    "e2_load_page_and_talk",
+    f"with {v.V_LOAD_PAGES} select table_name, page_id, page_title from r_log where status = 'added'",
+)
+def _(spark, sf):
+    tables = _load_pages(spark, sf).tables
+    return pages.combine_chunks(*[df.select(F.lit(n).alias("table_name"), "page_id", "page_title") for n, df in tables.items()])
+
+
+@query("e2_load_log", f"with {v.V_LOAD_PAGES} select * from r_log")
+def _(spark, sf):
+    return _load_pages(spark, sf).log
+
+
+@query(
+    "e2_load_report",
+    f"""with {v.V_LOAD_PAGES}
+    select table_name, count(*) as pages, count(*) filter (status = 'added') as additions,
+      count(*) filter (status = 'duplicate') as duplicates, count(*) filter (status = 'error') as errors
+    from r_log where status <> 'left out' group by 1""",
+)
+def _(spark, sf):
+    return _load_pages(spark, sf).report("table_name")
+
+
+@query(
+    "e2_rejected_tuples",
+    f"""select '(' || (p_partkey + 1) || ',0)' as value from part
+    union all select '(' || p_partkey || ',0,''Cut off' from part where p_size > 25""",
+)
+def _(spark, sf):
+    return _load_pages(spark, sf).rejected
+
+
 # --- text ------------------------------------------------------------------------------------
 _ASCII = "strip_accents(replace({}, 'ß', 'ss'))"
 

@@ -270,17 +270,119 @@ v_xml as (
 """
 
 
+def dump_records(spark, sf) -> DataFrame:
+    """file, value: every document as a page of its source's dump file, with headings and a link.
+
+    The titles of copies are the same. German pages are of another namespace,
+    those of one source redirects. Where a document is in French and of two
+    sources, its element lacks an end tag.
+    """
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    title = F.concat(F.when(F.col("lang") == "de", "Talk:").otherwise(""), F.translate(F.left(line, F.lit(40)), ":", ";"))
+    start = F.substring("source", 4, 9)
+    path = F.concat(F.lit(f"/dump/{_FILE}"), start, F.lit(".xml-p"), start, F.lit("p999999.bz2"))
+    whole = F.concat(F.col("text"), F.lit(" [[Page "), F.col("lang"), F.lit("|label]]"))
+    broken = (F.col("lang") == "fr") & F.col("source").isin("src5", "src0")
+    value = F.concat(
+        F.lit("\n  <page>\n    <title>"), _escaped(title), F.lit("</title>\n    <ns>"),
+        F.when(F.col("lang") == "de", "1").otherwise("0"), F.lit("</ns>\n    <id>"), F.col("doc_id").cast("string"),
+        F.lit("</id>\n"), F.when(F.col("source") == "src3", '<redirect title="A &amp; B" />').otherwise(""),
+        F.lit('<revision><id>7</id><text bytes="1" xml:space="preserve">'), _escaped(headed(whole)),
+        F.when(broken, "").otherwise("</text>"), F.lit("</revision>\n  "),
+    )
+    return once(parsed(spark, sf, "documents"), file=path, value=value).select("file", "value")
+
+
+V_LOAD = rf"""
+l_pages as (
+  select substr(source, 4)::bigint as file_start, doc_id as id, lang, source, text,
+    case when lang = 'de' then 'Talk:' else '' end || replace(left({FIRST_LINE}, 40), ':', ';') as title,
+    lang = 'fr' and source in ('src5', 'src0') as broken
+  from documents),
+l_judged as (
+  select *, strip_accents(replace(title, 'ß', 'ss')) as name,
+    case when broken then 'error' when title = '' then 'error' when source = 'src3' or lang = 'de' then 'left out' else 'kept' end as state
+  from l_pages),
+l_placed as (
+  select file_start, id, name, (row_number() over (partition by file_start order by id) - 1) // 20 as chunk,
+    row_number() over (partition by file_start order by id) - 1 as pos
+  from l_judged where state = 'kept'),
+l_settled as (
+  select *, case when row_number() over (partition by name order by file_start, chunk, pos desc) = 1
+    then 'added' else 'duplicate' end as status from l_placed),
+l_log as (
+  select j.file_start, s.chunk, case when not j.broken then j.id end as id, case when not j.broken then j.name end as title,
+    coalesce(s.status, j.state) as status,
+    case when j.broken then 'not well formed' when j.title = '' then 'invalid title' when j.source = 'src3' then 'redirect'
+      when j.lang = 'de' then 'other namespace' end as reason
+  from l_judged j left join l_settled s on s.id = j.id)
+"""
+
+
+def dump_page_lines_with_rejects(spark, sf) -> DataFrame:
+    """value: the lines of ``dump_page_lines``; with some pages comes a tuple of too few fields, a
+    page of another namespace and an end that was cut off, and every talk page has a title of its own case."""
+    title = F.concat(F.col("p_name"), F.lit("'s (x), y "), F.col("p_partkey").cast("string"))
+    long = F.when(F.col("p_brand") == "Brand#11", F.repeat(F.lit("long "), F.lit(45))).otherwise("")
+    rest = ["0", "0.5", "'20210501'", "NULL", "77", "9", "'wikitext'", "NULL"]
+    redirect = F.when(F.col("p_type") == "ECONOMY", 1).otherwise(0)
+    key = F.col("p_partkey")
+    line = _tuples(
+        "page",
+        [key + 1, "0", _quoted(F.concat(title, long)), "''", redirect, *rest],
+        [key + 1, "0"],
+        [key + 1 + TALK_OFFSET, "1", _quoted(title), "''", "0", *rest],
+        ["NULL", "0", _quoted(title), "''", "0", *rest],
+        [key + 1 + 2 * TALK_OFFSET, "14", _quoted(title), "''", "0", *rest],
+    )
+    cut = F.concat(F.lit("INSERT INTO `page` VALUES ("), key.cast("string"), F.lit(",0,'Cut off"))
+    lines = F.array(F.lit("-- Dumping data"), line, F.when(F.col("p_size") > 25, cut).otherwise(""))
+    return parsed(spark, sf, "part").select(F.explode(lines).alias("value"))
+
+
+V_LOAD_PAGES = f"""
+r_tuples as (
+  select p_partkey, p_name || '''s (x), y ' || p_partkey as title,
+    case when p_brand = 'Brand#11' then repeat('long ', 45) else '' end as more, p_type = 'ECONOMY' as redirect, p_size
+  from part),
+r_page as (
+  select 'page' as table_name, p_partkey + 1 as page_id, replace(title || more, '_', ' ') as page_title,
+    case when redirect then 'left out' when length(title || more) > 200 then 'skipped' else 'added' end as status,
+    case when redirect then 'redirect' when length(title || more) > 200 then 'long title' end as reason
+  from r_tuples),
+r_log as (
+  select * from r_page
+  union all
+  select 'talk', p_partkey + 1 + {TALK_OFFSET}, title, case when p.page_title is null then 'skipped' else 'added' end,
+    case when p.page_title is null then 'no page' end
+  from r_tuples t left join (select distinct page_title from r_page where status = 'added') p on p.page_title = t.title
+  union all
+  select 'page', null, title, 'error', 'invalid page_id' from r_tuples
+  union all
+  select null, p_partkey + 1 + {2 * TALK_OFFSET}, title, 'left out', 'other namespace' from r_tuples
+  union all
+  select null, null, null, 'error', 'no tuple' from r_tuples
+  union all
+  select null, null, null, 'error', 'no tuple' from r_tuples where p_size > 25)
+"""
+
+
 # --- wikitext, chunks, files, graph ---------------------------------------------------
-def wikitext(spark, sf) -> DataFrame:
-    """doc_id, text: every document with a heading before each line but the first."""
+def headed(text: Column) -> Column:
+    """Wikitext with a heading before each line but the first."""
     lines = F.transform(
-        F.split("_text", "\n"),
+        F.split(text, "\n"),
         lambda x, i: F.when(i == 0, x).otherwise(
             F.concat(F.lit("== Part "), i.cast("string"), F.lit(" ==\n"), x)
         ),
     )
+    return F.array_join(lines, "\n")
+
+
+def wikitext(spark, sf) -> DataFrame:
+    """doc_id, text: every document with a heading before each line but the first."""
     docs = parsed(spark, sf, "documents").select("doc_id", F.col("text").alias("_text"))
-    return once(docs, text=F.array_join(lines, "\n")).select("doc_id", "text")
+    return once(docs, text=headed(F.col("_text"))).select("doc_id", "text")
 
 
 V_LEAD = rf"""

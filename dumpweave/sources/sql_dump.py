@@ -47,6 +47,24 @@ def parse_sql_dump(lines: DataFrame, kind: str, unescape: bool = True) -> DataFr
     ``kind`` is page, link or categorylink. Numbers are bigint, NULL stays
     NULL. ``unescape=False`` keeps the backslashes of quoted strings.
     """
+    fields = _fields(lines, kind, unescape)
+    return fields.where(F.size("_fields") > 1).select(*DUMP_COLUMNS[kind])
+
+
+def marked_sql_dump(lines: DataFrame, kind: str, unescape: bool = True) -> DataFrame:
+    """Tuples and rejects in one pass: the columns of ``parse_sql_dump``, ``is_tuple`` and ``rejected``.
+
+    ``rejected`` is what an INSERT line holds after a tuple, or before the first
+    one, that is no tuple of this kind; else NULL. Rows with neither are left out.
+    """
+    fields = _fields(lines, kind, unescape)
+    rest = _beside(F.element_at("_fields", -1))
+    fields = fields.select("*", (F.size("_fields") > 1).alias("is_tuple"), F.nullif(rest, F.lit("")).alias("rejected"))
+    return fields.where("is_tuple or rejected is not null").drop("_fields")
+
+
+def _fields(lines: DataFrame, kind: str, unescape: bool) -> DataFrame:
+    """The columns of each tuple; ``_fields`` has one entry more than it has columns, or one where there is no tuple."""
     if kind not in DUMP_COLUMNS:
         raise ValueError(f"unknown kind {kind!r}, not one of {', '.join(DUMP_COLUMNS)}")
     names = DUMP_COLUMNS[kind]
@@ -55,15 +73,19 @@ def parse_sql_dump(lines: DataFrame, kind: str, unescape: bool = True) -> DataFr
     mark = _ROW + "".join(f"${i + 1}{_COLUMN}" for i in range(len(names)))
     marked = F.regexp_replace(_body(), _tuple_pattern(kind), mark)
     pieces = insert_lines(lines).select(F.explode(F.split(marked, _ROW)).alias("_piece"))
-    pieces = pieces.where(F.col("_piece").contains(_COLUMN))
     fields = once(pieces, _fields=F.split("_piece", _COLUMN))
     text_columns = {"title", "restrictions", "category"}
     columns = []
     for position, name in enumerate(names):
-        field = F.get("_fields", F.lit(position))
+        field = F.when(F.size("_fields") > 1, F.get("_fields", F.lit(position)))
         value = _text(field, unescape) if name in text_columns else _number(field)
         columns.append(value.alias(name))
-    return fields.select(*columns)
+    return fields.select("_fields", *columns)
+
+
+def _beside(text: Column) -> Column:
+    """Without commas between tuples and the end of the statement, which are nothing to report."""
+    return F.regexp_replace(text, r"^[,\s]+|[,;\s]+$", "")
 
 
 def _body() -> Column:
@@ -80,9 +102,7 @@ def rejected_sql_tuples(lines: DataFrame, kind: str) -> DataFrame:
     """``value``: what the INSERT lines hold beside tuples of this kind, piece by piece."""
     left = F.regexp_replace(_body(), _tuple_pattern(kind), _ROW)
     pieces = insert_lines(lines).select(F.explode(F.split(left, _ROW)).alias("value"))
-    # commas between tuples and the end of the statement are nothing to report
-    pieces = pieces.select(F.regexp_replace("value", r"^[,\s]+|[,;\s]+$", "").alias("value"))
-    return pieces.where(F.col("value") != "")
+    return pieces.select(_beside(F.col("value")).alias("value")).where(F.col("value") != "")
 
 
 def read_sql_dump(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import DUMP_FILE_NAME, VALID_DUMP_FILE
@@ -77,6 +77,14 @@ def rejected_xml_pages(records: DataFrame) -> DataFrame:
     return _parsed(records).where(F.col("p._broken").isNotNull()).select(*keep, "value")
 
 
+def marked_xml_pages(records: DataFrame) -> DataFrame:
+    """Pages and rejects in one pass: the columns of ``parse_xml_pages`` and ``rejected``.
+
+    ``rejected`` is the ``<page>`` element where it is not well formed, else NULL.
+    """
+    return _pages(_parsed(records), F.when(F.col("p._broken").isNotNull(), F.col("value")).alias("rejected"))
+
+
 def _parsed(records: DataFrame) -> DataFrame:
     page = F.concat(F.regexp_extract("value", r"(?s)<page>.*", 0), F.lit("</page>"))
     page = F.regexp_replace(page, r"(?s)(</page>)\s*</page>\s*$", "$1")
@@ -86,7 +94,7 @@ def _parsed(records: DataFrame) -> DataFrame:
     )
 
 
-def _pages(parsed: DataFrame) -> DataFrame:
+def _pages(parsed: DataFrame, *more: Column) -> DataFrame:
     keep = ["file"] if "file" in parsed.columns else []
     return parsed.select(
         *keep,
@@ -97,6 +105,7 @@ def _pages(parsed: DataFrame) -> DataFrame:
         F.col("p.redirect._title").alias("redirect_title"),
         F.col("p.revision.id").alias("rev_id"),
         F.coalesce("p.revision.text._VALUE", F.lit("")).alias("text"),
+        *more,
     )
 
 
@@ -106,8 +115,12 @@ def read_xml_pages(spark: SparkSession, path: str) -> DataFrame:
     Records end at ``</page>``, so the text reader can split even one large
     bz2 file among tasks, which a row-tag XML scan of the file cannot.
     """
+    return parse_xml_pages(read_xml_records(spark, path))
+
+
+def read_xml_records(spark: SparkSession, path: str) -> DataFrame:
+    """``value``, each with at most one ``<page>`` element, and its ``file``."""
     records = spark.read.option("lineSep", "</page>").text(path)
     if not records.inputFiles():
         raise FileNotFoundError(path)
-    records = records.select("value", F.col("_metadata.file_path").alias("file"))
-    return parse_xml_pages(records)
+    return records.select("value", F.col("_metadata.file_path").alias("file"))
