@@ -68,19 +68,17 @@ def staged_pages(records: DataFrame, namespace_mode: str = "colon") -> DataFrame
 
     Columns: row (tells rows apart), file, file_start, id, title, status, reason,
     headings, sections, links, rejected. Status is ``error`` for an element that
-    is not well formed or a page that is not valid, ``left out`` for what is no
+    is not well formed or a page that is not valid (or has an empty title), ``left out`` for what is no
     article, else ``kept``. Texts of articles only are taken apart.
     """
     marked = article_status(marked_xml_pages(records), namespace_mode)
     broken = F.col("rejected").isNotNull()
+    untitled = (F.col("status") == "no title") | (F.col("title") == "")
     reason = (
-        F.when(broken, "not well formed")
-        .when(F.col("status") == "no title", "invalid title")
+        F.when(broken, "not well formed").when(untitled, "invalid title")
         .when(F.col("status") != "kept", F.col("status"))
-    )
-    status = (
-        F.when(broken | (F.col("status") == "no title"), "error").when(F.col("status") != "kept", "left out").otherwise("kept")
-    )
+    )
+    status = F.when(broken | untitled, "error").when(F.col("status") != "kept", "left out").otherwise("kept")
     marked = marked.select(
         "file", F.regexp_extract("file", DUMP_FILE_NAME, 4).try_cast("bigint").alias("file_start"), "id",
         transliterate(F.col("title")).alias("title"), status.alias("status"), reason.alias("reason"), "rejected",
