@@ -14,7 +14,7 @@ from dumpweave.fixed_values import EXPECTED_PAGES, STOP_WORDS
 from dumpweave.functions import text as tx
 from dumpweave.functions import wikitext as wt
 from dumpweave.functions.translit import transliterate
-from dumpweave.operators import checks, graph, links, loads, pages, quality, similarity, stats
+from dumpweave.operators import checks, graph, links, loads, pages, quality, similarity, stats, subwords
 from dumpweave.plans.session import configure, store, work_dir
 from dumpweave.sinks import tables as sinks
 from dumpweave.sources import sql_dump, xml_dump
@@ -900,21 +900,21 @@ shown as (
 @query(
     "t2_extract_links",
     f"""with {v.V_LINKS}, {_LINKED}
-    select page_id, pos::int as pos, {_ASCII.format("link")} as link from shown""",
+    select page_id, pos::int as pos, {_ASCII.format("link")} as link from anchors left join shown using (page_id)""",
 )
 def _(spark, sf):
     found = wt.extract_links(F.col("text"))
-    return v.wikilinks(spark, sf).select("page_id", F.posexplode(found).alias("pos", "link"))
+    return v.wikilinks(spark, sf).select("page_id", F.posexplode_outer(found).alias("pos", "link"))
 
 
 @query(
     "t2_extract_links_display",
     f"""with {v.V_LINKS}, {_LINKED}
-    select page_id, pos::int as pos, {_ASCII.format("label")} as link from shown""",
+    select page_id, pos::int as pos, {_ASCII.format("label")} as link from anchors left join shown using (page_id)""",
 )
 def _(spark, sf):
     found = wt.extract_links(F.col("text"), use="display")
-    return v.wikilinks(spark, sf).select("page_id", F.posexplode(found).alias("pos", "link"))
+    return v.wikilinks(spark, sf).select("page_id", F.posexplode_outer(found).alias("pos", "link"))
 
 
 @query(
@@ -922,8 +922,8 @@ def _(spark, sf):
     f"""with {v.V_LINKS}, {_LINKED},
     l as (select page_id, string_agg(label, ' ' order by pos) as labels from shown where pos > 0
       group by 1)
-    select page_id, 'thumb|see ' || links[1] || ' and ' || labels || ' Category:Pages  ' as visible
-    from l join anchors using (page_id)""",
+    select page_id, 'thumb|see ' || coalesce(links[1], 'it') || ' and ' || coalesce(labels, '') || ' Category:Pages  ' as visible
+    from anchors left join l using (page_id)""",
 )
 def _(spark, sf):
     return v.wikilinks(spark, sf).select(
@@ -980,6 +980,49 @@ def _(spark, sf):
     return _lengths(spark, sf).select("doc_id", "length")
 
 
+_CUT = f"with recursive {v.V_PIECES}"
+
+
+def _subwords(spark, sf, cap=None):
+    leads = wt.extract_sections(v.wikitext(spark, sf), markup=False)
+    return subwords.lead_subword_lengths(leads, v.piece_vocabulary(spark, sf), "doc_id", cap)
+
+
+@query(
+    "t7_lead_subword_length",
+    f"""{_CUT}
+    select d.doc_id, case when any_value(d.text) = '' then 0 else coalesce(sum(w.n), 0) + 2 end::bigint as length,
+      count(*) filter (w.unknown)::bigint as n_unknown
+    from documents d left join v_leads l using (doc_id) left join v_words w using (word) group by 1""",
+)
+def _(spark, sf):
+    return _subwords(spark, sf)
+
+
+@query(
+    "t7_lead_subword_length_capped",
+    f"""{_CUT}, t as (
+      select l.doc_id, w.n, w.unknown, sum(w.n) over (partition by l.doc_id order by l.pos) as upto
+      from v_leads l join v_words w using (word))
+    select d.doc_id, case when any_value(d.text) = '' then 0 else least(coalesce(max(t.upto), 0), 22) + 2 end::bigint as length,
+      count(*) filter (t.unknown and t.upto - t.n < 22)::bigint as n_unknown
+    from documents d left join t using (doc_id) group by 1""",
+)
+def _(spark, sf):
+    return _subwords(spark, sf, cap=24)
+
+
+@query(
+    "a10_unknown_subword_share",
+    f"""{_CUT}, t as (
+      select (select count(*) from documents where text <> '') * 2 + sum(w.n) as n_tokens, count(*) filter (w.unknown) as n_unknown
+      from v_leads l join v_words w using (word))
+    select n_unknown, n_tokens::bigint as n_tokens, round(100 * n_unknown / n_tokens, 6) as percent_unknown from t""",
+)
+def _(spark, sf):
+    return subwords.unknown_subword_share(_subwords(spark, sf)).withColumn("percent_unknown", six("percent_unknown"))
+
+
 @query(
     "t8_tokenize_terms",
     rf"""select doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'))::int as n_terms,
@@ -1050,8 +1093,8 @@ def _(spark, sf):
     items = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("doc"), F.concat("l_returnflag", "l_linestatus").alias("term")
     )
-    # the terms, a few flags, name the columns of the wide matrix
-    terms = sorted(row["term"] for row in items.select("term").distinct().collect())
+    # the columns of the wide matrix: all flags there can be
+    terms = [flag + status for flag in "ANR" for status in "FO"]
     wide = items.groupBy("doc").agg(
         *[F.count_if(F.col("term") == t).cast("double").alias(t) for t in terms]
     )
@@ -1254,7 +1297,8 @@ def _(spark, sf):
 
 @query(
     "k3_integrity_report",
-    f"""with {v.V_TABLES}
+    f"""with {v.V_TABLES}, {v.V_LINKS},
+    v_titles_linked as (select page_id * 7 as page_id, repeat(link, 40) as link from v_links)
     select 'page' as table_name, 'unique page_id' as check_name, 0::bigint as violations
     union all select 'page', 'unique page_title', 0
     union all select 'page', 'not null page_id', 0
@@ -1271,6 +1315,13 @@ def _(spark, sf):
     union all select 'quality', 'length page_quality', 0
     union all select 'quality', 'page_id in talk', count(*) from v_quality_all
       where id not in (select page_id from v_talk_all)
+    union all select 'link', 'unique pl_from, part', 0
+    union all select 'link', 'not null pl_from', 0
+    union all select 'link', 'not null part', 0
+    union all select 'link', 'length pl_titles', count(*) from (
+      select page_id from v_titles_linked group by 1 having max(length(link)) > 200)
+    union all select 'link', 'pl_from in page', count(*) from (
+      select distinct page_id from v_titles_linked where page_id not in (select page_id from v_page))
     union all select 'text', 'unique title', count(*) from (
       select {v.FIRST_LINE} from documents group by 1 having count(*) > 1)
     union all select 'text', 'not null title', 0
@@ -1286,10 +1337,17 @@ def _(spark, sf):
             "page": v.page_table(spark, sf),
             "talk": v.talk_candidates(spark, sf),
             "quality": graded,
+            "link": _stored_links(spark, sf),
         }
     )
 
 
+def _stored_links(spark, sf):
+    """Links of every web page as if of the page with seven times its number; most of these do not exist, and some titles are long."""
+    found = v.page_arrays(spark, sf).select((F.col("page_id") * 7).alias("pl_from"), F.explode("links").alias("title"))
+    return links.collect_page_links(found.withColumn("title", F.repeat("title", F.lit(40))))
+
+
 @query(
     "k4_expected_count_gate",
     f"""select count(*) as n_rows, {EXPECTED_PAGES}::bigint as expected, count(*) = {EXPECTED_PAGES} as is_full

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpweave.functions.text import tokens
+from dumpweave.operators.subwords import mark_pieces, plain_words
 from dumpweave.plans.barrier import once
 from dumpweave.plans.session import spread
 
@@ -65,7 +66,8 @@ by_key as (
 
 def wikilinks(spark, sf) -> DataFrame:
     """page_id, text: links in wikitext, every other one with a label, after an
-    image whose caption holds a link, before a category and a blank link."""
+    image whose caption holds a link, before a category and a blank link. A page
+    without links has the image and the rest."""
     link = F.transform(
         "links",
         lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("[["), x, F.lit("]]"))).otherwise(
@@ -80,8 +82,9 @@ def wikilinks(spark, sf) -> DataFrame:
         F.array_join(link, " "),
         F.lit(" [[Category:Pages]] [[ ]]"),
     )
-    linked = page_arrays(spark, sf).where(F.size("links") > 0)
-    return once(linked, text=text).select("page_id", "text")
+    plain = F.lit("<!-- note -->[[File:p.jpg|thumb|see it]] '''and''' {{x|{{y}}}} [[Category:Pages]] [[ ]]")
+    text = F.when(F.size("links") > 0, text).otherwise(plain)
+    return once(page_arrays(spark, sf), text=text).select("page_id", "text")
 
 
 # --- SQL dumps ----------------------------------------------------------------
@@ -397,6 +400,44 @@ def vocabulary(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("token"))
 
 
+def piece_vocabulary(spark, sf) -> DataFrame:
+    """piece, is_start: words of the benchmark, their first letters, and pairs and triples from within."""
+    words = table(spark, sf, "benchmark").select(F.explode(plain_words(F.col("text"))).alias("w")).distinct()
+    starts = F.array("w", F.left("w", F.lit(1)), F.left("w", F.lit(2)), F.left("w", F.lit(4)))
+    within = F.flatten(F.transform(
+        F.sequence(F.lit(2), F.length("w") + 1), lambda i: F.array(F.substring("w", i, F.lit(2)), F.substring("w", i, F.lit(3)))
+    ))
+    marked = F.concat(starts, F.transform(within, lambda x: F.concat(F.lit("##"), x)))
+    return mark_pieces(words.select(F.explode(marked).alias("piece")).where("piece <> '##'"))
+
+
+V_PIECES = rf"""
+v_pieces as materialized (
+  with w as (select distinct unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) as w from benchmark),
+  i as (select w, unnest(range(2, length(w) + 1)) as i from w)
+  select distinct * from (
+    select unnest([w, w[1:1], w[1:2], w[1:4]]) as piece, true as is_start from w
+    union all select unnest([w[i:i+1], w[i:i+2]]), false from i)),
+v_leads as materialized (
+  select doc_id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) as word,
+    unnest(range(len(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')))) as pos
+  from (select doc_id, strip_accents(replace({FIRST_LINE}, 'ß', 'ss')) as t from documents)),
+v_places as (
+  select word, i, unnest(range(1, least(length(word) - i + 1, (select max(length(piece)) from v_pieces)) + 1)) as size
+  from (select word, unnest(range(1, length(word) + 1)) as i from (select distinct word from v_leads where length(word) <= 100))),
+v_steps as materialized (
+  select p.word, p.i, max(p.size) as size from v_places p
+  join v_pieces v on v.piece = substring(p.word, p.i, p.size) and v.is_start = (p.i = 1) group by 1, 2),
+v_cut as (
+  select word, 1::bigint as here, 0 as n from (select distinct word from v_leads)
+  union all
+  select c.word, c.here + s.size, c.n + 1 from v_cut c join v_steps s on s.word = c.word and s.i = c.here),
+v_words as materialized (
+  select word, coalesce(max(n) filter (here > length(word)), 1) as n, count(*) filter (here > length(word)) = 0 as unknown
+  from v_cut group by word)
+"""
+
+
 def chunked_pages(spark, sf) -> DataFrame:
     """file_start, chunk, pos, title: documents by source, copies of a text share a title."""
     return table(spark, sf, "documents").select(

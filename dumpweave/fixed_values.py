@@ -26,6 +26,7 @@ PAGES_PER_FILE = 2000
 EXPECTED_PAGES = 6_301_565
 LEAD_TOKENS = 4100
 SPECIAL_TOKENS = 2
+LONGEST_WORD = 100  # characters of a word that is cut into pieces
 TRAILING_CHUNKS = 7500
 
 # --- quality grades, best first -------------------------------------------
@@ -40,6 +41,8 @@ HEADING = r"(?md)^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t\r]*$"
 TERM = r"[\p{L}\p{N}_]{2,}"
 TOKEN = r"[\p{L}\p{N}_]+"
 
+CONTINUATION = "##"  # before a vocabulary's pieces that go on within a word
+
 # --- percentiles reported for lengths -------------------------------------
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.99, 0.9999]
 
