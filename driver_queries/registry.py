@@ -1133,6 +1133,33 @@ def _(spark, sf):
     return best.withColumn("similarity", six("similarity"))
 
 
+_CLASSES = """
+names as (select doc, string_agg(term || chr(1) || tf, chr(2) order by term) as name from vec group by doc),
+classes as (select doc, min(doc) over (partition by name) as representative from names),
+own as (select v.* from vec v join classes c on c.doc = v.doc and c.representative = v.doc)"""
+SIMILAR = 0.7
+
+
+def _similar(spark, sf):
+    return similarity.similar_pairs(store(similarity.tfidf(_corpus(spark, sf))), SIMILAR)
+
+
+@query(
+    "x4_similar_pairs",
+    f"""with {_CORPUS}, {_TFIDF}, {_CLASSES}
+    select x.doc as a, y.doc as b, round(sum(x.weight * y.weight), 6) as similarity
+    from own x join own y on x.term = y.term and x.doc < y.doc group by 1, 2
+    having sum(x.weight * y.weight) >= {SIMILAR}""",
+)
+def _(spark, sf):
+    return _similar(spark, sf)[0].withColumn("similarity", six("similarity"))
+
+
+@query("x4_equal_pages", f"with {_CORPUS}, {_TFIDF}, {_CLASSES} select doc, representative from classes")
+def _(spark, sf):
+    return similarity.vector_classes(store(similarity.tfidf(_corpus(spark, sf))))
+
+
 @query(
     "x5_normalised_corpus",
     f"""with corpus as (select doc_id as doc, {_NO_STOP} as text from documents), {_TFIDF}
@@ -1145,8 +1172,8 @@ def _(spark, sf):
 
 # --- graph --------------------------------------------------------------------------------------
 def _stored_graph(spark, sf):
-    """The links, read once per level, and the level graph's vertices and edges."""
-    found = store(v.graph_links(spark, sf))
+    """The links, in buckets of their source, and the level graph's vertices and edges."""
+    found = graph.stored_links(v.graph_links(spark, sf))
     return found, *graph.level_graph(
         found, v.GRAPH_START, v.GRAPH_LEVELS, v.GRAPH_CAP, order=("dst",)
     )
@@ -1177,7 +1204,7 @@ v_all as (select id, min(level)::bigint as level from v_reach group by id)"""
     f"with {_ALL_LINKS} select id, level, level < {v.GRAPH_LEVELS} as is_mapped from v_all",
 )
 def _(spark, sf):
-    found = store(v.graph_links(spark, sf))
+    found = graph.stored_links(v.graph_links(spark, sf))
     return graph.level_graph(found, v.GRAPH_START, v.GRAPH_LEVELS)[0]
 
 
@@ -1187,7 +1214,7 @@ def _(spark, sf):
     where a.level < {v.GRAPH_LEVELS}""",
 )
 def _(spark, sf):
-    found = store(v.graph_links(spark, sf))
+    found = graph.stored_links(v.graph_links(spark, sf))
     vertices, _ = graph.level_graph(found, v.GRAPH_START, v.GRAPH_LEVELS)
     return graph.graph_edges(found, vertices)
 

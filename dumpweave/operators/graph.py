@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+from contextlib import suppress
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpweave.operators.links import limit_links_per_page
-from dumpweave.plans.session import cut_lineage, store
+from dumpweave.plans.session import cut_lineage, store, work_dir
+
+#: Links of a bucket of a stored graph.
+BUCKET_LINKS = 4_000_000
+
+
+def stored_links(links: DataFrame, buckets: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """``links`` (src, dst and others) as a table in buckets of ``src``, sorted within.
+
+    A level of a graph then joins the links where they lie: only its frontier
+    is moved, and a cap's ranks need no exchange either. Build it once for all
+    graphs. The table goes with the stage tables; its name is of this session.
+    """
+    spark = links.sparkSession
+    if buckets is None:
+        links = store(links)
+        buckets = max(links.count() // BUCKET_LINKS + 1, spark.sparkContext.defaultParallelism)
+    name = f"links_{uuid.uuid4().hex}"
+    writer = links.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src", *order)
+    writer.option("path", work_dir(spark, "links")).saveAsTable(name)
+    atexit.register(_forget, spark, name)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    with suppress(Exception):  # the session may be gone by then
+        spark.sql(f"drop table if exists {name}")
 
 
 def level_graph(
@@ -31,8 +60,9 @@ def level_graph(
 
     Each level is one join of the links with the frontier, the vertices found
     last; the links it follows are checkpointed, and the frontier is stored, so
-    that its measured size decides how it is joined. Nothing is collected, and
-    the loop ends when nothing new is found.
+    that its measured size decides how it is joined. With ``stored_links`` no
+    level moves the links. Nothing is collected, and the loop ends when nothing
+    new is found.
     """
     root = links.sparkSession.range(1).select(F.lit(start).alias("id"))
     frontier = reached = root

@@ -1,4 +1,4 @@
-"""TF-IDF vectors in long form, and cosine similarity of given pairs."""
+"""TF-IDF vectors in long form, and cosine similarity of given pairs or of all above a threshold."""
 
 from __future__ import annotations
 
@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dumpweave.functions.text import remove_stopwords, tokenize_terms
+from dumpweave.plans.session import store
 from dumpweave.plans.skew import top_per_key
 
+#: Sums of weights are exact to this.
+ROUNDING = 1e-9
+#: Pairs that a task works out.
+TASK_PAIRS = 2_000
+
 
 def normalised_corpus(docs: DataFrame, **options) -> DataFrame:
     """Documents with stop words removed."""
@@ -36,24 +42,81 @@ def tfidf(docs: DataFrame) -> DataFrame:
     return counts.join(idf, "term").select("doc", "term", "tf", (raw / norm).alias("weight"))
 
 
+def document_vectors(vectors: DataFrame) -> DataFrame:
+    """``doc, weights``: the entries of every document as a map from term to weight."""
+    entries = F.map_from_entries(F.collect_list(F.struct("term", "weight")))
+    return vectors.groupBy("doc").agg(entries.alias("weights"))
+
+
 def pairwise_cosine(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     """``a, b, similarity`` for the pairs given; 0 where no term is shared.
 
-    A pair that is given more than once has one row.
-    Work grows with the pairs' terms. Nothing is paired up that was not asked
-    for: a term that all documents hold is matched within asked pairs only.
-    ``vectors`` is read twice, so pass a stored or checkpointed one.
+    A pair that is given more than once has one row. Nothing is paired up that
+    was not asked for. Every document's entries are one row, so the two joins
+    move pairs and not their terms, and a pair is worked out where it lies.
     """
-    left = vectors.select(F.col("doc").alias("a"), "term", F.col("weight").alias("_wa"))
-    right = vectors.select(F.col("doc").alias("b"), "term", F.col("weight").alias("_wb"))
-    return (
-        pairs.select("a", "b")
-        .distinct()
-        .join(left, "a", "left")
-        .join(right, ["b", "term"], "left")
-        .groupBy("a", "b")
-        .agg(F.coalesce(F.sum(F.col("_wa") * F.col("_wb")), F.lit(0.0)).alias("similarity"))
-    )
+    return _cosine(document_vectors(vectors), pairs)
+
+
+def _cosine(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    # small rows and much work each: dealt out by their number, not by their size
+    pairs = store(pairs.select("a", "b").distinct())
+    pairs = pairs.repartition(pairs.count() // TASK_PAIRS + 1, "a")
+    left = documents.select(F.col("doc").alias("a"), F.col("weights").alias("_wa"))
+    right = documents.select(F.col("doc").alias("b"), F.col("weights").alias("_wb"))
+    both = pairs.join(left, "a", "left").join(right, "b", "left")
+    products = F.map_values(F.map_zip_with("_wa", "_wb", lambda _, x, y: x * y))
+    dot = F.aggregate(products, F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)))
+    return both.select("a", "b", F.coalesce(dot, F.lit(0.0)).alias("similarity"))
+
+
+def vector_classes(vectors: DataFrame) -> DataFrame:
+    """``doc, representative`` of every document with terms: the least one that has the same terms as often."""
+    entry = F.concat("term", F.lit("\x01"), F.col("tf").cast("string"))
+    held = vectors.groupBy("doc").agg(F.sort_array(F.collect_list(entry)).alias("_held"))
+    named = held.select("doc", F.sha2(F.array_join("_held", "\x02").cast("binary"), 256).alias("_name"))
+    first = named.groupBy("_name").agg(F.min("doc").alias("representative"))
+    return named.join(first, "_name").select("doc", "representative")
+
+
+def prefix_candidates(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` (a < b), the pairs of documents that may have a cosine of ``threshold`` or more.
+
+    A document's terms are in order from rare to frequent. Common terms of two
+    documents start with one they meet at first; from there on, what is left of
+    either vector bounds their product. So a term is listed only while what is
+    left, itself included, is as long as the threshold, and of the documents in
+    a term's list only those meet whose remainders multiply to it. Frequent
+    terms stand at the end and are mostly not listed; a list that is long still
+    is split by the join.
+    """
+    frequency = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    onward = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(onward))
+    listed = vectors.select("doc", "term", "weight").join(frequency, "term").select("doc", "term", left.alias("left"))
+    listed = store(listed.where(F.col("left") >= threshold - ROUNDING))
+    one = listed.select("term", F.col("doc").alias("a"), F.col("left").alias("_la"))
+    two = listed.select("term", F.col("doc").alias("b"), F.col("left").alias("_lb"))
+    met = one.join(two, "term").where((F.col("a") < F.col("b")) & (F.col("_la") * F.col("_lb") >= threshold - ROUNDING))
+    return met.select("a", "b").distinct()
+
+
+def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """All pairs of documents with a cosine of ``threshold`` or more, without comparing all pairs.
+
+    Returns ``a, b, similarity`` (a < b) between representatives, and ``doc,
+    representative`` of every document; documents with one representative are
+    equal, and their pairs are not spelled out. ``vectors`` (doc, term, tf,
+    weight) are of length 1, as ``tfidf`` gives them, and are read several
+    times, so pass a stored table. The threshold is above 0.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold {threshold} is not above 0 and at most 1")
+    classes = store(vector_classes(vectors))
+    chosen = classes.where("doc = representative").select("doc")
+    own = store(vectors.select("doc", "term", "weight").join(chosen, "doc", "left_semi"))
+    scored = _cosine(store(document_vectors(own)), prefix_candidates(own, threshold))
+    return scored.where(F.col("similarity") >= threshold), classes
 
 
 def similar_pages(

@@ -3,6 +3,7 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,84 @@ def test_cosine_of_a_repeated_pair(spark):
     vectors = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0)], "doc long, term string, weight double")
     pairs = spark.createDataFrame([(1, 2), (1, 2)], "a long, b long")
     assert [tuple(r) for r in similarity.pairwise_cosine(vectors, pairs).collect()] == [(1, 2, 1.0)]
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.5, 0.8, 1.0 - 1e-6])
+def test_similar_pairs_are_all_pairs_above_the_threshold(spark, threshold):
+    rng = np.random.default_rng(4)
+    common = [f"often{i}" for i in range(3)]
+    rows = []
+    for doc in range(120):
+        near = rng.integers(0, 12)
+        words = [f"w{near}_{i}" for i in rng.integers(0, 9, 8)] + [f"w{i}" for i in rng.integers(0, 400, 4)]
+        rows.append((doc, " ".join(common + words)))
+    rows += [(200, rows[0][1]), (201, rows[0][1]), (202, rows[0][1] + " " + rows[0][1]), (203, ""), (204, None), (205, "alone")]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    vectors = cut_lineage(similarity.tfidf(docs))
+    pairs, classes = similarity.similar_pairs(vectors, threshold)
+    told = {r.doc: r.representative for r in classes.collect()}
+    assert told == {d: 0 if d in (0, 200, 201) else d for d, text in rows if text}
+    held = {}
+    for r in vectors.collect():
+        held.setdefault(r.doc, {})[r.term] = r.weight
+    chosen = sorted(set(told.values()))
+    want = {}
+    for i, a in enumerate(chosen):
+        for b in chosen[i + 1 :]:
+            value = sum(w * held[b].get(t, 0) for t, w in held[a].items())
+            if value >= threshold:
+                want[a, b] = value
+    got = {(r.a, r.b): r.similarity for r in pairs.collect()}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+    assert (0, 202) in got
+    if threshold > 0.4:
+        # terms that all hold do not bring all together
+        assert similarity.prefix_candidates(vectors, threshold).count() < 0.25 * len(rows) * (len(rows) - 1) / 2
+
+
+def test_similar_pairs_of_nothing(spark):
+    none = spark.createDataFrame([], "doc long, term string, tf long, weight double")
+    pairs, classes = similarity.similar_pairs(none, 0.5)
+    assert pairs.count() == classes.count() == 0
+    with pytest.raises(ValueError):
+        similarity.similar_pairs(none, 0.0)
+
+
+def test_levels_of_a_stored_graph_move_no_links(spark, monkeypatch):
+    rows = [(f"n{i}", p, f"n{(i * 7 + p * 13) % 400}") for i in range(400) for p in range(6)] + [("n1", 9, "missing")]
+    links = spark.createDataFrame(rows, "src string, pos int, dst string")
+    plain = graph.level_graph(links, "n1", 4)
+    held = graph.stored_links(links, 8, order=("pos",))
+    plans = []
+    cut = graph.cut_lineage
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut_lineage", told)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for cap in (None, 3):
+            plans.clear()
+            vertices, edges = graph.level_graph(held, "n1", 4, cap)
+            assert len(plans) == 4
+            for plan in plans[1:]:  # the first has one page's links only
+                initial = plan.split("Initial Plan")[-1]
+                before = initial[: initial.index("links_")].splitlines()
+                scan = next(i for i, x in enumerate(before) if "links_" in x or i == len(before) - 1)
+                depth = len(before[scan]) - len(before[scan].lstrip(" :+-*()0123456789"))
+                above, reach = [], depth
+                for line in reversed(before[:scan]):
+                    indent = len(line) - len(line.lstrip(" :+-*()0123456789"))
+                    if indent < reach:
+                        above.append(line)
+                        reach = indent
+                assert any("SortMergeJoin" in x for x in above) and not any("Exchange" in x for x in above), plan
+            if cap is None:
+                assert sorted(map(tuple, vertices.collect())) == sorted(map(tuple, plain[0].collect()))
+                assert sorted(map(str, edges.collect())) == sorted(map(str, plain[1].collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    capped = graph.level_graph(links, "n1", 4, 3)
+    assert sorted(map(tuple, vertices.collect())) == sorted(map(tuple, capped[0].collect()))
