@@ -1137,7 +1137,7 @@ _CLASSES = """
 names as (select doc, string_agg(term || chr(1) || tf, chr(2) order by term) as name from vec group by doc),
 classes as (select doc, min(doc) over (partition by name) as representative from names),
 own as (select v.* from vec v join classes c on c.doc = v.doc and c.representative = v.doc)"""
-SIMILAR = 0.7
+SIMILAR = 0.8
 
 
 def _similar(spark, sf):
