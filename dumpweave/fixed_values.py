@@ -38,6 +38,9 @@ OTHER_NAMESPACE = r"^.+:.+$"
 LEAD = "Lead"
 # group 2 is the heading's own text
 HEADING = r"(?md)^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t\r]*$"
+# pairs of tags whose content is shown as it is written, and those that show nothing
+VERBATIM_TAGS = ["nowiki", "pre", "source", "syntaxhighlight"]
+INVISIBLE_TAGS = "categorytree gallery graph imagemap inputbox math score section templatestyles timeline".split()
 TERM = r"[\p{L}\p{N}_]{2,}"
 TOKEN = r"[\p{L}\p{N}_]+"
 

@@ -1,10 +1,12 @@
 """Wikitext: markup, headings and sections, links.
 
-Contract: comments, templates and wiki links nested to any depth, external
+Contract: comments, templates, tables and wiki links nested to any depth, external
 links, tags, quote marks, common entities and headings. Single braces, as in
-parameters and tables, are text: inside a template they go with it. Marks that
-are never closed, or close nothing, stay. Table markup and parser functions are
-not interpreted.
+parameters, are text: inside a template they go with it. Marks that are never
+closed, or close nothing, stay. Of a table its caption and cells are shown, cells
+of a line a blank apart. Marks within pairs of verbatim tags are text, and so are
+headings and links there; pairs of tags that show nothing (formulas, galleries)
+go with what they hold. Parser functions are templates.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dumpweave.fixed_values import HEADING, LEAD
+from dumpweave.fixed_values import HEADING, INVISIBLE_TAGS, LEAD, VERBATIM_TAGS
 from dumpweave.functions.translit import transliterate
 from dumpweave.plans.barrier import once
 
@@ -28,6 +30,32 @@ def strip_space(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACE))
 
 
+# marks that are text within verbatim tags, and characters of no text that stand for them meanwhile
+_MARKS = "[]{}|=<>'!"
+_HIDDEN = "".join(chr(0xFDD0 + i) for i in range(len(_MARKS)))
+_TABLE, _TABLE_END = chr(0xFDE0), chr(0xFDE1)
+_VERBATIM = rf"<({'|'.join(VERBATIM_TAGS)})\b[^<>/]*>"
+
+
+def _hide_verbatim(text: Column) -> Column:
+    """Comments removed, verbatim tags too, and the marks between these hidden."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?si)<!--.*?-->|{_VERBATIM}.*?</\1\s*>|[^<]++|<"), F.lit(0))
+
+    def shown(piece: Column) -> Column:
+        inner = F.regexp_replace(piece, r"(?s)\A<[^<>]*>|</[^<>]*>\z", "")
+        return (
+            F.when(piece.startswith("<!--"), "")
+            .when((F.length(piece) > 1) & piece.startswith("<"), F.translate(inner, _MARKS, _HIDDEN))
+            .otherwise(piece)
+        )
+
+    return F.when(text.rlike(rf"(?i)<!--|{_VERBATIM}"), F.array_join(F.transform(pieces, shown), "")).otherwise(text)
+
+
+def _show_verbatim(text: Column) -> Column:
+    return F.translate(text, _HIDDEN, _MARKS)
+
+
 def _pieces(text: Column, mark: str, close: str) -> Column:
     """The text cut at opening and closing marks, marks included.
 
@@ -39,7 +67,7 @@ def _pieces(text: Column, mark: str, close: str) -> Column:
 
 
 def _fold_marks(
-    text: Column, opening: str, closing: str, inner: Callable[[Column], Column]
+    text: Column, opening: str, closing: str, inner: Callable[[Column], Column], pieces: Column | None = None
 ) -> Column:
     """Replace all marked stretches, inner ones first, by ``inner`` of what they hold.
 
@@ -57,15 +85,48 @@ def _fold_marks(
             .otherwise(F.concat(rest, F.array(F.concat(top, piece))))
         )
 
-    pieces = _pieces(text, re.escape(opening[0]), re.escape(closing[0]))
+    if pieces is None:
+        pieces = _pieces(text, re.escape(opening[0]), re.escape(closing[0]))
     open_ = F.aggregate(pieces, F.array(F.lit("")), step)
     return F.when(text.contains(opening), F.array_join(open_, opening)).otherwise(text)
 
 
+def _table_text(held: Column) -> Column:
+    """Caption and cells of a table; ``held`` starts with its attributes."""
+
+    def line(text: Column) -> Column:
+        body = F.regexp_replace(text, r"^[ \t]*(?:\|\+|[|!])", "")
+        between = F.when(text.rlike(r"^[ \t]*!"), r"!!|\|\|").otherwise(r"\|\|")
+        cells = F.transform(F.split(body, between), lambda c: F.regexp_replace(c, r"^[^|\[\]{}]*\|", ""))
+        row = text.rlike(r"^[ \t]*\|-")
+        return F.when(row, "").when(text.rlike(r"^[ \t]*[|!]"), F.array_join(cells, " ")).otherwise(text)
+
+    lines = F.split(held, "\n")
+    return F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), line), "\n")
+
+
+def _fold_tables(text: Column) -> Column:
+    """Tables, marked at the starts of lines, as what they show."""
+    marked = F.regexp_replace(text, r"(?m)^([ \t:]*)\{\|", f"$1{_TABLE}")
+    marked = F.regexp_replace(marked, r"(?m)^([ \t]*)\|\}", f"$1{_TABLE_END}")
+    pieces = F.regexp_extract_all(marked, F.lit(f"[{_TABLE}{_TABLE_END}]|[^{_TABLE}{_TABLE_END}]++"), F.lit(0))
+    out = _fold_marks(marked, _TABLE, _TABLE_END, _table_text, pieces)
+    out = F.replace(F.replace(out, F.lit(_TABLE), F.lit("{|")), F.lit(_TABLE_END), F.lit("|}"))
+    return F.when(text.rlike(r"(?m)^[ \t:]*\{\|"), out).otherwise(text)
+
+
 def strip_markup(text: Column, headings: bool = True) -> Column:
     """The visible text. NULL gives ''. ``headings=False`` leaves heading lines alone."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->", "")
+    return _show_verbatim(_visible(text, headings))
+
+
+def _visible(text: Column, headings: bool) -> Column:
+    """As ``strip_markup``, with the marks in verbatim text still hidden."""
+    out = _hide_verbatim(F.coalesce(text, F.lit("")))
+    invisible = rf"(?si)<({'|'.join(INVISIBLE_TAGS)})\b[^<>/]*>.*?</\1\s*>"
+    out = F.when(out.contains("</"), F.regexp_replace(out, invisible, "")).otherwise(out)
     out = _fold_marks(out, "{{", "}}", lambda _: F.lit(""))
+    out = _fold_tables(out)
     # a caption may hold links of its own
     out = _fold_marks(out, "[[", "]]", lambda held: F.regexp_replace(held, r"(?s)^[^|]*\|", ""))
     out = F.regexp_replace(out, r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\]]*))?\]", "$1")
@@ -88,16 +149,18 @@ def extract_sections(
     text known to have none.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    body = strip_markup(raw, headings=False) if markup else raw
+    body = _visible(raw, headings=False) if markup else raw
+    # what was written verbatim shows its marks again once headings are found
+    show = _show_verbatim if markup else lambda x: x
     staged = df.withColumn("_body", body)
     staged = staged.withColumn("_heads", F.regexp_extract_all("_body", F.lit(HEADING), F.lit(2)))
     trimmed = F.transform(F.split("_body", HEADING), strip_space)
-    parts = F.transform(trimmed, lambda s: transliterate(s))
+    parts = F.transform(trimmed, lambda s: transliterate(show(s)))
     lead_only = F.lit(keep_headless) & (F.col("_body") != "")
     headed = F.size("_heads") > 0
     none = F.array().cast("array<string>")
     headings = (
-        F.when(headed, F.concat(F.array(F.lit(LEAD)), F.transform("_heads", strip_space)))
+        F.when(headed, F.concat(F.array(F.lit(LEAD)), F.transform("_heads", lambda h: strip_space(show(h)))))
         .when(lead_only, F.array(F.lit(LEAD)))
         .otherwise(none)
     )
@@ -159,11 +222,13 @@ def extract_links(text: Column, use: str = "target") -> Column:
     ``target`` gives the page linked to, without its section anchor, and drops
     files, images and categories; it stays in the JVM, as only links without
     links inside can be page links. ``display`` gives the text shown, nested
-    links included, and drops thumbnails and categories by that text.
+    links included, and drops thumbnails and categories by that text. What is
+    in comments or within verbatim tags is no link.
     """
+    text = _hide_verbatim(F.coalesce(text, F.lit("")))
     if use == "target":
         inner = F.regexp_extract_all(
-            F.coalesce(text, F.lit("")), F.lit(r"\[\[([^\[\]]*)\]\]"), F.lit(1)
+            text, F.lit(r"\[\[([^\[\]]*)\]\]"), F.lit(1)
         )
         shown = F.transform(
             inner,

@@ -190,3 +190,44 @@ def test_percentiles_of_ten(spark):
     df = spark.range(10).withColumnRenamed("id", "length")
     found = length_percentiles(df, shares=[0.05, 0.5, 0.9999]).orderBy("share").collect()
     assert [r.value for r in found] == pytest.approx([0.45, 4.5, 8.9991])
+
+
+BLOCKS = [
+    ("a <nowiki>[[b]] {{c}} ''d'' &amp;</nowiki> e", "a [[b]] {{c}} ''d'' & e"),
+    ("<pre>\n== no heading ==\n</pre>", "\n== no heading ==\n"),
+    ("x <nowiki> open", "x  open"),
+    ("<!-- <nowiki> -->a [[b]]</nowiki>", "a b"),
+    ("<nowiki><!-- shown --></nowiki>", "<!-- shown -->"),
+    ("<nowiki/>a<nowiki />", "a"),
+    ("<syntaxhighlight lang=\"c\">if (a[0] == '{') </syntaxhighlight>", "if (a[0] == '{') "),
+    ("a <math>x^2 [[y]]</math> b <gallery>\nFile:a.jpg|[[c]]\n</gallery>d", "a  b d"),
+    ("a <ref name=\"x\">kept</ref> b", "a kept b"),
+    ("{|class=\"wikitable\"\n|+ style=\"x\" | Title\n! scope=\"col\" | A !! B\n|-\n| 1 || style=\"y\" | [[Dog|dogs]]\n| 2 !! 3\n|}", " Title\n A   B\n\n 1   dogs\n 2 !! 3\n"),
+    ("before\n{|\n|a\n{| inner\n|b||c\n|}\n|d\n|}\nafter", "before\na\nb c\n\nd\n\nafter"),
+    ("{|\n| [[File:x.jpg|thumb|cap]] || e\nmore text\n|}", " thumb|cap   e\nmore text\n"),
+    (":{|\n|x\n|}", ":x\n"),
+    ("{| never closed\n|x", "{| never closed\n|x"),
+    ("a\n|} closes nothing", "a\n|} closes nothing"),
+    ("f {|x|} g", "f {|x|} g"),
+    ("{{t|\n{|\n|gone\n|}\n}}left", "left"),
+    ("{|\n| {{t|a||b}} c\n|}", "  c\n"),
+    ("", ""),
+    (None, ""),
+]
+
+
+@pytest.mark.parametrize("case", range(len(BLOCKS)))
+def test_block_markup(spark, case):
+    text, shown = BLOCKS[case]
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(strip_markup(F.col("text"))).first()[0] == shown
+
+
+def test_headings_and_links_within_verbatim_text(spark):
+    text = "lead [[A]] <nowiki>\n== no ==\n[[B]]\n</nowiki>\n== <nowiki>=</nowiki> sign ==\n<pre>== x ==</pre> [[C|c]] <!-- [[D]] -->"
+    df = spark.createDataFrame([(text,)], "text string")
+    row = extract_sections(df).first()
+    assert row.headings == ["Lead", "= sign"]
+    assert row.sections == ["lead A \n== no ==\n[[B]]", "== x == c"]
+    for use, links in (("target", ["A", "C"]), ("display", ["A", "c"])):
+        assert df.select(extract_links(F.col("text"), use)).first()[0] == links
