@@ -514,6 +514,30 @@ def _(spark, sf):
     return found.withColumn("value", six("value"))
 
 
+@query(
+    "a8_sketched_percentiles",
+    f"""with {v.V_LEAD}, s as (select unnest([0.05, 0.25, 0.5, 0.75, 0.99, 0.9999])::double as share)
+    select share, true as within, (select count(*) from v_lead) as n from s""",
+)
+def _(spark, sf):
+    # sketches of eight parts, stored, merged and held against exact ranks
+    lengths = store(_lengths(spark, sf).select((F.col("doc_id") % 8).alias("part"), "length"))
+    parts = store(stats.length_sketches(lengths, ["part"]))
+    found = stats.sketched_percentiles(stats.merge_sketches(parts)).collect()  # one for each share
+    ranks = [
+        F.struct(
+            F.lit(r["share"]).alias("share"),
+            (
+                (F.avg((F.col("length") < r["value"]).cast("int")) - r["share"] <= stats.SKETCH_ERROR)
+                & (r["share"] - F.avg((F.col("length") <= r["value"]).cast("int")) <= stats.SKETCH_ERROR)
+            ).alias("within"),
+            F.lit(r["n"]).cast("bigint").alias("n"),
+        )
+        for r in found
+    ]
+    return lengths.agg(F.array(*ranks).alias("ranks")).select(F.inline("ranks"))
+
+
 @query(
     "a9_length_histogram",
     f"""with {v.V_LEAD},
@@ -639,6 +663,20 @@ def _(spark, sf):
     return top.withColumn("weight", six("weight"))
 
 
+@query(
+    "w7_trailing_mean_at_every_chunk",
+    """select o_orderkey as at_chunk, round(avg(o_custkey) over x, 6) as avg_items,
+      round(avg(floor(o_totalprice)) over x, 6) as avg_skips
+    from orders window x as (order by o_orderkey rows between 7499 preceding and current row)""",
+)
+def _(spark, sf):
+    chunks = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("chunk"), F.col("o_custkey").alias("items"), F.floor("o_totalprice").alias("skips")
+    )
+    means = links.trailing_chunk_means(chunks)
+    return means.select("at_chunk", six("avg_items").alias("avg_items"), six("avg_skips").alias("avg_skips"))
+
+
 FILE_LIMIT = 7
 
 
@@ -931,6 +969,16 @@ def _(spark, sf):
     )
 
 
+@query(
+    "t3_strip_tables",
+    """select doc_id, array_to_string(list_transform(string_split(text, chr(10)),
+        lambda x: chr(10) || ' ' || x || '   [[x]]'), chr(10)) || chr(10) as visible
+    from documents""",
+)
+def _(spark, sf):
+    return v.tabled(spark, sf).select("doc_id", wt.strip_markup(F.col("text")).alias("visible"))
+
+
 @query(
     "t4_transliterate",
     f"select doc_id, md5({_ASCII.format('text')}) as ascii_md5, length({_ASCII.format('text')}) as n from documents",
@@ -1322,6 +1370,33 @@ def _(spark, sf):
     return pages.combine_chunks(*counts)
 
 
+@query(
+    "k2_rebuild_version",
+    f"""with {v.V_TABLES}
+    select 1 as version, 'page' as table_name, count(*) as n_rows from v_page
+    union all select 1, 'talk', count(*) from v_talk
+    union all select 1, 'link', 0 union all select 1, 'quality', count(*) from v_quality
+    union all select 1, 'text', count(*) from documents
+    union all select 2, 'page', count(*) from v_page
+    union all select 2, 'talk', 0 union all select 2, 'link', 0 union all select 2, 'quality', 0
+    union all select 2, 'text', count(*) from documents""",
+)
+def _(spark, sf):
+    root = work_dir(spark, "tables")
+    text = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("title"), F.array("lang").alias("headings"),
+        F.array("text").alias("sections"), F.array("source").alias("links"),
+    )
+    tables = _linked_tables(spark, sf)
+    first = sinks.rebuild_version(spark, tables | {"text": text}, root)
+    second = sinks.rebuild_version(spark, {"page": tables["page"]}, root)
+    counts = [
+        pages.table_count(df).select(F.lit(number).alias("version"), F.lit(name).alias("table_name"), "n_rows")
+        for number in (first, second) for name, df in sinks.read_version(spark, root, number).items()
+    ]
+    return pages.combine_chunks(*counts)
+
+
 @query(
     "k3_integrity_report",
     f"""with {v.V_TABLES}, {v.V_LINKS},

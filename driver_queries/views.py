@@ -388,6 +388,17 @@ def wikitext(spark, sf) -> DataFrame:
     return once(docs, text=headed(F.col("_text"))).select("doc_id", "text")
 
 
+def tabled(spark, sf) -> DataFrame:
+    """doc_id, text: every document as a table with a row for each line, and a cell of verbatim text beside it."""
+    row = F.transform(
+        F.split("_text", "\n"),
+        lambda x: F.concat(F.lit('|-\n| style="s" | '), x, F.lit(" || <nowiki>[[x]]</nowiki>\n")),
+    )
+    text = F.concat(F.lit('{| class="x"\n'), F.array_join(row, ""), F.lit("|}"))
+    docs = parsed(spark, sf, "documents").select("doc_id", F.col("text").alias("_text"))
+    return once(docs, text=text).select("doc_id", "text")
+
+
 V_LEAD = rf"""
 v_lead as (
   select doc_id, len(regexp_extract_all({FIRST_LINE}, '[\p{{L}}\p{{N}}_]+')) + 2 as length,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import TRAILING_CHUNKS
 from dumpweave.functions.text import unslug
-from dumpweave.plans.ordered import global_index, running_total
+from dumpweave.plans.ordered import global_index, running_total, running_totals
 from dumpweave.plans.session import store
 from dumpweave.plans.skew import SALTS, top_per_key
 
@@ -196,6 +196,32 @@ def trailing_chunk_mean(chunks: DataFrame, size: int = TRAILING_CHUNKS) -> DataF
     )
 
 
+def trailing_chunk_means(chunks: DataFrame, size: int = TRAILING_CHUNKS) -> DataFrame:
+    """Mean items and skips of every chunk and up to ``size - 1`` before it, at every chunk.
+
+    ``chunks`` has chunk, items and skips, whole numbers; chunk orders the rows
+    and need not be dense, but tells them apart. NULL items or skips do not
+    count, as in a mean over a window. A chunk's frame is the difference of two
+    running totals, its own and that of the chunk ``size`` places before, which
+    is joined by place: no task sees all chunks in a row.
+    """
+    values = ("items", "skips")
+    held = {f"_{v}": F.coalesce(F.col(v), F.lit(0)) for v in values}
+    given = {f"_{v}_n": F.col(v).isNotNull().cast("int") for v in values}
+    totals = running_totals(chunks.select("chunk", *values), [F.col("chunk")], {"_at": F.lit(1)} | held | given)
+    totals = store(totals)
+    upto = {c: F.col(c) + own for c, own in (held | given).items()}
+    now = totals.select("chunk", "_at", *[x.alias(c) for c, x in upto.items()])
+    # the running total before a frame's first row
+    before = totals.select((F.col("_at") + size - 1).alias("_at"), *[F.col(c).alias(f"{c}_before") for c in upto])
+    both = now.join(before, "_at", "left")
+    inside = {c: F.col(c) - F.coalesce(f"{c}_before", F.lit(0)) for c in upto}
+    return both.select(
+        F.col("chunk").alias("at_chunk"),
+        *[(inside[f"_{v}"] / F.nullif(inside[f"_{v}_n"], F.lit(0))).alias(f"avg_{v}") for v in values],
+    )
+
+
 def title_ids(links: DataFrame, title: str = "title", seen: str | None = None) -> DataFrame:
     """``title, title_id``: a dense number from 0 for every title.
 

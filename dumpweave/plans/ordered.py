@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,12 @@ from dumpweave.plans.session import store
 
 
 def running_total(df: DataFrame, order: list[Column], weight: Column, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``weight`` over all rows before this one.
+    """Add ``out``: the sum of ``weight`` over all rows before this one; see ``running_totals``."""
+    return running_totals(df, order, {out: weight})
+
+
+def running_totals(df: DataFrame, order: list[Column], weights: Mapping[str, Column]) -> DataFrame:
+    """Add for each of ``weights`` the sum of it over all rows before this one.
 
     ``order`` must tell rows apart (fold copies into a weight first). Rows are
     range-partitioned, which also spreads a hot leading key; each range is
@@ -17,25 +24,26 @@ def running_total(df: DataFrame, order: list[Column], weight: Column, out: str)
     up and added. Range bounds are sampled, so the ranges are stored before two
     branches read them.
     """
+    names = {out: f"_weight_{i}" for i, out in enumerate(weights)}
     ranged = store(
         df.repartitionByRange(*order)
         .withColumn("_range", F.spark_partition_id())
-        .withColumn("_weight", weight.cast("bigint"))
+        .withColumns({names[out]: weight.cast("bigint") for out, weight in weights.items()})
     )
-    per_range = ranged.groupBy("_range").agg(F.sum("_weight").alias("_total"))
+    per_range = ranged.groupBy("_range").agg(*[F.sum(n).alias(n) for n in names.values()])
     in_order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition of the shuffle above: a bound set by configuration
     starts = per_range.select(
-        "_range", F.coalesce(F.sum("_total").over(in_order), F.lit(0)).alias("_start")
+        "_range", *[F.coalesce(F.sum(n).over(in_order), F.lit(0)).alias(f"{n}_start") for n in names.values()]
     )
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
     return (
-        ranged.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
+        ranged.withColumns({f"{n}_inside": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names.values()})
         .join(F.broadcast(starts), "_range")
-        .withColumn(out, F.col("_start") + F.col("_inside"))
-        .drop("_range", "_weight", "_start", "_inside")
+        .withColumns({out: F.col(f"{n}_start") + F.col(f"{n}_inside") for out, n in names.items()})
+        .drop("_range", *[f"{n}{x}" for n in names.values() for x in ("", "_start", "_inside")])
     )
 
 

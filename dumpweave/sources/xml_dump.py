@@ -118,7 +118,21 @@ def read_xml_pages(spark: SparkSession, path: str) -> DataFrame:
     return parse_xml_pages(read_xml_records(spark, path))
 
 
-def read_xml_records(spark: SparkSession, path: str) -> DataFrame:
+def read_xml_pages_between(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """Pages of a dump folder with an ``id`` from ``first`` to ``last``.
+
+    File names tell which ids are inside, so only files that may hold some are
+    opened. Without any there are no pages.
+    """
+    files = dump_file_listing(spark, folder).where((F.col("end_idx") >= first) & (F.col("start_idx") <= last))
+    paths = [row["path"] for row in files.select("path").collect()]  # one for each file
+    if not paths:
+        empty = spark.createDataFrame([], "value string, file string")
+        return parse_xml_pages(empty)
+    return parse_xml_pages(read_xml_records(spark, paths)).where(F.col("id").between(first, last))
+
+
+def read_xml_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``value``, each with at most one ``<page>`` element, and its ``file``."""
     records = spark.read.option("lineSep", "</page>").text(path)
     if not records.inputFiles():
