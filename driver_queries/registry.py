@@ -20,6 +20,7 @@ from dumpweave.sinks import tables as sinks
 from dumpweave.sources import sql_dump, xml_dump
 from dumpweave.sources import tables as stored
 from dumpweave.streaming.incremental import incremental_load, load_log
+from dumpweave.streaming.keyed import keyed_load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1525,22 +1526,29 @@ def _(spark, sf):
 
 
 # --- streaming --------------------------------------------------------------------------------------
-@query(
-    "r1_incremental_load",
-    f"""with {v.V_DUPS},
+_ARRIVALS = f"""with {v.V_DUPS},
     b as (select *, case when file_start < 10 then 0 else 1 end as arrival from v_dups)
     select file_start, chunk, pos, title, case when row_number() over (
       partition by title order by arrival, file_start, chunk, pos desc) = 1
-      then 'added' else 'duplicate' end as status from b""",
-)
-def _(spark, sf):
+      then 'added' else 'duplicate' end as status from b"""
+
+
+def _two_deliveries(spark, sf, load):
+    """Pages that arrive in two deliveries, the second of which sees what the first loaded."""
     arriving = v.chunked_pages(spark, sf)
     root = work_dir(spark, "stream")
-    schema = arriving.schema
-    for early in (True, False):  # two deliveries, the second sees what the first loaded
+    for early in (True, False):
         delivery = arriving.where((F.col("file_start") < 10) == F.lit(early))
         delivery.write.mode("append").parquet(f"{root}/arriving")
-        incremental_load(
-            spark, f"{root}/arriving", schema, f"{root}/loaded", f"{root}/checkpoint"
-        )
-    return load_log(spark, f"{root}/loaded", schema).drop("stream", "batch_id")
+        load(spark, f"{root}/arriving", arriving.schema, f"{root}/loaded", f"{root}/checkpoint")
+    return load_log(spark, f"{root}/loaded", arriving.schema).drop("stream", "batch_id")
+
+
+@query("r1_incremental_load", _ARRIVALS)
+def _(spark, sf):
+    return _two_deliveries(spark, sf, incremental_load)
+
+
+@query("r1_keyed_load", _ARRIVALS)
+def _(spark, sf):
+    return _two_deliveries(spark, sf, keyed_load)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -97,6 +98,14 @@ def discard(stored: DataFrame) -> None:
     _delete(stored.sparkSession, stored.stage_path)
 
 
+def workers_find_library(spark: SparkSession) -> None:
+    """Python workers import this package from where it lies, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Adaptive execution on, with hot join keys split even at an extra shuffle.
 
