@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
-from dumpweave.llm.frames import map_partition, open_input, open_output
+from dumpweave.llm.frames import map_partition, open_input, open_output, text_key
 from dumpweave.llm.pretokens import encoder
-from dumpweave.plans.session import discard, store, work_dir
+from dumpweave.plans.session import store, work_dir
 
 MAGIC, VERSION = b"TIDS", 1
 LONGEST = 18
 EVERY = 256
 BLOCK_IDS = 1 << 20
+# coded bytes that a task reads back
+READ_BYTES = 16 << 20
 
 
 # --- the code -------------------------------------------------------------------------
@@ -170,43 +172,28 @@ def unpack_block(code: Code, raw: bytes) -> tuple[list, np.ndarray, np.ndarray,
 # --- tables to files and back -----------------------------------------------------------
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): the ids of each text and the end id, as little-endian 16- or 32-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        bpe = encoder(tokenizer)
-        kind = id_type(max(bpe.tokenizer.get_vocab_size(), end_id + 1))
-        for batch in batches:
-            for part, data, offsets in K.chunks(batch):
-                ids, bounds = bpe.encode(data, offsets)
-                ended = np.insert(ids, bounds[1:], end_id).astype(kind)
-                bounds = (bounds + np.arange(len(bounds))) * ended.itemsize
-                raw = pa.py_buffer(ended.tobytes())
-                column = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), raw]
-                )
-                yield {"doc_id": part.column("doc_id"), "ids": column}
-
-    return map_partition(docs, run, "doc_id long, ids binary")
+def encoded_batches(
+    batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of batches with (doc_id, text), the ids of their texts, each with the end id, and the texts' bounds in them."""
+    bpe = encoder(tokenizer)
+    for batch in batches:
+        for part, data, offsets in K.chunks(batch):
+            ids, bounds = bpe.encode(data, offsets)
+            yield part, np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
 
 
-def id_type(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
-
-
-def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
+def id_counts(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> np.ndarray:
     """How often each id occurs; one row for each id and task is shuffled."""
-    kind = id_type(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros(vocabulary, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype=kind), minlength=vocabulary)
+        for _, ids, _ in encoded_batches(batches, tokenizer, end_id):
+            total += np.bincount(ids, minlength=vocabulary)
         used = np.flatnonzero(total)
         yield {"id": used, "n": total[used]}
 
-    counted = map_partition(encoded.select("ids"), count, "id int, n long")
+    counted = map_partition(docs, count, "id int, n long")
     total = np.zeros(vocabulary, dtype=np.int64)
     # as many rows as the vocabulary has ids
     for row in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
@@ -214,13 +201,12 @@ def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     return total
 
 
-def write_files(encoded: DataFrame, code: Code, folder: str, vocabulary: int) -> DataFrame:
+def write_files(docs: DataFrame, code: Code, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Write the files; returns the catalogue (part, file, block, offset, length, n_ids) of their blocks.
 
     Each attempt of a task writes a file of its own name, and only the file of
     the attempt that counted is in the catalogue; others are left unread.
     """
-    kind = id_type(vocabulary)
     lengths = code.lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -242,9 +228,9 @@ def write_files(encoded: DataFrame, code: Code, folder: str, vocabulary: int) ->
                 pending.clear()
 
             waiting = 0
-            for batch in batches:
-                for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                    pending.append(np.frombuffer(raw.as_buffer(), dtype=kind))
+            for rows, ids, bounds in encoded_batches(batches, tokenizer, end_id):
+                for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
+                    pending.append(ids[bounds[i] : bounds[i + 1]])
                     doc_ids.append(doc_id)
                     waiting += len(pending[-1])
                     if waiting >= BLOCK_IDS:
@@ -263,7 +249,8 @@ def write_files(encoded: DataFrame, code: Code, folder: str, vocabulary: int) ->
                 "n_ids": list(n_ids),
             }
 
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.md5("ids"))
+    # texts are moved, not ids: they take less room in the shuffle, and nothing else has to be kept
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", text_key(F.col("text")))
     schema = "part int, file string, block int, offset long, length long, n_ids long"
     return store(map_partition(ordered, run, schema))
 
@@ -302,7 +289,10 @@ def read_files(catalogue: DataFrame, code: Code) -> DataFrame:
                 }
 
     # one row for each file: its bound is the number of sorted partitions
-    dealt = catalogue.join(F.broadcast(begin), "part").repartition("file", "block")
+    dealt = catalogue.join(F.broadcast(begin), "part")
+    # rows are tiny and stand for whole blocks, so their bytes set the number of tasks
+    tasks = (catalogue.agg(F.sum("length")).first()[0] or 0) // READ_BYTES + 1
+    dealt = dealt.repartition(tasks, "file", "block")
     return map_partition(dealt, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -312,16 +302,14 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     One row for each row of ``docs``: doc_id, start, n_tokens (with the end id)
     and ids_crc32. A null or empty text has the end id only. Rows are in the
     order of doc_id, null first; rows that share one in the order of a digest of
-    their ids. Other columns are left out. An empty table writes no file and
+    their texts. Other columns are left out. An empty table writes no file and
     gives no rows. The tokenizer's file must be there on every executor.
     """
     from tokenizers import Tokenizer
 
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = store(encode_documents(docs, tokenizer, end_id), compression="zstd")
-    code = Code(code_lengths(id_counts(encoded, vocabulary)))
+    code = Code(code_lengths(id_counts(docs, tokenizer, end_id, vocabulary)))
     folder = folder or work_dir(docs.sparkSession, "tokens")
-    catalogue = write_files(encoded, code, folder, vocabulary)
-    discard(encoded)
+    catalogue = write_files(docs, code, folder, tokenizer, end_id)
     return read_files(catalogue, code)
