@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
-from dumpweave.llm.frames import map_batches
+from dumpweave.llm.frames import aside, map_batches
 from dumpweave.plans.session import store
 
 WINDOW = 10
@@ -177,13 +177,14 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, size: int = WIND
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs; columns as they were."""
-    found = find_contamination(docs, benchmark, size)
-    return found.where("n_hit = 0").select(*docs.columns)
+    own, back = aside(docs, "text")
+    return back(find_contamination(own, benchmark, size).where("n_hit = 0"))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """All rows of ``docs``, with the hit words cut out of ``text``; a null text stays null."""
-    found = find_contamination(docs, benchmark, size)
+    own, back = aside(docs, "text")
+    found = find_contamination(own, benchmark, size)
     raw = F.col("text").cast("binary")
     # what lies between the end of one span and the start of the next
     starts = F.concat(F.array(F.lit(0)), F.col("hit_spans.end"))
@@ -193,6 +194,4 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         lambda x: F.substring(raw, x["s"] + 1, x["e"] - x["s"]),
     )
     text = F.aggregate(kept, F.lit(b""), lambda whole, piece: F.concat(whole, piece)).cast("string")
-    return found.withColumn("text", F.when(F.size("hit_spans") > 0, text).otherwise(F.col("text"))).select(
-        *docs.columns
-    )
+    return back(found.withColumn("text", F.when(F.size("hit_spans") > 0, text).otherwise(F.col("text"))))

@@ -60,6 +60,21 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The columns ``needed`` of ``docs``, all others in a struct ``_aside``; and what restores ``docs``' columns.
+
+    No name that an operator uses inside can clash with a column it does not need.
+    """
+    others = [c for c in docs.columns if c not in needed]
+    names = {c: f"c{i}" for i, c in enumerate(others)}
+    held = [F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("_aside")] if others else []
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col("_aside")[names[c]].alias(c) if c in names else F.col(c) for c in docs.columns])
+
+    return docs.select(*needed, *held), back
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id written as text; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary"))

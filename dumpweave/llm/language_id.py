@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
-from dumpweave.llm.frames import crc_of_id, map_batches, map_partition, once_per_worker
+from dumpweave.llm.frames import aside, crc_of_id, map_batches, map_partition, once_per_worker
 from dumpweave.plans.session import store
 
 # labelled rows per language that the fit takes, in expectation
@@ -355,5 +355,6 @@ def held_out_predictions(docs: DataFrame, path: str, folds: int = 4, held_out: i
 
 def identified(docs: DataFrame, path: str, least_score: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose language is told with at least this probability; columns as they were."""
-    found = fit_and_predict(docs.withColumn("_lang", F.col("lang")), path, F.lit(True))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    own, back = aside(docs, "doc_id", "text", "lang")
+    found = fit_and_predict(own, path, F.lit(True))
+    return back(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)))

@@ -7,8 +7,8 @@ in two places can hold a repeat, and their bytes are dealt to shards by key.
 Each shard sorts its suffixes by Larsson-Sadakane refinement (ranks of 8 bytes,
 doubled up to 200; only groups that are not yet told apart are sorted again) and
 takes common prefixes of neighbours by Kasai's scheme. Keys with too many runs
-for one task are split over shards; these shards' sorted lists of distinct
-strings are merged across shards by binary search.
+for one task are split over shards; their strings are matched across shards by a
+digest of each, as a binary search would have to hold one shard's list whole.
 """
 
 from __future__ import annotations

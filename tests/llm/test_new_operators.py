@@ -278,3 +278,81 @@ def test_near_pairs_for_any_dictionary(spark, grams):
     found = spelling_variants.near_pairs(table, *grams).collect()
     want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if i < j and near(a, b)}
     assert len(found) == len({tuple(r)[:2] for r in found}) and {tuple(r)[:2] for r in found} == want
+
+
+# --- fingerprints by I-Match ------------------------------------------------------------
+
+
+def test_imatch_equals_plain_fingerprints(spark, docs, odd):
+    from pyspark.sql.types import LongType, StringType
+
+    from dumpweave.llm import imatch
+
+    def hashes(values, kind):
+        """xxhash64 of single values, by the engine."""
+        made = spark.createDataFrame([(v,) for v in values], f"v {kind().simpleString()}")
+        return {r.v: r.h for r in made.select("v", F.xxhash64("v").alias("h")).collect()}
+
+    for table in (docs, odd):
+        rows = [(d, t or "") for d, t in pairs(table)]
+        rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+        # Java lower-cases as Python does for the letters here
+        words = lambda t: set(re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())) - {""}
+        df = Counter(w for _, t in rows for w in words(t))
+        band = [w for w, n in df.items() if imatch.IDF_LEAST <= np.log2(len(rows) / n) <= imatch.IDF_MOST]
+        ids = hashes(band, StringType)
+        known = spark.createDataFrame([(i,) for i in ids.values()], "id long") if ids else None
+        subsets = {}
+        if known is not None:
+            marks = [(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << d)) == 0).alias(f"s{i}") for i, d in enumerate(imatch.DENSITIES)]
+            subsets = {r.id: [r[f"s{i}"] for i in range(len(marks))] for r in known.select("id", *marks).collect()}
+
+        def parts(text):
+            own = sorted(ids[w] for w in words(text) if w in ids and any(subsets[ids[w]]))
+            return [[i for i in own if subsets[i][k]] for k in range(len(imatch.DENSITIES))] if own else text
+
+        def likeness(a, b):
+            if isinstance(a, str) or isinstance(b, str):
+                # a text without terms is known by itself
+                told = [k for k in range(24) if not (isinstance(a, list) and not a[k] and isinstance(b, list) and not b[k])]
+                return float(isinstance(a, str) and isinstance(b, str) and a == b) if told else 0.0
+            told = [k for k in range(24) if a[k] or b[k]]
+            return sum(a[k] == b[k] for k in told) / max(len(told), 1)
+
+        want = Counter()
+        for i, (doc, text) in enumerate(rows):
+            after = rows[(i + 1) % len(rows)][1]
+            cut = len(text) // 3
+            edited = text[: len(text) - cut] + after[:cut]
+            want[(doc, len(text), round(likeness(parts(text), parts(edited)), 9), round(likeness(parts(text), parts(after)), 9))] += 1
+        found = imatch.edited_fingerprints(table).collect()
+        assert Counter((r.doc_id, r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == want
+        # equal parts, equal fingerprints, and the other way round
+        named = {}
+        for r in found:
+            named.setdefault((r.doc_id, r.n_chars), set()).add(r.fingerprint)
+        held = defaultdict(set)
+        for doc, text in rows:
+            if len(named[doc, len(text)]) == 1:
+                held[str(parts(text))].add(next(iter(named[doc, len(text)])))
+        assert all(len(x) == 1 for x in held.values()) and len({next(iter(x)) for x in held.values()}) == len(held)
+
+
+# --- pipeline stages and columns of their rows ------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "decontamination", "mixture"])
+def test_stages_leave_columns_as_they_were(spark, odd, name):
+    import corpus_pipeline
+
+    clash = (
+        "score", "lang_pred", "_lang", "n_words", "hit_items", "hit_spans", "n_hit", "_items", "_spans", "tokens", "epochs", "blocks",
+        "_whole", "_draw", "_tokens", "n_tokens", "mix_tokens", "mix_epoch", "mix_place", "_source", "_dropped_id", "component_id", "a b",
+    )
+    table = odd.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.substring("text", 1, 5), F.lit("none"))) for c in clash})
+    found = dict(corpus_pipeline.STAGES)[name](spark, table, SF)
+    assert found.schema.names == table.schema.names
+    rows, before = found.collect(), {str(r) for r in table.collect()}
+    assert rows and {str(r) for r in rows} <= before
+    empty = dict(corpus_pipeline.STAGES)[name](spark, table.limit(0), SF)
+    assert empty.count() == 0 and empty.columns == table.columns
