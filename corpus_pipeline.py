@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpweave.llm import decontaminate, jaccard_join, language_id, mixing, token_counts, token_files
+from dumpweave.llm.frames import aside
 from dumpweave.llm.queries import MIX_REPEATS, table, tokenizer_file, workers_find_library
 from dumpweave.plans.session import store
 
@@ -39,10 +40,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Weights are those of the ids that the token files will hold, with the end of each document.
     """
     workers_find_library(spark)
-    counted = token_counts.with_token_counts(docs, tokenizer_file("byte_bpe_50k.json"), "_tokens")
+    own, back = aside(docs, "doc_id", "source", "text")
+    counted = token_counts.with_token_counts(own, tokenizer_file("byte_bpe_50k.json"))
     # counted once, as the mixture reads them several times
-    found = mixing.mixed(store(counted, compression="zstd"), F.col("_tokens") + 1, mixing.Target(repeats=MIX_REPEATS))
-    return found.select(*docs.columns)
+    found = mixing.mixed(store(counted, compression="zstd"), F.col("n_tokens") + 1, mixing.Target(repeats=MIX_REPEATS))
+    return back(found)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: Models, random orders and a tokenizer are beyond SQL; the tests compare each stage with a plain version.
+#: Models, random orders and a tokenizer are beyond SQL; the tests hold the operators behind the stages against plain versions.
 ORACLE_SQL = None
 
 
