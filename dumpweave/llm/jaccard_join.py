@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
-from dumpweave.llm.frames import components, map_batches, map_partition
+from dumpweave.llm.frames import aside, components, map_batches, map_partition
 from dumpweave.plans.session import discard, store
 
 # Counters of the token order. Tokens that share a counter are taken for as
@@ -116,7 +116,7 @@ def _sets(batches: Iterator[pa.RecordBatch], how: Similar) -> Iterator[dict]:
     """
     total = np.zeros(COUNTERS, dtype=np.int64)
     for batch in batches:
-        for part, data, offsets in K.chunks(batch, rows=8_000):
+        for part, data, offsets in K.chunks(batch, rows=1_000):
             rows = part.num_rows
             owner, hashes = shingle_sets(data, offsets, how.k)
             n, node = set_names(owner, hashes, rows)
@@ -515,4 +515,5 @@ def near_duplicate_survivors(docs: DataFrame, k: int = 5, num: int = 4, den: int
     dropped = (
         found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
     )
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped_id"), "left_anti")
+    own, back = aside(docs, "doc_id")
+    return back(own.join(dropped, F.col("doc_id") == F.col("_dropped_id"), "left_anti"))
