@@ -126,7 +126,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     edited = edited.withColumns({"edited_sha256": F.sha2(F.col("text").cast("binary"), 256), "edited_key": text_key(F.col("text"))})
     changed = fingerprints(edited, ["place", "edited_sha256", "edited_key"], words)
-    own = store(fingerprints(texts, ["key"], words))
+    # from the rows as they are: what is moved is a text's terms of the lexicon, not the text
+    own = store(fingerprints(docs.select("key", "text"), ["key"], words))
     found = (
         pairs.join(changed.withColumnRenamed("parts", "changed"), "place")
         .join(own, "key")
