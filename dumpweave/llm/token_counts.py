@@ -141,7 +141,7 @@ def _edited(bpe: PieceEncoder, texts: list[str], trees: list[CountTree], edits:
     The last edits of all texts are made first, in one go, then the ones before.
     """
     texts, encoded = list(texts), np.zeros(len(texts), dtype=np.int64)
-    waiting = [sorted(e or (), key=lambda x: x["start"]) for e in edits]
+    waiting = [sorted((x for x in e or () if x is not None), key=lambda x: x["start"] or 0) for e in edits]
     while any(waiting):
         open_ = {
             row: _Edit(trees[row], texts[row], e["start"] or 0, e["removed"] or 0, e["inserted"] or "")
@@ -213,7 +213,8 @@ def apply_edits(docs: DataFrame, tokenizer: str) -> DataFrame:
     edits of a row do not overlap. Places outside the text are moved to its ends.
     ``text`` and ``tree`` come back edited, with ``n_tokens`` before,
     ``n_tokens_edited`` after, and ``n_encoded``, the code points that were
-    encoded again. A null text is an empty one; null edits are none.
+    encoded again. A null text is an empty one; null edits are none, alone or among
+    others. A null start or number is 0, a null insertion empty.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:

@@ -356,3 +356,21 @@ def test_stages_leave_columns_as_they_were(spark, odd, name):
     assert rows and {str(r) for r in rows} <= before
     empty = dict(corpus_pipeline.STAGES)[name](spark, table.limit(0), SF)
     assert empty.count() == 0 and empty.columns == table.columns
+
+
+def test_null_edits_among_others(spark):
+    from dumpweave.llm import token_counts
+
+    edits = F.expr(
+        "array(named_struct('start', 5, 'removed', 1, 'inserted', 'x'), null, "
+        "named_struct('start', cast(null as int), 'removed', cast(null as int), 'inserted', 'start '), "
+        "named_struct('start', 8, 'removed', 2, 'inserted', cast(null as string)))"
+    )
+    rows = spark.createDataFrame([(1, "some text to edit"), (2, None)], "doc_id long, text string")
+    found = {r.doc_id: tuple(r) for r in token_counts.count_after_edits(rows, queries.tokenizer_file("byte_bpe_50k.json"), edits).collect()}
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    size = lambda t: len(own.encode(t, add_special_tokens=False).ids)
+    assert found[1][1:4] == (size("some text to edit"), size("start some xexto edit"), len("start some xexto edit"))
+    assert found[2][1] == 0
