@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dumpweave.llm.frames import text_key
 from dumpweave.plans.ordered import global_index
-from dumpweave.plans.session import store
+from dumpweave.plans.session import discard, store
 
 # log2(documents / documents with the term). The number of terms below the upper
 # end is at most 2 ** IDF_MOST times the mean number of terms in a document,
@@ -39,19 +39,18 @@ def lexicon(docs: DataFrame, least: float = IDF_LEAST, most: float = IDF_MOST) -
 
     The empty string is there with no subset.
     """
-    ids = docs.select(F.explode(terms(F.col("text"))).alias("term")).select(
-        F.xxhash64("term").alias("id"), (F.col("term") == "").alias("empty")
-    )
-    frequency = ids.groupBy("id", "empty").agg(F.count(F.lit(1)).alias("df"))
+    ids = docs.select(F.explode(terms(F.col("text"))).alias("term")).select(F.xxhash64("term").alias("id"))
+    empty = F.col("id") == F.xxhash64(F.lit(""))
     # every document holds the empty string: its frequency is their number
+    frequency = ids.groupBy("id").agg(F.count(F.lit(1)).alias("df"))
     total = docs.agg(F.count(F.lit(1)).cast("double")).first()[0]
     idf = F.log2(F.lit(total) / F.col("df"))
     subsets = F.lit(0)
     for i, density in enumerate(DENSITIES):
         inside = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << density)) == 0
         subsets = subsets + F.when(inside, F.lit(1 << i)).otherwise(F.lit(0))
-    subsets = F.when(F.col("empty"), F.lit(0)).otherwise(subsets)
-    chosen = frequency.select("id", "empty", subsets.alias("subsets"), idf.between(least, most).alias("band"))
+    subsets = F.when(empty, F.lit(0)).otherwise(subsets)
+    chosen = frequency.select("id", empty.alias("empty"), subsets.alias("subsets"), idf.between(least, most).alias("band"))
     return chosen.where("empty or (band and subsets > 0)").select("id", "subsets")
 
 
@@ -107,7 +106,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    docs = docs.withColumn("key", text_key(F.col("text")))
+    docs = docs.withColumn("key", F.unhex(text_key(F.col("text"))))
     words = store(lexicon(docs.select("text")))
     narrow = docs.select("doc_id", "key", F.length("text").cast("long").alias("n_chars"))
     ordered = store(global_index(narrow, [F.desc_nulls_last("doc_id"), F.asc("key")], "place"))
@@ -116,6 +115,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.pmod(F.col("place") - 1, F.lit(max(rows, 1))).alias("place"), F.col("key").alias("next_key")
     )
     pairs = store(ordered.join(following, "place"))
+    discard(ordered)
     # texts once each; copies meet in the map tasks first
     texts = docs.groupBy("key").agg(F.first("text").alias("text"))
     heads = pairs.join(texts.withColumnRenamed("key", "next_key"), "next_key").select(
@@ -124,7 +124,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = heads.join(texts, "key").select(
         "place", F.concat(F.expr("left(text, int(n_chars - n_chars div 3))"), F.col("head")).alias("text")
     )
-    edited = edited.withColumns({"edited_sha256": F.sha2(F.col("text").cast("binary"), 256), "edited_key": text_key(F.col("text"))})
+    edited = edited.withColumns({"edited_sha256": F.sha2(F.col("text").cast("binary"), 256), "edited_key": F.unhex(text_key(F.col("text")))})
     changed = fingerprints(edited, ["place", "edited_sha256", "edited_key"], words)
     # from the rows as they are: what is moved is a text's terms of the lexicon, not the text
     own = store(fingerprints(docs.select("key", "text"), ["key"], words))
