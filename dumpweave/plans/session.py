@@ -11,6 +11,9 @@ from contextlib import contextmanager, suppress
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables that all executors share.
 
@@ -83,11 +86,17 @@ def store(df: DataFrame, **options: str) -> DataFrame:
     For large results that several later steps read. As with a checkpoint they
     outlive the executors that computed them; the table is also columnar, so
     each step takes only the columns and rows it needs, and joins are planned
-    with its real size. ``options`` are those of the Parquet writer.
+    with its real size. ``options`` are those of the Parquet writer. What was
+    shuffled to make the table goes as soon as it is written.
     """
     spark = df.sparkSession
     path = work_dir(spark, "stage")
-    df.write.parquet(path, **options)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, **options)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stage_path = path
     return stored
