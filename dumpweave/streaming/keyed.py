@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -27,33 +27,30 @@ class FirstOfTitle(StatefulProcessor):
     """Marks the first page of a title; the state of a title tells that it has one.
 
     Within a batch the earliest chunk comes first, and within a chunk the last
-    position. A title's rows come in parts of bounded size, and one row at most
-    waits for the next part.
+    position. Rows come one by one, and one at most waits for the next. They are
+    plain rows: a frame for each title, most of which have one row, would cost
+    far more than the state.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "seen boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        fresh, best = not self.seen.exists(), None
-        for part in rows:
-            part = part.copy()
-            part["status"] = "duplicate"
-            if fresh:
-                # the first so far waits for the next part, all others are settled
-                place = part.assign(back=-part["pos"]).sort_values(["file_start", "chunk", "back"])
-                top = part.loc[place.index[:1]]
-                rest = part.drop(index=top.index)
-                if best is None or _place(top) < _place(best):
-                    top, best = best, top
-                yield rest
-                if top is not None:
-                    yield top
-            else:
-                yield part
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.seen.exists():
+            for row in rows:
+                yield Row(**row.asDict(), status="duplicate")
+            return
+        best = None
+        for row in rows:
+            if best is None:
+                best = row
+                continue
+            if _place(row) < _place(best):
+                row, best = best, row
+            yield Row(**row.asDict(), status="duplicate")
         if best is not None:
             self.seen.update((True,))
-            yield best.assign(status="added")
+            yield Row(**best.asDict(), status="added")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.seen.update((True,))
@@ -62,9 +59,10 @@ class FirstOfTitle(StatefulProcessor):
         pass
 
 
-def _place(row) -> tuple:
-    first = row.iloc[0]
-    return first["file_start"], first["chunk"], -first["pos"]
+def _place(row: Row) -> tuple:
+    back = None if row["pos"] is None else -row["pos"]
+    # rows without a place come last
+    return tuple((x is None, x or 0) for x in (row["file_start"], row["chunk"], back))
 
 
 def keyed_load(
@@ -121,7 +119,7 @@ def keyed_load(
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
     try:
-        marked = narrow.groupBy(key).transformWithStateInPandas(FirstOfTitle(), told, "Append", "None", initialState=begin)
+        marked = narrow.groupBy(key).transformWithState(FirstOfTitle(), told, "Append", "None", initialState=begin)
         query = (
             marked.writeStream.foreachBatch(load)
             .option("checkpointLocation", checkpoint)
