@@ -11,6 +11,10 @@ from dumpweave.plans.skew import top_per_key
 
 #: Sums of weights are exact to this.
 ROUNDING = 1e-9
+#: Documents whose distinct terms ask for their frequencies together.
+BLOCK_DOCS = 500
+#: Blocks of a task, on average.
+PART_BLOCKS = 3
 #: Pairs that a task works out.
 TASK_PAIRS = 2_000
 
@@ -25,21 +29,30 @@ def tfidf(docs: DataFrame) -> DataFrame:
 
     weight = tf * (ln((1 + n) / (1 + df)) + 1), divided by the document's
     Euclidean norm. n counts all documents, those without any term as well.
-    Terms are counted in the map tasks before the first shuffle, and both the
-    document frequencies and the join read that same shuffle.
+    Documents are dealt out in blocks, and their terms lie where their block
+    does. Only a block's distinct terms meet those of others, one row each, and
+    come back with the whole frequency; a document's terms are never shuffled
+    one by one.
     """
     n_docs = docs.agg(F.count("*")).scalar()
-    counts = (
-        docs.select("doc", F.explode(tokenize_terms(F.col("text"))).alias("term"))
-        .groupBy("doc", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    # reads tf, so that both uses of counts stay the same plan and share a shuffle
-    frequency = counts.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
-    idf = frequency.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    # never null, so that no filter tells the two uses apart
+    blocks = docs.count() // BLOCK_DOCS + 1
+    block = F.coalesce(F.pmod(F.xxhash64("doc"), F.lit(blocks)), F.lit(0))
+    parts = blocks // PART_BLOCKS + 1
+    dealt = docs.select(block.alias("_block"), "doc", tokenize_terms(F.col("text")).alias("_terms"))
+    dealt = dealt.repartition(parts, "_block")
+    # both uses read doc as well, so that they share the shuffle
+    terms = dealt.groupBy("_block", "doc").agg(F.flatten(F.collect_list("_terms")).alias("_terms"))
+    held = terms.select("_block", F.explode(F.array_distinct("_terms")).alias("term"))
+    held = held.groupBy("_block", "term").agg(F.count("*").alias("_n"))
+    frequency = F.sum("_n").over(Window.partitionBy("term"))
+    idf = held.select("_block", "term", (F.log((1 + n_docs) / (1 + frequency)) + 1).alias("idf"))
+    counts = terms.select("_block", "doc", F.explode("_terms").alias("term"))
+    counts = counts.groupBy("_block", "doc", "term").agg(F.count("*").alias("tf"))
+    weighed = counts.join(idf.repartition(parts, "_block").hint("shuffle_hash"), ["_block", "term"])
     raw = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("doc")))
-    return counts.join(idf, "term").select("doc", "term", "tf", (raw / norm).alias("weight"))
+    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("_block", "doc")))
+    return weighed.select("doc", "term", "tf", (raw / norm).alias("weight"))
 
 
 def document_vectors(vectors: DataFrame) -> DataFrame:

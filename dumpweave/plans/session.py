@@ -122,12 +122,14 @@ def configure(spark: SparkSession) -> SparkSession:
     be split on the other side without changing the result. Which side is
     broadcast is left to sizes measured at run time; nothing is forced. Sizes
     of files are estimated as unpacked, so that a small compressed table is
-    not taken for a small one in memory.
+    not taken for a small one in memory. Tables that are dealt out alike by
+    some of a join's keys are not dealt out again by all of them.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.sources.fileCompressionFactor", "4.0")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 
