@@ -7,11 +7,14 @@ in at least one of them, so they are merged. The lists of its other, frequent
 tokens are the long ones: they are never built or merged; a candidate is probed
 for each of those tokens by binary search in its own sorted set.
 
-Equal sets are folded into one node first. Lists are merged twice. First each
-node of a list meets the first and the previous one only, in two orders, and
-verified links are folded into components. Then all pairs of a list meet whose
+Equal sets are folded into one node first. Lists are merged several times. First
+each node of a list meets the first and the previous one only, and verified links
+are folded into components; that is repeated in other orders, for the lists that
+still cross components, while links are found. Then all pairs of a list meet whose
 nodes still lie in different components, after exact bounds from length,
-position and a parity bitmap. A group of many near copies thus costs
+position and a parity bitmap. A pair counts in the first list that both sets are
+in: later ones drop it by the bound of position, and where one of the lists just
+before was common to both. A group of many near copies thus costs
 about its size, and no link between components is lost. A list that is too long
 for one task is split into blocks that meet two by two.
 """
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
@@ -37,6 +40,10 @@ COUNTER_BLOCK = 1 << 13
 BITMAP_WORDS = 16
 # nodes of a list that one task compares with each other
 BLOCK_NODES = 20_000
+# times that each node of a list meets two others, at most
+STAR_ROUNDS = 3
+# lists before one of a node that tell whether a pair has met there
+BEFORE = 8
 
 
 @dataclass(frozen=True)
@@ -223,14 +230,18 @@ def _short_lists(docs: DataFrame, counts: np.ndarray, how: Similar) -> DataFrame
 
 
 def _star_pairs(lists: DataFrame, how: Similar, salt: int) -> DataFrame:
-    """Of each list the pairs (first, each) and (previous, each) from different components."""
+    """Of each list the pairs (first, each) and (previous, each) from different components.
+
+    Without ``salt`` smaller sets come first, with it the order is another one in each list.
+    Pairs that this list cannot be the first to show are left out.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        names = ("token", "n", "node", "label")
+        names = ("token", "n", "node", "label", "rank")
         head = tail = None
         seen = np.zeros(0, dtype=[("a", "i8"), ("b", "i8")])
         for batch in batches:
-            token, n, node, label = (batch.column(c).to_numpy() for c in names)
+            token, n, node, label, rank = (batch.column(c).to_numpy() for c in names)
             start = np.append(True, token[1:] != token[:-1])
             if tail is not None and token[0] == tail[0]:
                 start[0] = False
@@ -242,27 +253,37 @@ def _star_pairs(lists: DataFrame, how: Similar, salt: int) -> DataFrame:
 
             found = []
             for index, carried in ((leader, head), (np.arange(len(token)) - 1, tail)):
-                m, other, its = (
+                m, other, its, place = (
                     at(v, index, None if carried is None else carried[i])
-                    for v, i in ((n, 1), (node, 2), (label, 3))
+                    for v, i in ((n, 1), (node, 2), (label, 3), (rank, 4))
                 )
                 ok = ~start & (its != label) & how.lengths_agree(n, m)
+                ok &= np.minimum(n - rank, m - place) >= how.overlap(n.astype(np.int64), m)
                 found.append(
                     np.rec.fromarrays(
                         [np.minimum(node, other)[ok], np.maximum(node, other)[ok]], dtype=seen.dtype
                     )
                 )
             if leader[-1] >= 0:
-                head = tuple(v[leader[-1]] for v in (token, n, node, label))
-            tail = (token[-1], n[-1], node[-1], label[-1])
+                head = tuple(v[leader[-1]] for v in (token, n, node, label, rank))
+            tail = (token[-1], n[-1], node[-1], label[-1], rank[-1])
             fresh = np.unique(np.concatenate(found))
             fresh = fresh[~np.isin(fresh, seen)] if len(seen) else fresh
             seen = fresh
             yield {"a": fresh["a"], "b": fresh["b"]}
 
-    order = F.xxhash64(F.lit(salt), "node") if salt else F.col("n")
+    order = F.xxhash64(F.lit(salt), "token", "node") if salt else F.col("n")
     dealt = lists.repartition("token").sortWithinPartitions("token", order, "node")
-    return map_partition(dealt.select("token", "n", "node", "label"), pairs, "a long, b long").distinct()
+    entries = dealt.select("token", "n", "node", "label", "rank")
+    return map_partition(entries, pairs, "a long, b long").distinct()
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """(token, size) of the lists with nodes from different components."""
+    ends = lists.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    return ends.where("lo <> hi").select("token", "size")
 
 
 def _all_pairs(lists: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
@@ -270,14 +291,14 @@ def _all_pairs(lists: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
 
     Lists within one component are left out before they are dealt.
     """
-    mixed = (
-        lists.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .where("lo <> hi")
-        .select("token", F.ceil(F.col("size") / BLOCK_NODES).cast("int").alias("blocks"))
-    )
+    blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    mixed = _mixed(lists).select("token", blocks.alias("blocks"))
+    # the lists of a node are as many as its set has rare tokens
+    in_turn = Window.partitionBy("node").orderBy("rank")
+    before = [F.coalesce(F.lag("token", i).over(in_turn), F.lit(0)) for i in range(1, BEFORE + 1)]
     dealt = (
         lists.join(mixed, "token")
+        .withColumn("before", F.array(*before))
         .join(members.select("node", "bits"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -285,7 +306,7 @@ def _all_pairs(lists: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
         .withColumn("hi", F.greatest("block", "other"))
         .repartition("token", "lo", "hi")
         .sortWithinPartitions("token", "lo", "hi", "n", "node")
-        .select("token", "lo", "hi", "block", "n", "node", "rank", "label", "bits")
+        .select("token", "lo", "hi", "block", "n", "node", "rank", "label", "bits", "before")
     )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -296,6 +317,8 @@ def _all_pairs(lists: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
 
 
 LIST_KEYS = ("token", "lo", "hi")
+# columns of arrays, and their length
+WIDTHS = {"bits": BITMAP_WORDS, "before": BEFORE}
 
 
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -304,8 +327,8 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         now = {
             c: batch.column(c).to_numpy()
-            if c != "bits"
-            else batch.column(c).flatten().to_numpy().reshape(-1, BITMAP_WORDS)
+            if c not in WIDTHS
+            else batch.column(c).flatten().to_numpy().reshape(-1, WIDTHS[c])
             for c in batch.schema.names
         }
         if rest is not None:
@@ -327,10 +350,13 @@ def _list_starts(lists: dict) -> np.ndarray:
 
 
 def _bounded_pairs(lists: dict, how: Similar) -> Iterator[dict]:
-    """Pairs within each list, for all lists at once: entries and those d places on, for each d."""
+    """Pairs within each list, for all lists at once: entries and those d places on, for each d.
+
+    Only the first token that two sets share has to give the pair.
+    """
     n, rank, node, label = (lists[c].astype(np.int64) for c in ("n", "rank", "node", "label"))
     bits = np.ascontiguousarray(lists["bits"]).view(np.uint64)
-    block, across = lists["block"], lists["lo"] != lists["hi"]
+    block, across, before = lists["block"], lists["lo"] != lists["hi"], lists["before"]
     number = np.cumsum(_list_starts(lists))
     i, d = np.arange(len(n)), 0
     while len(i):
@@ -342,14 +368,17 @@ def _bounded_pairs(lists: dict, how: Similar) -> Iterator[dict]:
         keep = (label[i] != label[j]) & (~across[i] | (block[i] != block[j]))
         a, b = i[keep], j[keep]
         need = how.overlap(n[a], n[b])
-        # shared tokens before this one, this one, and those that can follow
-        most = np.minimum(rank[a], rank[b]) + np.minimum(n[a] - rank[a], n[b] - rank[b])
+        # if this is the first shared token: it, and those that can follow
+        most = np.minimum(n[a] - rank[a], n[b] - rank[b])
         a, b, need = (x[most >= need] for x in (a, b, need))
         for at in range(0, len(a), 100_000):
             x, y, least = (v[at : at + 100_000] for v in (a, b, need))
             differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             near = differ <= n[x] + n[y] - 2 * least
             x, y = x[near], y[near]
+            earlier = before[x][:, :, None] == before[y][:, None, :]
+            fresh = ~(earlier & (before[x] != 0)[:, :, None]).any(axis=(1, 2))
+            x, y = x[fresh], y[fresh]
             if len(x):
                 yield {"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}
 
@@ -417,8 +446,8 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, how: Simila
     return found
 
 
-def _by_bitmap(pairs: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
-    """Pairs that the parity bitmaps leave possible; of each node at most two smaller partners."""
+def _by_bitmap(pairs: DataFrame, members: DataFrame, how: Similar, salt: int = 0) -> DataFrame:
+    """Pairs that the parity bitmaps leave possible; of each node two partners at most, by ``salt``."""
     a = members.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     b = members.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     total = F.col("n_a") + F.col("n_b")
@@ -429,8 +458,31 @@ def _by_bitmap(pairs: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
         lambda total, x: total + x,
     )
     possible = pairs.join(a, "a").join(b, "b").where(differ <= total - 2 * need + 1)
-    ends = possible.groupBy("b").agg(F.min("a").alias("least"), F.max("a").alias("most"))
-    return ends.select(F.explode(F.array("least", "most")).alias("a"), "b").distinct()
+    place = F.xxhash64(F.lit(salt), "a")
+    both = possible.select("a", "b").union(possible.select("b", "a"))
+    ends = both.groupBy("b").agg(F.min_by("a", place).alias("least"), F.max_by("a", place).alias("most"))
+    chosen = ends.select(F.explode(F.array("least", "most")).alias("a"), "b")
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _star_links(
+    lists: DataFrame, links: DataFrame, members: DataFrame, docs: DataFrame, how: Similar
+) -> tuple[DataFrame, DataFrame]:
+    """Components (node, label) of the given links and those found in rounds of ``_star_pairs``; the labelled lists."""
+    known = lists.withColumn("label", F.col("node"))
+    for turn in range(STAR_ROUNDS):
+        salts = (turn + 1,) if turn else (0, 1)
+        stars = _star_pairs(known, how, salts[0])
+        for salt in salts[1:]:
+            stars = stars.union(_star_pairs(known, how, salt))
+        found = _verified(store(_by_bitmap(stars.distinct(), members, how, turn)), members, docs, how)
+        if turn and found.isEmpty():
+            break
+        labels = store(components(links.union(found)))
+        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        whole = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = whole.join(_mixed(whole).select("token"), "token")
+    return labels, whole
 
 
 def jaccard_components(
@@ -469,11 +521,7 @@ def jaccard_components(
         .select(F.col("least").alias("a"), "b")
         .where("a <> b")
     )
-    known = lists.withColumn("label", F.col("node"))
-    stars = _star_pairs(known, how, 0).union(_star_pairs(known, how, 1)).distinct()
-    found = _verified(store(_by_bitmap(stars, members, how)), members, docs, how)
-    labels = store(components(links.union(found)))
-    known = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels, known = _star_links(lists, links, members, docs, how)
     rest = _verified(store(_all_pairs(known, members, how)), members, docs, how)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
     for done in (lists, members):
