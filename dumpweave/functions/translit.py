@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import ASCII_FORMS, SCRIPT_FORMS
+from dumpweave.plans.barrier import bound
 
 # Latin letters with marks, typographic marks, ligatures, full-width forms
 _BLOCKS = [(0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
@@ -68,11 +69,39 @@ def transliterate(text: Column, mode: str = "letters", keep: bool = True) -> Col
     if mode not in ("letters", "nfkd"):
         raise ValueError(f"unknown mode {mode!r}")
     source, target, longer = ascii_tables(mode)
-    out = F.translate(text, source, target)
-    for char, form in longer:
-        out = F.replace(out, F.lit(char), F.lit(form))
-    out = F.regexp_replace(out, _DROPPED if mode == "letters" and keep else r"[^\x00-\x7F]+", "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
+    dropped = _DROPPED if mode == "letters" and keep else r"[^\x00-\x7F]+"
+
+    def spelled(whole: Column) -> Column:
+        out = _spell_longer(F.translate(whole, source, target), longer)
+        return bound(out, lambda t: F.when(t.rlike(_OTHER), F.regexp_replace(t, dropped, "")).otherwise(t))
+
+    return bound(text, lambda t: F.when(t.rlike(_OTHER), spelled(t)).otherwise(t))
+
+
+_OTHER = r"[^\x00-\x7F]"
+
+
+def _ranges(chars: str, gap: int = 0x200) -> str:
+    """A few ranges that hold ``chars``, as they stand in a class; a class of single characters is slow."""
+    codes = sorted(map(ord, chars))
+    starts = [codes[0], *(b for a, b in zip(codes, codes[1:], strict=False) if b - a > gap)]
+    ends = [*(a for a, b in zip(codes, codes[1:], strict=False) if b - a > gap), codes[-1]]
+    return "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in zip(starts, ends, strict=True))
+
+
+def _spell_longer(text: Column, longer: tuple[tuple[str, str], ...]) -> Column:
+    """Characters with forms of other lengths, as these: the text is cut once, however many there are."""
+    near = _ranges("".join(char for char, _ in longer))
+    forms = F.create_map(*[F.lit(x) for pair in longer for x in pair])
+
+    def form(piece: Column) -> Column:
+        return F.when(F.char_length(piece) == 1, F.coalesce(F.element_at(forms, piece), piece)).otherwise(piece)
+
+    def all_spelled(whole: Column) -> Column:
+        pieces = F.regexp_extract_all(whole, F.lit(f"[{near}]|[^{near}]++"), F.lit(0))
+        return F.array_join(F.transform(pieces, form), "")
+
+    return bound(text, lambda t: F.when(t.rlike(f"[{near}]"), all_spelled(t)).otherwise(t))
 
 
 def transliteration_status(text: Column) -> Column:

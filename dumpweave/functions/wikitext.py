@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from dumpweave.fixed_values import HEADING, INVISIBLE_TAGS, LEAD, VERBATIM_TAGS
 from dumpweave.functions.translit import transliterate
-from dumpweave.plans.barrier import once
+from dumpweave.plans.barrier import bound, once
 
 _SPACE = " \t\n\r\x0b\x0c "
 # applied in turn; the amp entity comes last so that it makes no new entities
@@ -30,6 +30,12 @@ def strip_space(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACE))
 
 
+def _change(text: Column, mark: str | Callable[[Column], Column], how: Callable[[Column], Column]) -> Column:
+    """``how`` of texts that hold ``mark``, others as they are; ``text`` is worked out once."""
+    holds = mark if callable(mark) else lambda t: t.contains(mark)
+    return bound(text, lambda t: F.when(holds(t), how(t)).otherwise(t))
+
+
 # marks that are text within verbatim tags, and characters of no text that stand for them meanwhile
 _MARKS = "[]{}|=<>'!"
 _HIDDEN = "".join(chr(0xFDD0 + i) for i in range(len(_MARKS)))
@@ -39,7 +45,6 @@ _VERBATIM = rf"<({'|'.join(VERBATIM_TAGS)})\b[^<>/]*>"
 
 def _hide_verbatim(text: Column) -> Column:
     """Comments removed, verbatim tags too, and the marks between these hidden."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?si)<!--.*?-->|{_VERBATIM}.*?</\1\s*>|[^<]++|<"), F.lit(0))
 
     def shown(piece: Column) -> Column:
         inner = F.regexp_replace(piece, r"(?s)\A<[^<>]*>|</[^<>]*>\z", "")
@@ -49,11 +54,15 @@ def _hide_verbatim(text: Column) -> Column:
             .otherwise(piece)
         )
 
-    return F.when(text.rlike(rf"(?i)<!--|{_VERBATIM}"), F.array_join(F.transform(pieces, shown), "")).otherwise(text)
+    def hidden(whole: Column) -> Column:
+        cut = rf"(?si)<!--.*?-->|{_VERBATIM}.*?</\1\s*>|[^<]++|<"
+        return F.array_join(F.transform(F.regexp_extract_all(whole, F.lit(cut), F.lit(0)), shown), "")
+
+    return _change(text, lambda t: t.contains("<") & t.rlike(rf"(?i)<!--|{_VERBATIM}"), hidden)
 
 
 def _show_verbatim(text: Column) -> Column:
-    return F.translate(text, _HIDDEN, _MARKS)
+    return _change(text, lambda t: t.rlike(f"[{_HIDDEN}]"), lambda t: F.translate(t, _HIDDEN, _MARKS))
 
 
 def _pieces(text: Column, mark: str, close: str) -> Column:
@@ -63,12 +72,13 @@ def _pieces(text: Column, mark: str, close: str) -> Column:
     """
     closing = rf"{close}{close}(?!{close}(?!{close}))"
     marks = rf"{mark}{mark}|{closing}"
-    return F.regexp_extract_all(text, F.lit(rf"(?s){marks}|(?:(?!{marks}).)++"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"{marks}|[^{mark}{close}]++|[{mark}{close}]"), F.lit(0))
 
 
 def _fold_marks(
-    text: Column, opening: str, closing: str, inner: Callable[[Column], Column], pieces: Column | None = None
-) -> Column:
+    text: Column, opening: str, closing: str, inner: Callable[[Column], Column],
+    pieces: Callable[[Column], Column] | None = None,
+) -> Column:
     """Replace all marked stretches, inner ones first, by ``inner`` of what they hold.
 
     The fold keeps a stack of the stretches that are open.
@@ -86,9 +96,12 @@ def _fold_marks(
         )
 
     if pieces is None:
-        pieces = _pieces(text, re.escape(opening[0]), re.escape(closing[0]))
-    open_ = F.aggregate(pieces, F.array(F.lit("")), step)
-    return F.when(text.contains(opening), F.array_join(open_, opening)).otherwise(text)
+        pieces = lambda t: _pieces(t, re.escape(opening[0]), re.escape(closing[0]))
+
+    def folded(whole: Column) -> Column:
+        return F.array_join(F.aggregate(pieces(whole), F.array(F.lit("")), step), opening)
+
+    return _change(text, opening, folded)
 
 
 def _table_text(held: Column) -> Column:
@@ -96,23 +109,28 @@ def _table_text(held: Column) -> Column:
 
     def line(text: Column) -> Column:
         body = F.regexp_replace(text, r"^[ \t]*(?:\|\+|[|!])", "")
-        between = F.when(text.rlike(r"^[ \t]*!"), r"!!|\|\|").otherwise(r"\|\|")
-        cells = F.transform(F.split(body, between), lambda c: F.regexp_replace(c, r"^[^|\[\]{}]*\|", ""))
+        parts = F.when(text.rlike(r"^[ \t]*!"), F.split(body, r"!!|\|\|")).otherwise(F.split(body, r"\|\|"))
+        cells = F.transform(parts, lambda c: F.regexp_replace(c, r"^[^|\[\]{}]*\|", ""))
         row = text.rlike(r"^[ \t]*\|-")
         return F.when(row, "").when(text.rlike(r"^[ \t]*[|!]"), F.array_join(cells, " ")).otherwise(text)
 
-    lines = F.split(held, "\n")
-    return F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), line), "\n")
+    rows = bound(F.split(held, "\n"), lambda lines: F.slice(lines, F.lit(2), F.size(lines)))
+    return F.array_join(F.transform(rows, line), "\n")
 
 
 def _fold_tables(text: Column) -> Column:
     """Tables, marked at the starts of lines, as what they show."""
-    marked = F.regexp_replace(text, r"(?m)^([ \t:]*)\{\|", f"$1{_TABLE}")
-    marked = F.regexp_replace(marked, r"(?m)^([ \t]*)\|\}", f"$1{_TABLE_END}")
-    pieces = F.regexp_extract_all(marked, F.lit(f"[{_TABLE}{_TABLE_END}]|[^{_TABLE}{_TABLE_END}]++"), F.lit(0))
-    out = _fold_marks(marked, _TABLE, _TABLE_END, _table_text, pieces)
-    out = F.replace(F.replace(out, F.lit(_TABLE), F.lit("{|")), F.lit(_TABLE_END), F.lit("|}"))
-    return F.when(text.rlike(r"(?m)^[ \t:]*\{\|"), out).otherwise(text)
+
+    def pieces(marked: Column) -> Column:
+        return F.regexp_extract_all(marked, F.lit(f"[{_TABLE}{_TABLE_END}]|[^{_TABLE}{_TABLE_END}]++"), F.lit(0))
+
+    def shown(whole: Column) -> Column:
+        marked = F.regexp_replace(whole, r"(?m)^([ \t:]*)\{\|", f"$1{_TABLE}")
+        marked = F.regexp_replace(marked, r"(?m)^([ \t]*)\|\}", f"$1{_TABLE_END}")
+        out = _fold_marks(marked, _TABLE, _TABLE_END, _table_text, pieces)
+        return F.replace(F.replace(out, F.lit(_TABLE), F.lit("{|")), F.lit(_TABLE_END), F.lit("|}"))
+
+    return _change(text, lambda t: t.contains("{|") & t.rlike(r"(?m)^[ \t:]*\{\|"), shown)
 
 
 def strip_markup(text: Column, headings: bool = True) -> Column:
@@ -124,17 +142,23 @@ def _visible(text: Column, headings: bool) -> Column:
     """As ``strip_markup``, with the marks in verbatim text still hidden."""
     out = _hide_verbatim(F.coalesce(text, F.lit("")))
     invisible = rf"(?si)<({'|'.join(INVISIBLE_TAGS)})\b[^<>/]*>.*?</\1\s*>"
-    out = F.when(out.contains("</"), F.regexp_replace(out, invisible, "")).otherwise(out)
+    out = _change(out, "</", lambda t: F.regexp_replace(t, invisible, ""))
     out = _fold_marks(out, "{{", "}}", lambda _: F.lit(""))
     out = _fold_tables(out)
     # a caption may hold links of its own
     out = _fold_marks(out, "[[", "]]", lambda held: F.regexp_replace(held, r"(?s)^[^|]*\|", ""))
-    out = F.regexp_replace(out, r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\]]*))?\]", "$1")
-    out = F.regexp_replace(out, r"</?[A-Za-z][^<>]*>", "")
-    out = F.regexp_replace(out, r"'{2,}", "")
+    external = r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\]]*))?\]"
+    out = _change(out, "://", lambda t: F.regexp_replace(t, external, "$1"))
+    out = _change(out, "<", lambda t: F.regexp_replace(t, r"</?[A-Za-z][^<>]*>", ""))
+    out = _change(out, "''", lambda t: F.regexp_replace(t, r"'{2,}", ""))
+    out = _change(out, "&", _show_entities)
+    return _change(out, "=", lambda t: F.regexp_replace(t, HEADING, "$2")) if headings else out
+
+
+def _show_entities(text: Column) -> Column:
     for entity, char in _ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.regexp_replace(out, HEADING, "$2") if headings else out
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def extract_sections(

@@ -1,7 +1,9 @@
-"""Columns that are computed once per row."""
+"""Columns and parts of them that are computed once per row."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,12 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
     return df.select("*", F.inline(F.array(row)))
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is worked out once however often ``then`` mentions it.
+
+    Inside conditions and functions of arrays Spark repeats an expression for
+    every mention; mentions in one another multiply.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
