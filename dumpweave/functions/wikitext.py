@@ -62,7 +62,7 @@ def _hide_verbatim(text: Column) -> Column:
 
 
 def _show_verbatim(text: Column) -> Column:
-    return _change(text, lambda t: t.rlike(f"[{_HIDDEN}]"), lambda t: F.translate(t, _HIDDEN, _MARKS))
+    return _change(text, lambda t: t.rlike(f"[{_HIDDEN[0]}-{_HIDDEN[-1]}]"), lambda t: F.translate(t, _HIDDEN, _MARKS))
 
 
 def _pieces(text: Column, mark: str, close: str) -> Column:
