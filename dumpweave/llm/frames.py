@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from dumpweave.plans.session import discard, store
+from dumpweave.plans.session import discard, small_batches, store
 
 
 def map_batches(
@@ -40,6 +40,7 @@ def map_partition(
         finally:
             give_back_memory()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, ddl)
 
 
@@ -60,6 +61,12 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def small_table(spark: SparkSession, columns: dict, ddl: str) -> DataFrame:
+    """A table of a few rows of the driver's; no Python worker is started to make it, as one is for a list of rows."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    return spark.createDataFrame(pa.Table.from_batches([to_batch(columns, schema)]), ddl)
+
+
 def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The columns ``needed`` of ``docs``, all others in a struct ``_aside``; and what restores ``docs``' columns.
 

@@ -403,9 +403,9 @@ def _texts(nodes: DataFrame, members: DataFrame, docs: DataFrame, how: Similar)
 
     rows = docs.where("doc_id is not null").withColumn("mark", place)
     chosen = map_batches(rows, choose, "doc_id long, text string")
-    own = map_batches(
-        chosen.join(wanted, "doc_id").select("node", "text"), lambda b: _of_node(b, how), "node long, text string"
-    )
+    # the join is no broadcast: with both Python steps in one task an executor would keep twice the workers
+    met = chosen.join(wanted.hint("merge"), "doc_id").select("node", "text")
+    own = map_batches(met, lambda b: _of_node(b, how), "node long, text string")
     return store(own.dropDuplicates(["node"]))
 
 

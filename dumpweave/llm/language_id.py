@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
-from dumpweave.llm.frames import aside, crc_of_id, map_batches, map_partition, once_per_worker
+from dumpweave.llm.frames import aside, crc_of_id, map_batches, map_partition, once_per_worker, small_table
 from dumpweave.plans.session import store
 
 # labelled rows per language that the fit takes, in expectation
@@ -255,8 +255,9 @@ def fit(labelled: DataFrame, path: str, fit_rows: int = FIT_ROWS) -> Model:
     size = len(read_pieces(path))
     if not languages:
         return Model(path, [], np.zeros((size + 1, 0)), np.zeros(0))
-    rates = spark.createDataFrame(
-        [(x, i, float(min(1.0, fit_rows / k))) for i, (x, k) in enumerate(zip(languages, n, strict=True))],
+    rates = small_table(
+        spark,
+        {"lang": languages, "number": range(len(n)), "rate": np.minimum(1.0, fit_rows / n)},
         "lang string, number int, rate double",
     )
     drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dumpweave.llm.frames import small_table
 from dumpweave.plans.session import store
 
 BLOCK_TOKENS = 1 << 20
@@ -94,11 +95,15 @@ def source_plan(docs: DataFrame, target: Target, budget: int | None = None, bloc
         near = np.rint(epochs)
         epochs = np.where(np.abs(epochs - near) < 1e-9, near, epochs)
     blocks = np.maximum(np.ceil(tokens / block_tokens), 1)
-    return spark.createDataFrame(
-        [
-            (r["source"], int(t), float(w), float(e), int(b))
-            for r, t, w, e, b in zip(rows, tokens, weights, epochs, blocks, strict=True)
-        ],
+    return small_table(
+        spark,
+        {
+            "source": [r["source"] for r in rows],
+            "tokens": [int(t) for t in tokens],
+            "weight": weights,
+            "epochs": epochs,
+            "blocks": [int(b) for b in blocks],
+        },
         "source string, tokens long, weight double, epochs double, blocks long",
     )
 

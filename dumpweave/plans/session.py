@@ -133,6 +133,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# bytes of rows that are handed to a Python worker at a time
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers by their bytes, not ten thousand at a time whatever their size.
+
+    A batch of whole texts is held several times over, by the executor and by
+    the worker. A smaller limit that the session has already stays.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit))
+    if now > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than there are cores, dealt out to all cores.
 
