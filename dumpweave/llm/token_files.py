@@ -25,13 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
-from dumpweave.llm.frames import map_partition, open_input, open_output, text_key
+from dumpweave.llm.frames import map_partition, open_input, open_output, small_table, text_key
 from dumpweave.llm.pretokens import encoder
-from dumpweave.plans.session import store, work_dir
+from dumpweave.plans.session import discard, store, work_dir
 
 MAGIC, VERSION = b"TIDS", 1
 LONGEST = 18
@@ -172,28 +172,50 @@ def unpack_block(code: Code, raw: bytes) -> tuple[list, np.ndarray, np.ndarray,
 # --- tables to files and back -----------------------------------------------------------
 
 
-def encoded_batches(
-    batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int
-) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of batches with (doc_id, text), the ids of their texts, each with the end id, and the texts' bounds in them."""
-    bpe = encoder(tokenizer)
-    for batch in batches:
-        for part, data, offsets in K.chunks(batch):
-            ids, bounds = bpe.encode(data, offsets)
-            yield part, np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+def encoded_texts(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
+    """(doc_id, key, ids) of every row: the ids of its text and the end id in one binary; ``key`` is a digest of the text.
 
+    Encoding is most of the work, so each text is encoded once and its ids are
+    stored, from which they are counted and then written in order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        bpe = encoder(tokenizer)
+        for batch in batches:
+            for part, data, offsets in K.chunks(batch):
+                ids, bounds = bpe.encode(data, offsets)
+                raw = np.insert(ids, bounds[1:], end_id).astype(kind)
+                ends = (bounds + np.arange(len(bounds))) * raw.itemsize
+                buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]
+                yield {
+                    "doc_id": part.column("doc_id"),
+                    "key": part.column("key"),
+                    "ids": pa.Array.from_buffers(pa.large_binary(), part.num_rows, buffers),
+                }
 
-def id_counts(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> np.ndarray:
+    keyed = docs.withColumn("key", F.unhex(text_key(F.col("text"))))
+    return store(map_partition(keyed, run, "doc_id long, key binary, ids binary"), compression="zstd")
+
+
+def stored_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows in a row, and ``n + 1`` bounds."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind)
+    return data, (ends - ends[0]) // data.itemsize
+
+
+def id_counts(encoded: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     """How often each id occurs; one row for each id and task is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros(vocabulary, dtype=np.int64)
-        for _, ids, _ in encoded_batches(batches, tokenizer, end_id):
-            total += np.bincount(ids, minlength=vocabulary)
+        for batch in batches:
+            total += np.bincount(stored_ids(batch.column("ids"), kind)[0], minlength=vocabulary)
         used = np.flatnonzero(total)
         yield {"id": used, "n": total[used]}
 
-    counted = map_partition(docs, count, "id int, n long")
+    counted = map_partition(encoded.select("ids"), count, "id int, n long")
     total = np.zeros(vocabulary, dtype=np.int64)
     # as many rows as the vocabulary has ids
     for row in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
@@ -201,7 +223,7 @@ def id_counts(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) ->
     return total
 
 
-def write_files(docs: DataFrame, code: Code, folder: str, tokenizer: str, end_id: int) -> DataFrame:
+def write_files(encoded: DataFrame, code: Code, folder: str, kind: str) -> DataFrame:
     """Write the files; returns the catalogue (part, file, block, offset, length, n_ids) of their blocks.
 
     Each attempt of a task writes a file of its own name, and only the file of
@@ -228,8 +250,9 @@ def write_files(docs: DataFrame, code: Code, folder: str, tokenizer: str, end_id
                 pending.clear()
 
             waiting = 0
-            for rows, ids, bounds in encoded_batches(batches, tokenizer, end_id):
-                for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
+            for batch in batches:
+                ids, bounds = stored_ids(batch.column("ids"), kind)
+                for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                     pending.append(ids[bounds[i] : bounds[i + 1]])
                     doc_ids.append(doc_id)
                     waiting += len(pending[-1])
@@ -249,8 +272,7 @@ def write_files(docs: DataFrame, code: Code, folder: str, tokenizer: str, end_id
                 "n_ids": list(n_ids),
             }
 
-    # texts are moved, not ids: they take less room in the shuffle, and nothing else has to be kept
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", text_key(F.col("text")))
+    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "key")
     schema = "part int, file string, block int, offset long, length long, n_ids long"
     return store(map_partition(ordered, run, schema))
 
@@ -264,11 +286,9 @@ def read_files(catalogue: DataFrame, code: Code) -> DataFrame:
     """
     spark = catalogue.sparkSession
     files = catalogue.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
-    begins, total = [], 0
-    for row in files:
-        begins.append(Row(part=row["part"], begin=total))
-        total += row["n"]
-    begin = spark.createDataFrame(begins, "part int, begin long")
+    sizes = np.array([row["n"] for row in files], dtype=np.int64)
+    columns = {"part": [row["part"] for row in files], "begin": np.cumsum(sizes) - sizes}
+    begin = small_table(spark, columns, "part int, begin long")
     lengths = code.lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -309,7 +329,11 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
 
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    code = Code(code_lengths(id_counts(docs, tokenizer, end_id, vocabulary)))
+    # ids of a vocabulary of up to 65,536 take two bytes
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    encoded = encoded_texts(docs, tokenizer, end_id, kind)
+    code = Code(code_lengths(id_counts(encoded, kind, vocabulary)))
     folder = folder or work_dir(docs.sparkSession, "tokens")
-    catalogue = write_files(docs, code, folder, tokenizer, end_id)
+    catalogue = write_files(encoded, code, folder, kind)
+    discard(encoded)
     return read_files(catalogue, code)
