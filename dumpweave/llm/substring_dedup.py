@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from dumpweave.llm import kernels as K
 from dumpweave.llm.frames import map_batches, map_partition
-from dumpweave.plans.session import store
+from dumpweave.plans.session import discard, store
 
 LENGTH = 200
 GRAM = 64
@@ -38,13 +38,12 @@ SHARD_BYTES = 4 << 20
 
 def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each window of ``width`` values."""
-    n = len(values) - width + 1
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(values.dtype).max, dtype=values.dtype)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    # of windows twice as wide each time; two that overlap make the last
+    size = 1
+    while size * 2 <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[: len(values) - width + size], values[width - size :])
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -283,7 +282,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         yield rows
 
     long = docs.where(F.col("n_bytes") >= length)
-    found = map_batches(long.select("text_hash", "n_bytes", "text"), runs, schema)
+    # read twice: once for the keys, once for the runs whose key is shared
+    found = store(map_batches(long.select("text_hash", "n_bytes", "text"), runs, schema), compression="zstd")
     # places of a key, told apart by their hash; copies of a text count once
     place = F.xxhash64("text_hash", "n_bytes", "lo")
     shared = (
@@ -312,6 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spans = store(
         map_partition(dealt, search, "text_hash long, n_bytes int, lo int, hi int, name_a long, name_b long")
     )
+    discard(found)
     # across the shards of a split key: strings that two of them know
     names = spans.where("name_a is not null")
     both = (
