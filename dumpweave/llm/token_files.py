@@ -2,7 +2,8 @@
 
 Ids are counted over the whole corpus; one canonical code, no longer than
 ``LONGEST`` bits, is built from the counts. Documents are sorted by doc_id and
-written in files, one for each sorted partition. A file is a row of blocks:
+written in files, one for each run of sorted rows that a task reads. A file is
+a row of blocks:
 
     magic "TIDS", version, bytes of the packed table
     packed table (zlib): per document doc_id, whether it is null, and its number
@@ -24,7 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,10 +173,14 @@ def unpack_block(code: Code, raw: bytes) -> tuple[list, np.ndarray, np.ndarray,
 
 
 def encoded_texts(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
-    """(doc_id, key, ids) of every row: the ids of its text and the end id in one binary; ``key`` is a digest of the text.
+    """(doc_id, ids, place) of every row: the ids of its text and the end id in one binary; rows are stored in their order.
 
     Encoding is most of the work, so each text is encoded once and its ids are
-    stored, from which they are counted and then written in order.
+    stored, from which they are counted and then written. Texts are sorted
+    before they are encoded: what that shuffles is gone once the ids are stored,
+    and equal texts of a doc_id lie side by side, where they compress. ``place``
+    grows in the order of doc_id and of a digest of the text, by 1 from row to
+    row of a sorted partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -189,12 +193,14 @@ def encoded_texts(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> Da
                 buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]
                 yield {
                     "doc_id": part.column("doc_id"),
-                    "key": part.column("key"),
                     "ids": pa.Array.from_buffers(pa.large_binary(), part.num_rows, buffers),
                 }
 
     keyed = docs.withColumn("key", F.unhex(text_key(F.col("text"))))
-    return store(map_partition(keyed, run, "doc_id long, key binary, ids binary"), compression="zstd")
+    # by the digest too, so that rows that share a doc_id, as null, need not go to one task
+    ordered = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").drop("key")
+    encoded = map_partition(ordered, run, "doc_id long, ids binary")
+    return store(encoded.withColumn("place", F.monotonically_increasing_id()), compression="zstd")
 
 
 def stored_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -223,58 +229,80 @@ def id_counts(encoded: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     return total
 
 
+class FileWriter:
+    """One file of sorted documents; ``close`` gives its part of the catalogue."""
+
+    def __init__(self, code: Code, folder: str, place: int):
+        self.code, self.place = code, place
+        self.path = f"{folder}/ids-{place:019d}-{uuid.uuid4().hex}.ids"
+        self.out = open_output(self.path)
+        self.offset = self.before = self.waiting = 0
+        self.entries, self.doc_ids, self.pending = [], [], []
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id)
+        self.pending.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= BLOCK_IDS:
+            self.flush()
+
+    def flush(self) -> None:
+        sizes = np.array([len(x) for x in self.pending])
+        raw = pack_block(self.code, self.doc_ids, sizes, np.concatenate(self.pending), self.before)
+        self.out.write(raw)
+        self.entries.append((len(self.entries), self.offset, len(raw), self.waiting))
+        self.offset, self.before, self.waiting = self.offset + len(raw), self.before + self.waiting, 0
+        self.doc_ids.clear()
+        self.pending.clear()
+
+    def close(self) -> dict:
+        if self.pending:
+            self.flush()
+        self.out.close()
+        block, offsets, sizes, n_ids = zip(*self.entries, strict=True)
+        return {
+            "place": [self.place] * len(self.entries),
+            "file": [self.path] * len(self.entries),
+            "block": list(block),
+            "offset": list(offsets),
+            "length": list(sizes),
+            "n_ids": list(n_ids),
+        }
+
+
 def write_files(encoded: DataFrame, code: Code, folder: str, kind: str) -> DataFrame:
-    """Write the files; returns the catalogue (part, file, block, offset, length, n_ids) of their blocks.
+    """Write the files; returns the catalogue (place, file, block, offset, length, n_ids) of their blocks.
+
+    ``place`` is that of the file's first row. Nothing is shuffled: ``encoded``
+    lies in order, and however its files are cut or put together for a task, a
+    file ends where the next row is not the one that follows.
 
-    Each attempt of a task writes a file of its own name, and only the file of
-    the attempt that counted is in the catalogue; others are left unread.
+    Each attempt of a task writes files of its own names, and only those of the
+    attempt that counted are in the catalogue; others are left unread.
     """
     lengths = code.lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        own, part = Code(lengths), TaskContext.get().partitionId()
-        path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids"
-        entries, doc_ids, pending = [], [], []
-        with open_output(path) as out:
-            offset = before = 0
-
-            def flush() -> None:
-                nonlocal offset, before
-                sizes = np.array([len(x) for x in pending])
-                ids = np.concatenate(pending)
-                raw = pack_block(own, doc_ids, sizes, ids, before)
-                out.write(raw)
-                entries.append((len(entries), offset, len(raw), len(ids)))
-                offset, before = offset + len(raw), before + len(ids)
-                doc_ids.clear()
-                pending.clear()
-
-            waiting = 0
+        own, writer, follows = Code(lengths), None, None
+        try:
             for batch in batches:
                 ids, bounds = stored_ids(batch.column("ids"), kind)
-                for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                    pending.append(ids[bounds[i] : bounds[i + 1]])
-                    doc_ids.append(doc_id)
-                    waiting += len(pending[-1])
-                    if waiting >= BLOCK_IDS:
-                        flush()
-                        waiting = 0
-            if pending:
-                flush()
-        if entries:
-            block, offsets, sizes, n_ids = zip(*entries, strict=True)
-            yield {
-                "part": [part] * len(entries),
-                "file": [path] * len(entries),
-                "block": list(block),
-                "offset": list(offsets),
-                "length": list(sizes),
-                "n_ids": list(n_ids),
-            }
-
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "key")
-    schema = "part int, file string, block int, offset long, length long, n_ids long"
-    return store(map_partition(ordered, run, schema))
+                rows = zip(batch.column("doc_id").to_pylist(), batch.column("place").to_pylist(), strict=True)
+                for i, (doc_id, place) in enumerate(rows):
+                    if place != follows:
+                        if writer:
+                            yield writer.close()
+                        writer = FileWriter(own, folder, place)
+                    writer.add(doc_id, ids[bounds[i] : bounds[i + 1]])
+                    follows = place + 1
+            if writer:
+                yield writer.close()
+        finally:
+            if writer:
+                writer.out.close()
+
+    schema = "place long, file string, block int, offset long, length long, n_ids long"
+    return store(map_partition(encoded, run, schema))
 
 
 def read_files(catalogue: DataFrame, code: Code) -> DataFrame:
@@ -285,10 +313,10 @@ def read_files(catalogue: DataFrame, code: Code) -> DataFrame:
     one row for each file, and those before in the file.
     """
     spark = catalogue.sparkSession
-    files = catalogue.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    files = catalogue.groupBy("place").agg(F.sum("n_ids").alias("n")).orderBy("place").collect()
     sizes = np.array([row["n"] for row in files], dtype=np.int64)
-    columns = {"part": [row["part"] for row in files], "begin": np.cumsum(sizes) - sizes}
-    begin = small_table(spark, columns, "part int, begin long")
+    columns = {"place": [row["place"] for row in files], "begin": np.cumsum(sizes) - sizes}
+    begin = small_table(spark, columns, "place long, begin long")
     lengths = code.lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -308,8 +336,8 @@ def read_files(catalogue: DataFrame, code: Code) -> DataFrame:
                     "ids_crc32": [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
                 }
 
-    # one row for each file: its bound is the number of sorted partitions
-    dealt = catalogue.join(F.broadcast(begin), "part")
+    # one row for each file: their number is that of the sorted partitions, or of the splits they are read by
+    dealt = catalogue.join(F.broadcast(begin), "place")
     # rows are tiny and stand for whole blocks, so their bytes set the number of tasks
     tasks = (catalogue.agg(F.sum("length")).first()[0] or 0) // READ_BYTES + 1
     dealt = dealt.repartition(tasks, "file", "block")
