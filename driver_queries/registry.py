@@ -1190,7 +1190,7 @@ SIMILAR = 0.8
 
 
 def _similar(spark, sf):
-    return similarity.similar_pairs(store(similarity.tfidf(_corpus(spark, sf))), SIMILAR)
+    return similarity.similar_pairs(similarity.tfidf(_corpus(spark, sf), packed=True), SIMILAR)
 
 
 @query(

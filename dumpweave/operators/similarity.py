@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dumpweave.functions.text import remove_stopwords, tokenize_terms
+from dumpweave.operators import packs
 from dumpweave.plans.session import store
 from dumpweave.plans.skew import top_per_key
 
-#: Sums of weights are exact to this.
-ROUNDING = 1e-9
 #: Documents whose distinct terms ask for their frequencies together.
 BLOCK_DOCS = 500
 #: Blocks of a task, on average.
@@ -24,7 +23,7 @@ def normalised_corpus(docs: DataFrame, **options) -> DataFrame:
     return docs.withColumn("text", remove_stopwords(F.col("text"), **options))
 
 
-def tfidf(docs: DataFrame) -> DataFrame:
+def tfidf(docs: DataFrame, packed: bool = False) -> DataFrame:
     """``doc, term, tf, weight`` for ``doc, text``; no zero entries.
 
     weight = tf * (ln((1 + n) / (1 + df)) + 1), divided by the document's
@@ -32,8 +31,12 @@ def tfidf(docs: DataFrame) -> DataFrame:
     Documents are dealt out in blocks, and their terms lie where their block
     does. Only a block's distinct terms meet those of others, one row each, and
     come back with the whole frequency; a document's terms are never shuffled
-    one by one.
+    one by one. With ``packed`` the same is a stored table of some thousand
+    documents to a row (see ``packs.packed``), a fraction as large, for
+    ``similar_pairs`` and ``vector_classes``.
     """
+    if packed:
+        return packs.packed(docs)
     n_docs = docs.agg(F.count("*")).scalar()
     # never null, so that no filter tells the two uses apart
     blocks = docs.count() // BLOCK_DOCS + 1
@@ -83,8 +86,22 @@ def _cosine(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", F.coalesce(dot, F.lit(0.0)).alias("similarity"))
 
 
+def _is_packed(vectors: DataFrame) -> bool:
+    return "numbers" in vectors.columns
+
+
+def _packed_classes(vectors: DataFrame) -> DataFrame:
+    """``pack, pos, doc, representative`` of every document with terms."""
+    named = store(packs.named(vectors))
+    first = named.where("name is not null").groupBy("name").agg(F.min("doc").alias("representative"))
+    told = F.when(F.col("name").isNull(), F.col("doc")).otherwise(F.col("representative"))
+    return named.join(first, "name", "left").select("pack", "pos", "doc", told.alias("representative"))
+
+
 def vector_classes(vectors: DataFrame) -> DataFrame:
     """``doc, representative`` of every document with terms: the least one that has the same terms as often."""
+    if _is_packed(vectors):
+        return _packed_classes(vectors).select("doc", "representative")
     entry = F.concat("term", F.lit("\x01"), F.col("tf").cast("string"))
     held = vectors.groupBy("doc").agg(F.sort_array(F.collect_list(entry)).alias("_held"))
     named = held.select("doc", F.sha2(F.array_join("_held", "\x02").cast("binary"), 256).alias("_name"))
@@ -98,20 +115,13 @@ def prefix_candidates(vectors: DataFrame, threshold: float) -> DataFrame:
     A document's terms are in order from rare to frequent. Common terms of two
     documents start with one they meet at first; from there on, what is left of
     either vector bounds their product. So a term is listed only while what is
-    left, itself included, is as long as the threshold, and of the documents in
-    a term's list only those meet whose remainders multiply to it. Frequent
-    terms stand at the end and are mostly not listed; a list that is long still
-    is split by the join.
+    left, itself included, is as long as the threshold. Frequent terms stand at
+    the end and are mostly not listed. Documents that share listed terms are
+    many where texts are long; so the products of these terms are summed, and
+    only pairs stay that can still reach the threshold with what is left of both.
     """
-    frequency = vectors.groupBy("term").agg(F.count("*").alias("df"))
-    onward = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(onward))
-    listed = vectors.select("doc", "term", "weight").join(frequency, "term").select("doc", "term", left.alias("left"))
-    listed = store(listed.where(F.col("left") >= threshold - ROUNDING))
-    one = listed.select("term", F.col("doc").alias("a"), F.col("left").alias("_la"))
-    two = listed.select("term", F.col("doc").alias("b"), F.col("left").alias("_lb"))
-    met = one.join(two, "term").where((F.col("a") < F.col("b")) & (F.col("_la") * F.col("_lb") >= threshold - ROUNDING))
-    return met.select("a", "b").distinct()
+    kind = vectors.schema["doc"].dataType.simpleString()
+    return packs.pairs_of_files(packs.files_of_rows(vectors), kind, threshold, exact=False).select("a", "b")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -119,17 +129,25 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Data
 
     Returns ``a, b, similarity`` (a < b) between representatives, and ``doc,
     representative`` of every document; documents with one representative are
-    equal, and their pairs are not spelled out. ``vectors`` (doc, term, tf,
-    weight) are of length 1, as ``tfidf`` gives them, and are read several
-    times, so pass a stored table. The threshold is above 0.
+    equal, and their pairs are not spelled out. ``vectors`` are of length 1, as
+    ``tfidf`` gives them, and best packed; else (doc, term, tf, weight), which
+    are read several times, so pass a stored table. The threshold is above 0.
+
+    Candidates are found as in ``prefix_candidates`` and worked out where they
+    are found, as both vectors lie there (see ``packs.pairs_of_files``).
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"threshold {threshold} is not above 0 and at most 1")
-    classes = store(vector_classes(vectors))
-    chosen = classes.where("doc = representative").select("doc")
-    own = store(vectors.select("doc", "term", "weight").join(chosen, "doc", "left_semi"))
-    scored = _cosine(store(document_vectors(own)), prefix_candidates(own, threshold))
-    return scored.where(F.col("similarity") >= threshold), classes
+    if _is_packed(vectors):
+        classes = store(_packed_classes(vectors))
+        files = packs.files_of_packs(vectors, classes.where("not coalesce(doc = representative, false)"))
+        kind = vectors.schema["docs"].dataType.elementType.simpleString()
+    else:
+        classes = store(vector_classes(vectors))
+        chosen = classes.where("doc = representative").select("doc")
+        files = packs.files_of_rows(vectors.select("doc", "term", "weight").join(chosen, "doc", "left_semi"))
+        kind = vectors.schema["doc"].dataType.simpleString()
+    return packs.pairs_of_files(files, kind, threshold), classes.select("doc", "representative")
 
 
 def similar_pages(
