@@ -24,26 +24,27 @@ from pyspark.sql.types import StructType
 
 from dumpweave.functions.text import tokenize_terms
 from dumpweave.plans.ordered import global_index
-from dumpweave.plans.session import discard, small_batches, store, work_dir, workers_find_library
+from dumpweave.plans.session import small_batches, store, work_dir, workers_find_library
 
 #: Sums by which pairs are left out are exact to this.
 SLACK = 1e-6
 #: Words of a pack, and documents of it, at most; one long document may have more words.
-PACK_WORDS = 1_000_000
+PACK_WORDS = 1_400_000
 PACK_DOCS = 16_384
 #: Entries of a block and documents in it, at most, and how many blocks there are at least.
-BLOCK_ENTRIES = 3_500_000
+BLOCK_ENTRIES = 3_000_000
 BLOCK_DOCS = 32_768
 LEAST_BLOCKS = 6
-#: Blocks that one task holds against another one.
-TASK_BLOCKS = 6
+#: Blocks that a task holds, and blocks that come against these one after the other.
+HELD_BLOCKS = 2
+TASK_BLOCKS = 8
 #: Cells of a table of sums, products that are added to it at once, and products for each cell from which it pays.
 CELLS = 1_000_000
 PRODUCTS = 1_000_000
 DENSE = 1 / 16
 #: Share of a block's documents, the longest ones, that meet those of another block as matrices; for
 #: terms that, on average, this share of their pairs both list, and so many terms at most.
-HEAVY = 0.1
+HEAVY = 0.05
 MATRIX = 0.0028
 COLUMNS = 4_096
 #: Pairs that are handed over at once.
@@ -52,6 +53,13 @@ TOLD = 100_000
 CUTS = 128
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system, as a worker stays while others run."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], ddl: str) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -65,9 +73,7 @@ def _map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # not glibc
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back_memory()
 
     workers_find_library(df.sparkSession)
     small_batches(df.sparkSession)
@@ -112,17 +118,35 @@ def _pack(number: int, docs: list[pa.Array], words: list[pa.Array]) -> dict:
     gaps = np.diff(code, prepend=0)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     gaps[first] = code[first]
+    terms, sizes = coded.dictionary.take(pa.array(order)), np.bincount(owner, minlength=len(doc))
     return {
         "pack": [number],
         "docs": _one(doc),
-        "sizes": _one(np.bincount(owner, minlength=len(doc))),
+        "sizes": _one(sizes),
+        "names": _one(pa.array(_names(sizes, terms.take(pa.array(code)), tf), pa.binary())),
         "gaps": _one(gaps),
         "tf": _one(tf),
-        "terms": _one(coded.dictionary.take(pa.array(order))),
+        "terms": _one(terms),
         "held": _one(np.bincount(code, minlength=len(order))),
     }
 
 
+def _names(sizes: np.ndarray, terms: pa.Array, tf: np.ndarray) -> list[bytes]:
+    """Digests that tell documents apart by their terms, which are in order, and how often they occur."""
+    offsets, data = terms.buffers()[1:]
+    ends = np.cumsum(sizes).tolist()
+    if not len(terms):
+        return [b""] * len(sizes)
+    bounds = np.frombuffer(offsets, np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    shape, data = np.stack([np.diff(bounds), tf], axis=1), memoryview(data)
+    names = []
+    for end, size in zip(ends, sizes.tolist(), strict=True):
+        digest = hashlib.sha256(shape[end - size : end])
+        digest.update(data[bounds[end - size] : bounds[end]])
+        names.append(digest.digest())
+    return names
+
+
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     number = TaskContext.get().partitionId() << 32
     docs, words, n_docs, n_words = [], [], 0, 0
@@ -142,17 +166,17 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """TF-IDF of ``doc, text`` as a stored table of packs.
+    """TF-IDF of ``doc, text`` as packs, which are a stored table.
 
-    ``docs`` are a pack's documents and ``sizes`` the number of their distinct
-    terms. ``gaps`` and ``tf`` have an entry for each of these: how far it lies
+    ``docs`` are a pack's documents, ``sizes`` the number of their distinct terms
+    and ``names`` what equal documents share. ``gaps`` and ``tf`` have an entry for each of these: how far it lies
     in ``terms`` behind the one before, and how often it occurs. ``numbers`` are
     (pos, id, df) of the ``terms`` that two documents or more hold, the others
     have a frequency of 1. ``n_docs`` counts all documents.
 
     Documents stay where they are read, unless one has several rows. Only the
-    distinct terms of a pack meet those of others, and a pack is moved once, as
-    it is put together with their numbers.
+    distinct terms of a pack meet those of others. ``numbers`` are joined to the
+    packs where they are asked for, which moves only the columns in use.
     """
     rows = docs.select("doc", tokenize_terms(F.col("text")).alias("words"))
     if not docs.groupBy("doc").count().where("count > 1").isEmpty():
@@ -162,7 +186,7 @@ def packed(docs: DataFrame) -> DataFrame:
         _map(
             rows,
             _packs,
-            f"pack long, docs array<{kind}>, sizes array<int>, gaps array<int>, tf array<int>, "
+            f"pack long, docs array<{kind}>, sizes array<int>, names array<binary>, gaps array<int>, tf array<int>, "
             "terms array<string>, held array<int>",
         ),
         compression="zstd",
@@ -173,10 +197,7 @@ def packed(docs: DataFrame) -> DataFrame:
     numbered = global_index(frequent, [F.col("df"), F.col("term")], "id")
     back = held.select("pack", "pos", "term").join(numbered, "term")
     back = back.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "df"))).alias("numbers"))
-    whole = packs.drop("held").join(back, "pack", "left").withColumn("n_docs", F.lit(docs.count()).cast("long"))
-    found = store(whole, compression="zstd")
-    discard(packs)
-    return found
+    return packs.drop("held").join(back, "pack", "left").withColumn("n_docs", F.lit(docs.count()).cast("long"))
 
 
 class _Pack:
@@ -236,30 +257,9 @@ def unpacked(packs: DataFrame) -> DataFrame:
 
 
 def named(packs: DataFrame) -> DataFrame:
-    """``pack, pos, doc, name`` of documents with terms; equal documents have one name.
-
-    A document with a term that no other one holds has none.
-    """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch, row, pack in _each(batches):
-            both = np.stack([pack.ids, pack.tf], axis=1)
-            filled = np.flatnonzero(pack.sizes)
-            names = []
-            for i in filled:
-                own = both[pack.starts[i] : pack.starts[i] + pack.sizes[i]]
-                own = own[np.argsort(own[:, 0])] if own[:, 0].min() >= 0 else None
-                names.append(None if own is None else hashlib.sha256(own.tobytes()).digest())
-            yield {
-                "pack": np.full(len(filled), batch.column("pack")[row].as_py()),
-                "pos": filled,
-                "doc": pack.docs.take(pa.array(filled)),
-                "name": names,
-            }
-
-    kind = packs.schema["docs"].dataType.elementType.simpleString()
-    needed = packs.select("pack", "docs", "sizes", "gaps", "tf", "numbers", "n_docs")
-    return _map(needed, rows, f"pack long, pos int, doc {kind}, name binary")
+    """``pack, pos, doc, name`` of documents with terms; equal documents have one name."""
+    each = packs.select("pack", F.posexplode(F.arrays_zip("docs", "names", "sizes")).alias("pos", "_doc"))
+    return each.where("_doc.sizes > 0").select("pack", "pos", F.col("_doc.docs").alias("doc"), F.col("_doc.names").alias("name"))
 
 
 # --- blocks ---------------------------------------------------------------------
@@ -273,12 +273,13 @@ def _written(folder: str, parts: Iterator[Part]) -> Iterator[dict]:
         docs, sizes = _joined([x[0] for x in held]), np.concatenate([x[1] for x in held])
         ids, weights = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
         docs, sizes, ids, weights = _long_first(docs, sizes, ids, weights)
-        columns = {"docs": docs, "sizes": sizes, "steps": np.diff(ids, prepend=0), "weights": weights}
+        steps = np.diff(ids, prepend=0).astype(np.int32 if ids.max() < 1 << 31 else np.int64)
+        columns = {"docs": docs, "sizes": sizes, "steps": steps, "weights": weights}
         batch = pa.RecordBatch.from_pydict({k: _one(v) for k, v in columns.items()})
         path = f"{folder}/{uuid.uuid4().hex}.arrow"
         system, plain = _file_system(path)
         system.create_dir(plain.rpartition("/")[0], recursive=True)
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression="lz4")
         with (
             system.open_output_stream(plain, compression=None) as out,
             pa.ipc.new_stream(out, batch.schema, options=options) as sink,
@@ -312,7 +313,13 @@ def _kept(docs: pa.Array, sizes: np.ndarray, ids: np.ndarray, weights: np.ndarra
     """Entries of known terms, by their numbers, of the documents wanted; those without any go."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     chosen = np.flatnonzero(wanted[owner] & (ids >= 0))
-    chosen = chosen[np.lexsort((ids[chosen], owner[chosen]))]
+    bits = int(ids.max(initial=0)).bit_length(), len(chosen).bit_length()
+    if len(sizes).bit_length() + sum(bits) < 64:  # one sort of document, term and place together
+        key = (((owner[chosen] << bits[0]) | ids[chosen]) << bits[1]) | np.arange(len(chosen))
+        key.sort()
+        chosen = chosen[key & ((1 << bits[1]) - 1)]
+    else:
+        chosen = chosen[np.lexsort((ids[chosen], owner[chosen]))]
     left = np.bincount(owner[chosen], minlength=len(sizes))
     rows = np.flatnonzero(left)
     return (docs.take(pa.array(rows)), left[rows], ids[chosen], weights[chosen]) if len(rows) else None
@@ -383,24 +390,29 @@ class _Block:
         def whole(name: str, change: Callable = lambda x: x) -> np.ndarray:
             return np.concatenate([change(t.column(name).flatten().to_numpy()) for t in tables])
 
+        def ids(steps: np.ndarray) -> np.ndarray:
+            return np.cumsum(steps, dtype=np.int64).astype(np.int32 if len(cuts) <= 1 << 31 else np.int64)
+
         docs = _joined([t.column("docs").flatten() for t in tables])
-        held = docs, whole("sizes"), whole("steps", np.cumsum), whole("weights")
+        held = docs, whole("sizes"), whole("steps", ids), whole("weights")
         self.docs, self.sizes, self.ids, self.weights = _long_first(*held)
         del tables, held
+        give_back_memory()
         self.starts = np.cumsum(self.sizes) - self.sizes
         n = len(self.sizes)
         self.heavy = int(np.ceil(n * HEAVY))
         n_cuts = int(cuts[-1]) + 1
         owner = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         square = self.weights**2
-        cell = owner * np.int64(n_cuts) + cuts[self.ids]
+        cell = owner * np.int32(n_cuts) + cuts[self.ids]
         lengths = np.bincount(cell, square, n * n_cuts).reshape(n, n_cuts)
         self.lengths = (np.sqrt(np.cumsum(lengths[:, ::-1], axis=1)[:, ::-1]) + SLACK).astype(np.float32)
-        del cell, lengths
-        left = square - np.cumsum(square)
-        left -= np.repeat(left[self.starts + self.sizes - 1] - square[self.starts + self.sizes - 1], self.sizes)
-        del square
-        left = np.sqrt(np.maximum(left, 0))
+        del cell, lengths, square
+        left = self.weights**2
+        left -= np.cumsum(left)
+        last = self.starts + self.sizes - 1
+        left -= np.repeat(left[last] - self.weights[last] ** 2, self.sizes)
+        np.sqrt(np.maximum(left, 0, out=left), out=left)
         listed = np.flatnonzero(left >= threshold - SLACK)
         # by document
         self.doc_of, self.weight_of = owner[listed], self.weights[listed].astype(np.float32)
@@ -411,11 +423,15 @@ class _Block:
         self.end = np.where(more, self.ids[after], np.iinfo(np.int64).max)
         self.rest = np.where(more, left[after], 0.0)
         self.cut = np.where(more, cuts[self.ids[after]], n_cuts - 1)
+        del owner, left
         # by term, documents in order; one sort of term and place together
         shift = len(listed).bit_length()
-        order = np.sort((self.ids[listed] << shift) | np.arange(len(listed)))
-        term = order >> shift
+        order = self.ids[listed].astype(np.int64) << shift
+        order |= np.arange(len(listed))
+        order.sort()
+        term = (order >> shift).astype(np.int32)
         order &= (1 << shift) - 1
+        del listed
         self.place = np.empty(len(order), np.int32)
         self.place[order] = np.arange(len(order), dtype=np.int32)
         self.list_docs, self.list_weights = self.doc_of[order], self.weight_of[order]
@@ -424,14 +440,15 @@ class _Block:
         self.list_end = np.append(self.list_first[1:], len(term))[: len(self.terms)]
         self.list_of = np.empty(len(order), np.int32)
         self.list_of[order] = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.list_end - self.list_first)
-        light = np.append(0, np.cumsum(self.list_docs < self.heavy))
-        self.list_heavy = light[self.list_end] - light[self.list_first]
+        run = np.append(0, np.cumsum(self.list_docs < self.heavy, dtype=np.int32))
+        self.list_heavy = run[self.list_end] - run[self.list_first]
 
 
 def _cuts(n_terms: int) -> np.ndarray:
     """For each term the part it is in; the parts get smaller towards the most frequent terms."""
     starts = n_terms - np.geomspace(max(n_terms, 1), 1, CUTS).astype(np.int64)
-    return np.searchsorted(np.unique(np.append(0, starts)), np.arange(max(n_terms, 1)), side="right") - 1
+    part = np.searchsorted(np.unique(np.append(0, starts)), np.arange(max(n_terms, 1)), side="right") - 1
+    return part.astype(np.int32)
 
 
 def _at(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -514,7 +531,14 @@ def _candidates(one: _Block, two: _Block, threshold: float) -> Iterator[tuple[np
         if sums is None:
             continue
         if dense:
-            cell = np.flatnonzero(sums)
+            # by column first, with the largest bound of any row
+            some = slice(base, till)
+            most = np.maximum(
+                one.rest[some].max() * two.lengths[:, one.cut[some].min()],
+                two.rest * one.lengths[some].max(axis=0)[two.cut],
+            )
+            least = np.maximum(threshold - SLACK - most, SLACK / 2)
+            cell = np.flatnonzero(sums.reshape(rows, width) >= least)
             sums = sums[cell]
         else:
             cell, sums = sums
@@ -532,6 +556,19 @@ def _candidates(one: _Block, two: _Block, threshold: float) -> Iterator[tuple[np
             yield a[kept], b[kept]
 
 
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs in larger lots, so that those of a document are mostly together."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n > TOLD:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _summed(cell: np.ndarray, product: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None):
     if before is not None:
         cell, product = np.concatenate([before[0], cell]), np.concatenate([before[1], product])
@@ -545,16 +582,22 @@ def _summed(cell: np.ndarray, product: np.ndarray, before: tuple[np.ndarray, np.
 def _products(one: _Block, two: _Block, a: np.ndarray, b: np.ndarray, full: np.ndarray) -> np.ndarray:
     """Cosines of pairs, worked out over all terms; ``full`` has a 0 for each term, before and after."""
     found = np.empty(len(a))
-    starts, ends = two.starts.tolist(), (two.starts + two.sizes).tolist()
-    last = slice(0, 0)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        if i == 0 or x != a[i - 1]:
-            full[one.ids[last]] = 0.0
-            last = slice(one.starts[x], one.starts[x] + one.sizes[x])
-            full[one.ids[last]] = one.weights[last]
-        own = slice(starts[y], ends[y])
-        found[i] = full.take(two.ids[own]) @ two.weights[own]
-    full[one.ids[last]] = 0.0
+    shorter = two.sizes[b] <= one.sizes[a]
+    for long, short, x, y, which in (
+        (one, two, a, b, np.flatnonzero(shorter)),
+        (two, one, b, a, np.flatnonzero(~shorter)),
+    ):
+        which = which[np.argsort(x[which], kind="stable")]
+        starts, ends = short.starts[y[which]].tolist(), (short.starts + short.sizes)[y[which]].tolist()
+        values, last, own = [], -1, slice(0, 0)
+        for d, start, end in zip(x[which].tolist(), starts, ends, strict=True):
+            if d != last:
+                full[long.ids[own]] = 0.0
+                last, own = d, slice(long.starts[d], long.starts[d] + long.sizes[d])
+                full[long.ids[own]] = long.weights[own]
+            values.append(full.take(short.ids[start:end]) @ short.weights[start:end])
+        full[long.ids[own]] = 0.0
+        found[which] = values
     return found
 
 
@@ -562,7 +605,7 @@ def pairs_of_files(files: DataFrame, kind: str, threshold: float, exact: bool =
     """``a, b, similarity`` (a < b) of the vectors in ``files``: all pairs with a cosine of ``threshold`` or more.
 
     Files are put together to blocks, and each two blocks meet in one task, which
-    holds nothing else. No pair and no vector is shuffled. Without ``exact`` all
+    holds a few blocks at a time. No pair and no vector is shuffled. Without ``exact`` all
     pairs are told that the sums over listed terms leave, with a similarity of NaN.
     """
     spark = files.sparkSession
@@ -577,21 +620,24 @@ def pairs_of_files(files: DataFrame, kind: str, threshold: float, exact: bool =
         entries, n_docs = entries + x.entries, n_docs + x.n_docs
     n_terms = max((x.last for x in known), default=-1) + 1
     cuts = _cuts(n_terms)
-    starts = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks), TASK_BLOCKS)]
+    every = range(len(blocks))
+    starts = [(i, j) for i in every[::HELD_BLOCKS] for j in every[i::TASK_BLOCKS]]
 
     def told(i: int, j: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-        one, full = _Block(blocks[i], cuts, threshold), np.zeros(n_terms if exact else 0)
-        for k in range(j, min(j + TASK_BLOCKS, len(blocks))):
+        full = np.zeros(n_terms if exact else 0)
+        held = {k: _Block(blocks[k], cuts, threshold) for k in every[i : i + HELD_BLOCKS]}
+        for k in every[j : j + TASK_BLOCKS]:
             two = None  # goes before the next one comes
-            two = one if k == i else _Block(blocks[k], cuts, threshold)
-            for a, b in _candidates(one, two, threshold):
-                similarity = np.full(len(a), np.nan)
-                if exact:
-                    similarity = _products(one, two, a, b, full)
-                    kept = similarity >= threshold
-                    a, b, similarity = a[kept], b[kept], similarity[kept]
-                if len(a):
-                    yield one.docs.take(pa.array(a)), two.docs.take(pa.array(b)), similarity
+            two = held[k] if k in held else _Block(blocks[k], cuts, threshold)
+            for one in [held[x] for x in held if x <= k]:
+                for a, b in _gathered(_candidates(one, two, threshold)):
+                    similarity = np.full(len(a), np.nan)
+                    if exact:
+                        similarity = _products(one, two, a, b, full)
+                        kept = similarity >= threshold
+                        a, b, similarity = a[kept], b[kept], similarity[kept]
+                    if len(a):
+                        yield one.docs.take(pa.array(a)), two.docs.take(pa.array(b)), similarity
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:

@@ -31,9 +31,9 @@ def tfidf(docs: DataFrame, packed: bool = False) -> DataFrame:
     Documents are dealt out in blocks, and their terms lie where their block
     does. Only a block's distinct terms meet those of others, one row each, and
     come back with the whole frequency; a document's terms are never shuffled
-    one by one. With ``packed`` the same is a stored table of some thousand
-    documents to a row (see ``packs.packed``), a fraction as large, for
-    ``similar_pairs`` and ``vector_classes``.
+    one by one. With ``packed`` the same has some thousand documents to a row
+    (see ``packs.packed``), a fraction as large, for ``similar_pairs`` and
+    ``vector_classes``.
     """
     if packed:
         return packs.packed(docs)
@@ -92,10 +92,9 @@ def _is_packed(vectors: DataFrame) -> bool:
 
 def _packed_classes(vectors: DataFrame) -> DataFrame:
     """``pack, pos, doc, representative`` of every document with terms."""
-    named = store(packs.named(vectors))
-    first = named.where("name is not null").groupBy("name").agg(F.min("doc").alias("representative"))
-    told = F.when(F.col("name").isNull(), F.col("doc")).otherwise(F.col("representative"))
-    return named.join(first, "name", "left").select("pack", "pos", "doc", told.alias("representative"))
+    named = packs.named(vectors)
+    first = named.groupBy("name").agg(F.min("doc").alias("representative"))
+    return named.join(first, "name").select("pack", "pos", "doc", "representative")
 
 
 def vector_classes(vectors: DataFrame) -> DataFrame:
